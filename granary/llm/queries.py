@@ -6,15 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.llm.decontaminate import op5_decontaminate
 from granary.llm.html_extract import op1_html_extract
 from granary.llm.language_id import op10_language_id
+from granary.llm.near_duplicates import OP3_SQL, op3_near_duplicates
+from granary.llm.quality import op8_quality
+from granary.llm.quote_links import op6_quote_links
 from granary.llm.sentencepiece_bpe import op9_sentencepiece_bpe
 from granary.llm.url_filter import OP7_SQL, op7_url_filter
+from granary.llm.vector_search import op2_vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op7_url_filter, op9_sentencepiece_bpe, op10_language_id)}
+    found = (
+        op1_html_extract,
+        op2_vector_search,
+        op3_near_duplicates,
+        op5_decontaminate,
+        op6_quote_links,
+        op7_url_filter,
+        op8_quality,
+        op9_sentencepiece_bpe,
+        op10_language_id,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op3_near_duplicates": OP3_SQL, "op7_url_filter": OP7_SQL}
