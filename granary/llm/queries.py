@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.llm.context_mixing import op4_context_mixing
 from granary.llm.decontaminate import op5_decontaminate
 from granary.llm.html_extract import op1_html_extract
 from granary.llm.language_id import op10_language_id
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_html_extract,
         op2_vector_search,
         op3_near_duplicates,
+        op4_context_mixing,
         op5_decontaminate,
         op6_quote_links,
         op7_url_filter,
