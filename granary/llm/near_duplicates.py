@@ -7,12 +7,13 @@ their MinHash signatures are candidates; their one-byte signatures are compared
 batches, and a pair is dropped once the posterior probability that its similarity
 reaches the threshold falls under MISS. Survivors are confirmed on their full sets.
 
-A bucket of n classes is not expanded into pairs. First every member is tried against
-the bucket's smallest id. What is then in one component needs no further test; in
-buckets that hold several components, members outside the largest one are compared
-with all the others, in blocks inside numpy, and only survivors become rows. So every
-pair that shares a band is either tried or already connected, and no bucket, candidate
-list or partner list is cut. A pair at 0.85 shares none of 36 bands of 7 with
+A bucket of n classes is not expanded into pairs. First every class is tried against
+one hub, the smallest id of a bucket, that it shares most buckets with. What is then in
+one component needs no further test; in buckets that hold several components, members
+outside the largest one are compared with all the others, in blocks inside numpy, and
+only survivors become rows: of each class and other component the most alike, and
+where these do not connect them, in further rounds as many as there are. So every pair
+that shares a band is either tried or already connected, and none is cut. A pair at 0.85 shares none of 36 bands of 7 with
 probability 9e-7; one at 0.9 with 2e-10.
 
 Rows that share a doc_id are one document: their links are united. Defined results:
@@ -40,6 +41,8 @@ MISS = 1e-8
 BATCHES = (36, 84, 147, BANDS * ROWS)
 MEMBERS_A_GROUP = 256
 BLOCK, CHUNK = 256, 2_048
+FIRST_QUOTA, GROWTH = 4, 16
+MOST_WORDS = 1 << 19
 
 _U = np.uint64
 _random = np.random.default_rng(20_11)
@@ -166,10 +169,23 @@ def _prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield batch.loc[plausible(_signatures(batch["sig_a"]), _signatures(batch["sig_b"])), ["a", "b"]]
 
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    sizes = classes.select("rep", "n")
-    near = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
-    near = near.filter(_near_in_size(F.col("n_a"), F.col("n_b"))).select("a", "b")
-    return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInPandas(keep, "a long, b long")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_near_in_size(F.col("n_a"), F.col("n_b")))
+    return near.select("a", "b", "sig_a", "sig_b").mapInPandas(keep, "a long, b long")
+
+
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, ...) with an id among ids (id, distinct).
+
+    A bitmap of hashed ids, of MOST_WORDS words at most whatever the tables are, is broadcast first, so that rows of
+    other ids do not reach the shuffle of the join.
+    """
+    n = ids.count()
+    words = min(MOST_WORDS, 1 << max(6, (n // 4).bit_length()))
+    bit = lambda x: F.expr(f"shiftleft(1L, int(pmod(pmod(xxhash64({x}, 3), {words * 64}L), 64L)))")
+    word = lambda x: F.expr(f"pmod(xxhash64({x}, 3), {words * 64}L) div 64")
+    bitmap = ids.groupBy(word("id").alias("word")).agg(F.bit_or(bit("id")).alias("bits"))
+    some = rows.withColumn("word", word("id")).join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(bit("id")) != 0)
+    return some.drop("word", "bits").join(ids, "id", "left_semi")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -190,14 +206,17 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("m") / MEMBERS_A_GROUP).cast("long")
     grouped = pairs.join(counts, "b").withColumn("part", F.pmod(F.xxhash64("a"), parts)).drop("m")
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stored(texts.join(needed, "id", "left_semi"), "texts")
+    texts = stored(_of_ids(texts, needed), "texts")
     left = grouped.join(texts.withColumnRenamed("id", "a"), "a")
     right = counts.select(F.col("b").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).join(texts, "id").select(F.col("id").alias("one"), F.col("part").alias("of"), F.col("text").alias("whole"))
     return left.groupBy("b", "part").cogroup(right.groupBy("one", "of")).applyInPandas(check, "a long, b long")
 
 
-def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Plausible pairs of classes that share a bucket (key, rep) and are of different components as yet."""
+def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame, quota: int) -> DataFrame:
+    """a, b, more: plausible pairs of classes that share a bucket (key, rep) and are of different components as yet.
+
+    Of a class's plausible partners in one component and block, the quota most alike come; more tells that others remain.
+    """
     labelled = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("m").alias("all"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("of_main")).filter("kinds > 1")
@@ -222,11 +241,16 @@ def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
                 at = np.flatnonzero((part != component) & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * THRESHOLD))
                 if len(at):
                     at = at[plausible(np.broadcast_to(one[i], (len(at), one.shape[1])), other[at])]
-                    out += [(max(rep, x), min(rep, x)) for x in ids[at].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                if len(at) > quota:
+                    order = at[np.lexsort((ids[at], -(other[at] == one[i]).sum(1), part[at]))]
+                    nth = np.arange(len(order)) - np.searchsorted(part[order], part[order])
+                    out += [(max(rep, x), min(rep, x), k == quota - 1) for x, k in zip(ids[order].tolist(), nth.tolist(), strict=True) if k < quota]
+                else:
+                    out += [(max(rep, x), min(rep, x), False) for x in ids[at].tolist()]
+        return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": "bool"})
 
     right = right.select(*[F.col(x).alias(f"r_{x}") for x in right.columns])
-    return left.groupBy("key", "block", "other").cogroup(right.groupBy("r_key", "r_block", "r_other")).applyInPandas(compare, "a long, b long").distinct()
+    return left.groupBy("key", "block", "other").cogroup(right.groupBy("r_key", "r_block", "r_other")).applyInPandas(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -238,14 +262,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).filter("m > 1")
     members = stored(banded.join(buckets, "key"), "members")
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    stars = members.filter("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    # one pair of each class: with the hub it shares most buckets with
+    shared = members.filter("rep > hub").groupBy("rep", "hub").agg(F.count("*").alias("k"))
+    stars = shared.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct(F.col("k"), -F.col("hub"))).alias("b"))
     links = stored(_confirm(stored(_prune(stars, classes), "plausible"), texts), "links")
-    # equal ids of several classes are one document
     labels = components(links)
-    rest = stored(_residual(members.filter("m > 2").select("key", "rep"), labels, classes), "rest")
-    if not rest.isEmpty():
-        links = stored(links.union(_confirm(rest, texts)), "links")
+    quota = FIRST_QUOTA
+    while True:
+        rest = stored(_residual(members.select("key", "rep"), labels, classes, quota), "rest")
+        if rest.isEmpty():
+            break
+        links = stored(links.union(_confirm(rest.select("a", "b"), texts)), "links")
         labels = components(links)
+        if rest.filter("more").isEmpty():
+            break
+        quota *= GROWTH
     of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = profile.select("doc_id", "n", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     component = F.coalesce("component", "doc_id")
