@@ -20,7 +20,8 @@ import functools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import table
@@ -161,23 +162,27 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[tuple[int, str], ...]]:
         yield tuple(block)
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """doc_id, item_id, n_errors, start and length (in the normalised text) of each item that a document holds."""
-    spark, found = documents.sparkSession, None
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    columns = f"doc_id {kind}, item_id long, n_errors int, start int, length int"
-    for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+def matched(text: Column, benchmark: DataFrame, rate: float = ERROR_RATE) -> Column:
+    """array of (item_id, n_errors, start, length in the normalised text) of the items that a text holds."""
+    spark, kind = benchmark.sparkSession, "array<struct<item_id: long, n_errors: int, start: int, length: int>>"
+
+    def scanner(shared: Broadcast):
+        def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             matcher = _matcher(shared.value, rate)
+            names = ("item_id", "n_errors", "start", "length")
             for batch in batches:
-                rows = [(i, *hit) for i, text in zip(batch["doc_id"], batch["text"], strict=True) for hit in matcher.matches(text)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_errors", "start", "length"])
+                yield pd.Series([[dict(zip(names, hit, strict=True)) for hit in matcher.matches(text)] for text in batch], dtype=object)
+
+        return F.pandas_udf(scan, kind)
 
-        part = documents.select("doc_id", "text").mapInPandas(scan, columns)
-        found = part if found is None else found.union(part)
-    return spark.createDataFrame([], columns) if found is None else found
+    parts = [scanner(spark.sparkContext.broadcast(block))(text) for block in _blocks(benchmark)]
+    return F.concat(*parts) if parts else F.array().cast(kind)
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+    """doc_id, item_id, n_errors, start and length of each item that a document holds."""
+    hits = documents.select("doc_id", F.explode(matched(F.col("text"), benchmark, rate)).alias("hit"))
+    return hits.select("doc_id", "hit.*")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

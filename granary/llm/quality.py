@@ -19,7 +19,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import fold, table
@@ -149,17 +149,15 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> T
     return grow(rows[STATISTICS].to_numpy(), rows["quality"].to_numpy())
 
 
-def rate(documents: DataFrame, trees: Trees) -> DataFrame:
-    """doc_id and score of each row of documents (doc_id, text)."""
-    shared = documents.sparkSession.sparkContext.broadcast(trees)
+def scored(text: Column, trees: Trees) -> Column:
+    """The score of a text."""
+    shared = SparkSession.active().sparkContext.broadcast(trees)
 
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array([statistics(t) for t in batch["text"]]).reshape(len(batch), len(STATISTICS))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "score": shared.value.score(x)})
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(np.array([statistics(t) for t in text]).reshape(len(text), len(STATISTICS))))
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInPandas(scores, f"doc_id {kind}, score double")
+    return score(text)
 
 
 def train_on_fold(documents: DataFrame, labels: DataFrame) -> Trees:
@@ -168,5 +166,6 @@ def train_on_fold(documents: DataFrame, labels: DataFrame) -> Trees:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scores = rate(documents, train_on_fold(documents, table(spark, sf_dir, "labels")))
+    trees = train_on_fold(documents, table(spark, sf_dir, "labels"))
+    scores = documents.select("doc_id", scored(F.col("text"), trees).alias("score"))
     return scores.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
