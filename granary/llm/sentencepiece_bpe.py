@@ -29,6 +29,7 @@ from granary.llm.common import table
 SPACE = "▁"
 LONGEST_KEPT = 48
 MOST_KEPT = 400_000
+_NONE = float("inf")
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
@@ -49,12 +50,39 @@ class Agenda:
                 self.special.add(i)
             else:
                 self.pieces[piece] = (-library.get_score(i), i)
+        self.scores = {piece: score for piece, (score, _) in self.pieces.items()}
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.pieces) or len(self.byte_ids) != 256:
             raise ValueError("this vocabulary has pieces across words or lines, or no byte fallback")
         if library.encode(" a  b ", out_type=str) and library.decode(library.encode(" a  b ")) != " a  b ":
             raise ValueError("this vocabulary's normaliser changes white space")
 
+    def merged_short(self, segment: str) -> list[str]:
+        """The symbols of a short segment; the agenda is the list of its pairs' scores, in order of position."""
+        symbols, score = list(segment), self.scores.get
+        agenda = [score(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda and (best := min(agenda)) < _NONE:
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(symbols[i] + symbols[i + 1], _NONE)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + symbols[i], _NONE)
+        return symbols
+
     def encode_segment(self, segment: str) -> list[int]:
+        symbols = self.merged_short(segment) if len(segment) <= LONGEST_KEPT else self.merged(segment)
+        ids: list[int] = []
+        for symbol in symbols:
+            found = self.pieces.get(symbol)
+            if found:
+                ids.append(found[1])
+            else:
+                ids += [self.byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass")]
+        return ids
+
+    def merged(self, segment: str) -> list[str]:
+        """The symbols of a segment of any length; the agenda is a heap of pairs by score and position."""
         pieces, symbols = self.pieces, list(segment)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -76,12 +104,7 @@ class Agenda:
                     heappush(agenda, (found[0], i, k, x))
             if (h := before[i]) >= 0 and (found := pieces.get(x := symbols[h] + pair)):
                 heappush(agenda, (found[0], h, i, x))
-        ids: list[int] = []
-        for symbol in symbols:
-            if symbol is not None:
-                found = pieces.get(symbol)
-                ids += [found[1]] if found else [self.byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass")]
-        return ids
+        return [x for x in symbols if x is not None]
 
     def decode_segment(self, ids: list[int]) -> str:
         parts, run = [], b""
