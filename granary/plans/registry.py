@@ -1,4 +1,4 @@
-"""The registered queries over the given tables, and their SQL."""
+"""The registered queries over the given tables, and the SQL of those that SQL expresses."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.operators import chunks, evaluation, operations, retrieval
+
 FLAGSHIP = "bm25_topk"
+_ALL = chunks.QUERIES | retrieval.QUERIES | evaluation.QUERIES | operations.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
