@@ -48,7 +48,7 @@ _PART = re.compile(rf"(?:{PARTS})(?:[-_\d].*)?|(?!(?:has|with|no|without)[-_]).*
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|iframe|object|template|textarea|title|svg|math|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*)>?"
     r"|<[!?/][^>]*>?",
     re.S | re.I,
 )
