@@ -206,28 +206,37 @@ def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return some.drop("word", "bits").join(ids, "id", "left_semi")
 
 
+def _in_order(rows: DataFrame, keys: list[str], *then: str) -> DataFrame:
+    """The rows of a key in one partition, key after key. The number of partitions is the session's: bytes tell little of the work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *then)
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. The b side's text travels once for each group of pairs."""
+    """The pairs (a, b) whose full shingle sets reach the threshold. The b side's text travels once for each MEMBERS_A_GROUP pairs."""
 
-    def check(some: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(some) and len(one):
-            theirs = shingles(one["whole"].iloc[0])
-            for a, b, text in zip(some["a"], some["b"], some["text"], strict=True):
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, theirs = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for side, a, b, part, text in zip(batch["side"], batch["a"], batch["b"], batch["part"], batch["text"], strict=True):
                 own = shingles(text)
-                both = len(np.intersect1d(own, theirs, assume_unique=True))
-                if both * 100 >= (len(own) + len(theirs) - both) * THRESHOLD:
-                    out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                if side == 0:  # the b side comes first
+                    group, theirs = (b, part), own
+                elif (b, part) == group:
+                    both = len(np.intersect1d(own, theirs, assume_unique=True))
+                    if both * 100 >= (len(own) + len(theirs) - both) * THRESHOLD:
+                        out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     counts = pairs.groupBy("b").agg(F.count("*").alias("m"))
     parts = F.ceil(F.col("m") / MEMBERS_A_GROUP).cast("long")
-    grouped = pairs.join(counts, "b").withColumn("part", F.pmod(F.xxhash64("a"), parts)).drop("m")
+    grouped = pairs.join(counts, "b").withColumn("part", F.pmod(F.xxhash64("a"), parts)).select("a", "b", "part")
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = stored(_of_ids(texts, needed), "texts")
-    left = grouped.join(texts.withColumnRenamed("id", "a"), "a")
-    right = counts.select(F.col("b").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).join(texts, "id").select(F.col("id").alias("one"), F.col("part").alias("of"), F.col("text").alias("whole"))
-    return left.groupBy("b", "part").cogroup(right.groupBy("one", "of")).applyInPandas(check, "a long, b long")
+    members = grouped.join(texts.select(F.col("id").alias("a"), "text"), "a").select("b", "part", F.lit(1).alias("side"), "a", "text")
+    hubs = counts.select(F.col("b").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    hubs = hubs.join(texts, "id").select(F.col("id").alias("b"), "part", F.lit(0).alias("side"), F.col("id").alias("a"), "text")
+    return _in_order(members.union(hubs), ["b", "part"], "side", "a").mapInPandas(check, "a long, b long")
 
 
 def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame, quota: int) -> DataFrame:
@@ -245,28 +254,57 @@ def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame, quota:
     spread = lambda n: F.pmod(F.xxhash64("rep"), n)
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     outside = rows.filter("component <> main").withColumn("block", spread(F.col("blocks")))
+    columns = ["key", "block", "other", "side", "rep", "component", "n", "sig"]
     # an outsider is on the left of every chunk of the main component and of every block from its own on
-    left = outside.select("key", "rep", "component", "n", "sig", "block", F.explode(F.concat(F.transform(upto(F.col("chunks")), lambda j: -1 - j), F.sequence("block", F.col("blocks") - 1))).alias("other"))
-    right = rows.filter("component = main").select("key", "rep", "component", "n", "sig", F.explode(upto(F.col("blocks"))).alias("block"), (-1 - spread(F.col("chunks"))).alias("other"))
-    right = right.union(outside.select("key", "rep", "component", "n", "sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("first"), F.col("block").alias("other")))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "more": []}).astype({"a": "int64", "b": "int64", "more": "bool"})
-        sizes, others, ids = (right[c].to_numpy() for c in ("r_n", "r_component", "r_rep"))
-        n, component, rep = (left[c].to_numpy()[:, None] for c in ("n", "component", "rep"))
-        allowed = (component != others) & (np.minimum(n, sizes) * 100 >= np.maximum(n, sizes) * THRESHOLD)
-        i, j, matches = plausible_pairs(_signatures(left["sig"]), _signatures(right["r_sig"]), allowed)
-        order = np.lexsort((ids[j], -matches, i))
-        i, j = i[order], j[order]
-        nth = np.arange(len(i)) - np.searchsorted(i, i)
-        total = np.bincount(i, minlength=len(left))[i]
-        own, kept = rep[i, 0], nth < quota
-        pairs = pd.DataFrame({"a": np.maximum(own, ids[j]), "b": np.minimum(own, ids[j]), "more": total > quota})
-        return pairs[kept]
-
-    right = right.select(*[F.col(x).alias(f"r_{x}") for x in right.columns])
-    return left.groupBy("key", "block", "other").cogroup(right.groupBy("r_key", "r_block", "r_other")).applyInPandas(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    others = F.concat(F.transform(upto(F.col("chunks")), lambda j: -1 - j), F.sequence("block", F.col("blocks") - 1))
+    left = outside.withColumn("side", F.lit(0)).withColumn("other", F.explode(others)).select(columns)
+    right = rows.filter("component = main").withColumn("block", F.explode(upto(F.col("blocks")))).withColumn("other", -1 - spread(F.col("chunks")))
+    right = right.withColumn("side", F.lit(1)).select(columns)
+    again = outside.withColumn("side", F.lit(1)).withColumn("other", F.col("block")).drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "other")))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches, ["key", "block", "other"]):
+            sig, n, component, rep, side = _signatures(rows["sig"]), *(rows[c].to_numpy() for c in ("n", "component", "rep", "side"))
+            group = rows.groupby(["key", "block", "other"], sort=False).ngroup().to_numpy()
+            found = []
+            for a, b in zip(*_stretches(group), strict=True):
+                k = a + int(np.searchsorted(side[a:b], 1))
+                if a < k < b:
+                    small, large = np.minimum(n[a:k, None], n[k:b]), np.maximum(n[a:k, None], n[k:b])
+                    i, j, matches = plausible_pairs(sig[a:k], sig[k:b], (component[a:k, None] != component[k:b]) & (small * 100 >= large * THRESHOLD))
+                    if len(i):
+                        order = np.lexsort((rep[k + j], -matches, i))
+                        i, j = i[order], j[order]
+                        nth = np.arange(len(i)) - np.searchsorted(i, i)
+                        kept, total = nth < quota, np.bincount(i, minlength=k - a)[i]
+                        found.append((rep[a + i][kept], rep[k + j][kept], total[kept] > quota))
+            if found:
+                one, other, more = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pd.DataFrame({"a": np.maximum(one, other), "b": np.minimum(one, other), "more": more})
+
+    ordered = _in_order(left.union(right).union(again.select(columns)), ["key", "block", "other"], "side", "rep")
+    return ordered.mapInPandas(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _stretches(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return starts, np.append(starts[1:], len(group))
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by keys, cut anew so that none parts a group."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
+        if len(rows):
+            last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
+            cut = len(rows) - int(last.sum())
+            rest = rows.iloc[cut:]
+            if cut:
+                yield rows.iloc[:cut]
+    if rest is not None and len(rest):
+        yield rest
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
