@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.operators import chunks, evaluation, operations, retrieval
+from granary.functions import markup
+from granary.operators import chunks, evaluation, operations, retrieval, structured
 
 FLAGSHIP = "bm25_topk"
-_ALL = chunks.QUERIES | retrieval.QUERIES | evaluation.QUERIES | operations.QUERIES
+_ALL = chunks.QUERIES | retrieval.QUERIES | evaluation.QUERIES | operations.QUERIES | structured.QUERIES | markup.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
