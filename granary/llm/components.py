@@ -11,8 +11,8 @@ from granary.llm.common import stored
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for each node of an edge.
 
-    Large-star and small-star rounds, until a round changes nothing: a round links
-    every node's larger neighbours, then its smaller ones, to its smallest. Both
+    Large-star and small-star rounds, until only stars around smallest nodes are left: a round
+    links every node's larger neighbours, then its smaller ones, to its smallest. Both
     are groupings with partial minima and equi-joins, so a node with a third of all
     edges is pre-aggregated before the shuffle; the joins' hot keys are left to
     adaptive skew handling. Each round is written to the shared folder, which cuts
@@ -20,8 +20,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     flat = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     flat = stored(flat, "edges")
-    before = None
-    while True:
+    while not _is_stars(flat):
         both = flat.union(flat.select(F.col("v"), F.col("u")))
         least = both.groupBy(F.col("u").alias("m_u")).agg(F.min("v").alias("m"))
         # large star: larger neighbours go to the smallest of the node and its neighbours
@@ -31,8 +30,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, F.col("u") == F.col("m_u"))
         flat = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("m_u", "m")).filter("u <> v").distinct()
         flat = stored(flat, "edges")
-        now = flat.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
-        if now == before or not now[0]:
-            break
-        before = now
     return flat.select(F.col("u").alias("node"), F.col("v").alias("component")).union(flat.select("v", "v").distinct())
+
+
+def _is_stars(flat: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    several = flat.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1")
+    chained = flat.select(F.col("v").alias("w")).join(flat.select("u"), F.col("w") == F.col("u"), "left_semi")
+    return several.isEmpty() and chained.isEmpty()

@@ -41,9 +41,9 @@ MISS = 1e-8
 BATCHES = (36, 84, 147, BANDS * ROWS)
 MEMBERS_A_GROUP = 256
 BLOCK, CHUNK = 256, 2_048
-FIRST_QUOTA, GROWTH = 4, 16
+FIRST_QUOTA, GROWTH = 6, 32
 #: Bands whose mixed buckets are resolved one after the other: the first leave little to the many.
-ROUNDS = ((0, 1), (1, 4), (4, BANDS))
+ROUNDS = ((0, 3), (3, BANDS))
 MOST_WORDS = 1 << 19
 
 _U = np.uint64
