@@ -41,7 +41,8 @@ MISS = 1e-8
 BATCHES = (36, 84, 147, BANDS * ROWS)
 MEMBERS_A_GROUP = 256
 BLOCK, CHUNK = 256, 2_048
-FIRST_QUOTA, GROWTH = 6, 32
+FIRST_QUOTA, GROWTH = 4, 32
+CENTRAL = 2
 #: Bands whose mixed buckets are resolved one after the other: the first leave little to the many.
 ROUNDS = ((0, 3), (3, BANDS))
 MOST_WORDS = 1 << 19
@@ -242,7 +243,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame, quota: int) -> DataFrame:
     """a, b, more: plausible pairs of classes that share a bucket (key, rep) and are of different components as yet.
 
-    Of a class's plausible partners in one block, the quota most alike come; more tells that others remain.
+    Of a class's plausible partners in one block, the quota most alike come, and those that the whole block is most
+    alike to; more tells that others remain.
     """
     labelled = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("m"))
@@ -276,7 +278,9 @@ def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame, quota:
                         order = np.lexsort((rep[k + j], -matches, i))
                         i, j = i[order], j[order]
                         nth = np.arange(len(i)) - np.searchsorted(i, i)
-                        kept, total = nth < quota, np.bincount(i, minlength=k - a)[i]
+                        # of a family of copies the original is the one that all are most alike to
+                        central = np.argsort(-np.bincount(j, matches[order], b - k), kind="stable")[:CENTRAL]
+                        kept, total = (nth < quota) | np.isin(j, central), np.bincount(i, minlength=k - a)[i]
                         found.append((rep[a + i][kept], rep[k + j][kept], total[kept] > quota))
             if found:
                 one, other, more = (np.concatenate(x) for x in zip(*found, strict=True))
