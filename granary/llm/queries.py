@@ -12,7 +12,7 @@ from granary.llm.html_extract import op1_html_extract
 from granary.llm.language_id import op10_language_id
 from granary.llm.near_duplicates import OP3_SQL, op3_near_duplicates
 from granary.llm.quality import op8_quality
-from granary.llm.quote_links import op6_quote_links
+from granary.llm.quote_links import OP6_SQL, op6_quote_links
 from granary.llm.sentencepiece_bpe import op9_sentencepiece_bpe
 from granary.llm.url_filter import OP7_SQL, op7_url_filter
 from granary.llm.vector_search import op2_vector_search
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": OP3_SQL, "op7_url_filter": OP7_SQL}
+    return {"op3_near_duplicates": OP3_SQL, "op6_quote_links": OP6_SQL, "op7_url_filter": OP7_SQL}

@@ -112,3 +112,35 @@ def conversations_in_reply_order(messages: DataFrame) -> DataFrame:
 
 def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations_in_reply_order(table(spark, sf_dir, "conversations"))
+
+
+_Q = r"^\s*(?:>\s?)+"
+OP6_SQL = rf"""
+with recursive m as (
+  select row_number() over () as row, conv_id, turn, role, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as l from conversations),
+own as (
+  select *, len(list_filter(l, lambda x: regexp_matches(x, '{_Q}'))) as n_quoted,
+    case when len(list_filter(l, lambda x: regexp_matches(x, '{_Q}'))) = 0 then t else
+      regexp_replace(array_to_string(list_filter(l, lambda x, i: not regexp_matches(x, '{_Q}') and not (coalesce(regexp_matches(l[i + 1], '{_Q}'), false) and regexp_matches(x, '{_ATTRIBUTION}'))), chr(10)), '^\s+|\s+$', '', 'g') end as clean
+  from m),
+line as (select conv_id, turn, row, i, l[i] as x from m, unnest(range(1, len(l) + 1)) u(i) where len(list_filter(l, lambda x: regexp_matches(x, '{_Q}'))) > 0 and conv_id is not null and turn is not null),
+level as (select *, length(regexp_replace(regexp_extract(x, '{_Q}'), '[^>]', '', 'g')) as lev, lower(trim(regexp_replace(regexp_replace(x, '{_Q}', ''), '\s+', ' ', 'g'))) as p from line),
+changed as (select *, (lev <> coalesce(lag(lev) over (partition by row order by i), -1))::int as c from level),
+run as (select *, sum(c) over (partition by row order by i) as r from changed),
+quote as (
+  select distinct conv_id, turn, lev, p from run where lev > 0 and p <> ''
+  union select conv_id, turn, lev, string_agg(p, ' ' order by i) from run where lev > 0 and p <> '' group by row, conv_id, turn, lev, r),
+source as (
+  select distinct conv_id, turn, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) as p
+  from (select conv_id, turn, unnest(list_append(string_split(clean, chr(10)), clean)) as x from own) where conv_id is not null and turn is not null),
+vote as (select q.conv_id, q.turn, q.lev, q.p, max(s.turn) as s from quote q join source s on s.conv_id = q.conv_id and s.p = q.p and s.turn < q.turn group by all),
+summed as (select conv_id, turn, lev, s, sum(length(p)) as size from vote group by all),
+parent as (select conv_id, turn, arg_max(s, (-lev, size, s)) as reply_to from summed group by conv_id, turn),
+walk as (
+  select conv_id, turn, reply_to, reply_to as thread, 1::bigint as depth from parent
+  union all select w.conv_id, w.turn, w.reply_to, p.reply_to, w.depth + 1 from walk w join parent p on p.conv_id = w.conv_id and p.turn = w.thread),
+root as (select conv_id, turn, arg_max((reply_to, thread, depth), depth) as x from walk group by conv_id, turn)
+select o.conv_id, o.turn, role, clean as text, x[1] as reply_to, coalesce(x[2], o.turn) as thread, coalesce(x[3], 0) as depth, n_quoted::bigint as n_quoted_lines,
+  '<|' || coalesce(role, 'user') || '|>' || chr(10) || clean as message
+from own o left join root r on r.conv_id = o.conv_id and r.turn = o.turn
+"""

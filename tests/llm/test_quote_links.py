@@ -1,4 +1,6 @@
-from granary.llm.quote_links import conversations_in_reply_order
+import duckdb
+
+from granary.llm.quote_links import OP6_SQL, conversations_in_reply_order
 
 A, B, C = "First thought here.\nSecond line of it.", "> First thought here.\n> Second line of it.\n\nI agree.", "On Monday, Ann wrote:\n> > first  THOUGHT here.\n> I agree.\n\nSo do I."
 ROWS = [
@@ -46,3 +48,12 @@ def test_long_chain_of_replies(spark):
 
 def test_empty_table(spark):
     assert conversations_in_reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_sql_says_the_same(spark):
+    duck = duckdb.connect()
+    duck.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    duck.executemany("insert into conversations values (?, ?, ?, ?)", [list(r) for r in ROWS])
+    found = conversations_in_reply_order(spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string"))
+    theirs = duck.sql(f"select {', '.join(found.columns)} from ({OP6_SQL})").fetchall()
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, theirs))
