@@ -37,7 +37,7 @@ from granary.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 36, 7
 THRESHOLD = 85  # hundredths
-MISS = 1e-8
+MISS = 1e-6
 BATCHES = (36, 84, 147, BANDS * ROWS)
 MEMBERS_A_GROUP = 256
 BLOCK, CHUNK = 256, 2_048
@@ -192,10 +192,10 @@ def _prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select("a", "b", "sig_a", "sig_b").mapInPandas(keep, "a long, b long")
 
 
-def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id, ...) with an id among ids (id, distinct).
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, ...) with an id among ids (id, distinct), and few others: for a join with these ids.
 
-    A bitmap of hashed ids, of MOST_WORDS words at most whatever the tables are, is broadcast first, so that rows of
+    A bitmap of hashed ids, of MOST_WORDS words at most whatever the tables are, is broadcast, so that most rows of
     other ids do not reach the shuffle of the join.
     """
     n = ids.count()
@@ -204,7 +204,7 @@ def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     word = lambda x: F.expr(f"pmod(xxhash64({x}, 3), {words * 64}L) div 64")
     bitmap = ids.groupBy(word("id").alias("word")).agg(F.bit_or(bit("id")).alias("bits"))
     some = rows.withColumn("word", word("id")).join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(bit("id")) != 0)
-    return some.drop("word", "bits").join(ids, "id", "left_semi")
+    return some.drop("word", "bits")
 
 
 def _in_order(rows: DataFrame, keys: list[str], *then: str) -> DataFrame:
@@ -216,27 +216,30 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold. The b side's text travels once for each MEMBERS_A_GROUP pairs."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, theirs = None, np.zeros(0, np.uint64)
+        group, theirs = None, []
         for batch in batches:
             out = []
             for side, a, b, part, text in zip(batch["side"], batch["a"], batch["b"], batch["part"], batch["text"], strict=True):
                 own = shingles(text)
-                if side == 0:  # the b side comes first
-                    group, theirs = (b, part), own
+                if side == 0:  # the b side comes first; it has several texts if several rows share its id
+                    if (b, part) != group:
+                        group, theirs = (b, part), []
+                    theirs.append(own)
                 elif (b, part) == group:
-                    both = len(np.intersect1d(own, theirs, assume_unique=True))
-                    if both * 100 >= (len(own) + len(theirs) - both) * THRESHOLD:
-                        out.append((a, b))
+                    for other in theirs:
+                        both = len(np.intersect1d(own, other, assume_unique=True))
+                        if both * 100 >= (len(own) + len(other) - both) * THRESHOLD:
+                            out.append((a, b))
+                            break
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     counts = pairs.groupBy("b").agg(F.count("*").alias("m"))
     parts = F.ceil(F.col("m") / MEMBERS_A_GROUP).cast("long")
     grouped = pairs.join(counts, "b").withColumn("part", F.pmod(F.xxhash64("a"), parts)).select("a", "b", "part")
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stored(_of_ids(texts, needed), "texts")
-    members = grouped.join(texts.select(F.col("id").alias("a"), "text"), "a").select("b", "part", F.lit(1).alias("side"), "a", "text")
+    of_a = _likely(texts, pairs.select(F.col("a").alias("id")).distinct())
+    members = grouped.join(of_a.select(F.col("id").alias("a"), "text"), "a").select("b", "part", F.lit(1).alias("side"), "a", "text")
     hubs = counts.select(F.col("b").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    hubs = hubs.join(texts, "id").select(F.col("id").alias("b"), "part", F.lit(0).alias("side"), F.col("id").alias("a"), "text")
+    hubs = hubs.join(_likely(texts, counts.select(F.col("b").alias("id"))), "id").select(F.col("id").alias("b"), "part", F.lit(0).alias("side"), F.col("id").alias("a"), "text")
     return _in_order(members.union(hubs), ["b", "part"], "side", "a").mapInPandas(check, "a long, b long")
 
 
@@ -319,7 +322,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).filter("m > 1")
     members = stored(banded.join(buckets.select("key", "hub"), "key"), "members")
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
+    # the texts of all that share a bucket, kept once for all rounds
+    sharing = members.select(F.col("rep").alias("id")).distinct()
+    texts = _likely(documents.select(F.col("doc_id").cast("long").alias("id"), "text"), sharing).join(sharing, "id", "left_semi")
+    texts = stored(texts, "texts")
     # two pairs of each class: with the hub it shares most buckets with, and with the smallest
     shared = members.filter("rep > hub").groupBy("rep", "hub").agg(F.count("*").alias("k"))
     hubs = F.array_distinct(F.array(F.max_by("hub", F.struct(F.col("k"), -F.col("hub"))), F.min("hub")))
