@@ -7,7 +7,8 @@ it, so likely symbols take few decisions. Five predictors look at each decision,
 hashed contexts: the last symbol with the place in the word, the last two, the last
 four, the word so far, and the last short word before with the word's first symbols. Their
 counts come from all training texts: words and word-boundary pairs are counted in
-Spark, and from these counts Spark sums the decisions of each hashed slot.
+Spark, and from these counts Spark sums the decisions of each context and node, by their
+full 64-bit hash.
 
 A mixer adds the predictors' log odds with weights from the set that a gate chooses
 (how often the word so far was seen, and whether the word has just begun). To these
@@ -16,10 +17,11 @@ knots, both learned online along the text, after every block of words. The sum o
 decisions' logarithms is the score; bits per byte follow from it. A text's score
 depends on nothing but the text and the trained tables.
 
-The hashed tables have fixed sizes (SLOTS) and are all that is broadcast, with the
-MOST_FREQUENT most frequent words' counts for the unigram base score; counts of rarer
-words, however many, are joined. The start weights are fitted on at most FIT_TEXTS
-training texts, each decision's own count left out.
+The table of contexts stays in Spark, however many there are: it is joined to the distinct
+words and boundaries of the texts, whose odds then go to the texts' batches. Broadcast are
+the trees, the weights and the MOST_FREQUENT most frequent words' counts for the unigram
+base score; counts of rarer words, however many, are joined. The start weights are fitted
+on at most FIT_TEXTS training texts, each decision's own count left out.
 
 Defined results: null and empty texts are one end; repeated rows stay; without a
 training text all predictors are even; very long texts are scored whole; extra columns are
@@ -28,29 +30,30 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import fold, stored, table
 
-SLOTS = (14, 18, 20, 22, 19)  # bits of each predictor's table
-OFFSETS = [sum(1 << b for b in SLOTS[:k]) for k in range(len(SLOTS) + 1)]
 WORD, TAIL = 3, 4  # the predictors of the word so far, and with the word before
-N = len(SLOTS)
+N = 5
 HEAD = 4
 SHORT = 3
 GATES = 8
 MOST_FREQUENT = 100_000
 FIT_TEXTS = 200
 BLOCK = 128
-TEXTS_AT_ONCE = 5_000
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 5_000, 8 << 20
+WORDS_AT_ONCE = 20_000
 STEP, BEND = 0.05, 0.005
 KNOTS = (np.float32(1.5), np.float32(4.0))
 SCALE = 12
@@ -180,7 +183,7 @@ class Decisions:
     size: np.ndarray
     bit: np.ndarray
     begun: np.ndarray  # 1 within the first HEAD symbols
-    slots: list[np.ndarray] = field(default_factory=list)
+    slots: list[np.ndarray] = field(default_factory=list)  # by predictor: full hashes of context and node
 
 
 def symbols_of(word: bytes) -> bytes:
@@ -227,7 +230,6 @@ def decisions(strings: list[bytes], codes: Codes, predictors: tuple[int, ...], t
         h = _mix(contexts[k]() * _BASE + _U(k + 1))[symbol]
         h ^= node
         h *= _U(0xD6E8FEB86659FD93)
-        h >>= _U(64 - SLOTS[k])
         slots.append(h.view(np.int64))
     ends = np.concatenate([[0], np.cumsum(steps)])
     begins = ends[first]
@@ -290,69 +292,142 @@ def _triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"triple": found, "n": n})
 
 
-def _slot_counts(codes: Codes):
+def _joined(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """The batches, several of them as one until it has so many rows."""
+    parts: list[pd.DataFrame] = []
+    for batch in batches:
+        parts.append(batch)
+        if sum(map(len, parts)) >= least:
+            yield pd.concat(parts, ignore_index=True)
+            parts = []
+    if sum(map(len, parts)):
+        yield pd.concat(parts, ignore_index=True)
+
+
+def _of_kinds(rows: pd.DataFrame, codes: Codes) -> Iterator[tuple[tuple[int, ...], pd.DataFrame, Decisions]]:
+    """Predictors, rows and their decisions, of words and of word boundaries."""
+    for kind, some in rows.groupby("kind"):
+        predictors = (TAIL,) if kind else (0, 1, 2, 3)
+        strings = list(some["word"]) if kind else [symbols_of(w) for w in some["word"]]
+        yield predictors, some, decisions(strings, codes, predictors, list(some["tail"]))
+
+
+def _context_counts(codes: Codes):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # tables of fixed size, summed over the task's words, of which only what is not zero is sent on
-        totals = [np.zeros(2 << bits, np.float32) for bits in SLOTS]
-        for batch in batches:
-            for kind, part in batch.groupby("kind"):
-                for a in range(0, len(part), 20_000):
-                    some = part.iloc[a : a + 20_000]
-                    predictors = (TAIL,) if kind else (0, 1, 2, 3)
-                    strings = list(some["word"]) if kind else [symbols_of(w) for w in some["word"]]
-                    found = decisions(strings, codes, predictors, list(some["tail"]))
-                    n = np.repeat(some["n"].to_numpy(np.float64), found.size)
-                    for k, slots in zip(predictors, found.slots, strict=True):
-                        slots *= 2
-                        slots += found.bit
-                        at, number = np.unique(slots, return_inverse=True) if k == WORD else (slice(None), slots)
-                        totals[k][at] += np.bincount(number, n, 0 if k == WORD else 2 << SLOTS[k]).astype(np.float32)
-        for k, total in enumerate(totals):
-            at = np.flatnonzero(total.reshape(-1, 2).any(axis=1))
-            for a in range(0, len(at), 200_000):
-                some = at[a : a + 200_000]
-                yield pd.DataFrame({"slot": (OFFSETS[k] + some).astype(np.int32), "n0": total[some * 2], "n1": total[some * 2 + 1]})
+        for batch in _joined(batches, 2 * WORDS_AT_ONCE):
+            for _, some, found in _of_kinds(batch, codes):
+                n = np.repeat(some["n"].to_numpy(np.float64), found.size)
+                for slots in found.slots:
+                    at, number = np.unique(slots, return_inverse=True)
+                    both = np.bincount(number * 2 + found.bit, n, 2 * len(at)).reshape(-1, 2)
+                    yield pd.DataFrame({"key": at, "n0": both[:, 0], "n1": both[:, 1]})
 
     return count
 
 
+def counts_of(contexts: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """n0 and n1 of each key, 0 where it was not seen: for few keys, on the driver."""
+    wanted = np.unique(keys)
+    frame = contexts.sparkSession.createDataFrame(pa.table({"key": wanted}))
+    rows = contexts.join(F.broadcast(frame), "key").toArrow()
+    return _found(rows["key"].to_numpy(), rows["n0"].to_numpy(), rows["n1"].to_numpy(), keys)
+
+
+def _found(have: np.ndarray, n0: np.ndarray, n1: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(have):
+        return np.zeros((len(keys), 2))
+    order = np.argsort(have)
+    at = np.minimum(np.searchsorted(have, keys, sorter=order), len(have) - 1)
+    at = order[at]
+    return np.where((have[at] == keys)[:, None], np.stack([n0[at], n1[at]], axis=1), 0.0)
+
+
+@dataclass
+class Looked:
+    """What `of` makes of the counts of keys; each use is a query."""
+
+    contexts: DataFrame
+    of: Callable[[np.ndarray], np.ndarray]
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        return self.of(counts_of(self.contexts, keys))
+
+
 @dataclass
 class Model:
     codes: Codes
-    odds: list[np.ndarray]  # by predictor: the log odds of each slot, in steps of 1 / SCALE
-    level: np.ndarray  # by slot of the word so far: how often it was seen, in four steps
+    contexts: DataFrame  # key, n0 and n1 of every context and node of the training texts
     weights: np.ndarray  # by gate
 
-    def prepared(self, words: list[bytes]) -> Prepared:
-        parts = []
-        for a in range(0, len(words), 20_000):
-            found = decisions([symbols_of(w) for w in words[a : a + 20_000]], self.codes, (0, 1, 2, 3))
-            gate = self.level[found.slots[WORD]] * 2 + found.begun
+    @property
+    def odds(self) -> list[Looked]:
+        """By predictor: the log odds of keys, in steps of 1 / SCALE."""
+        return [Looked(self.contexts, _odds)] * N
+
+    @property
+    def level(self) -> Looked:
+        """By key of the word so far: how often it was seen, in four steps."""
+        return Looked(self.contexts, lambda n: _levels(n.sum(1)))
+
+
+def odds_of_words(documents: DataFrame, model: Model) -> DataFrame:
+    """kind, word, tail and odds of each distinct word and boundary of documents (kind, word, tail).
+
+    The odds of a word are four bytes, and one of gate, for each decision; those of a boundary one byte.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(model.codes)
+
+    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # words that begin alike lie together, so that a group asks for few contexts
+        for k, batch in enumerate(_joined(batches, WORDS_AT_ONCE)):
+            yield batch.assign(g=TaskContext.get().partitionId() << 32 | k)
+
+    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _joined(batches, WORDS_AT_ONCE):
+            for g, rows in batch.groupby("g"):
+                keys = np.concatenate([np.unique(x) for _, _, found in _of_kinds(rows, shared.value) for x in found.slots])
+                yield pd.DataFrame({"g": g, "key": keys})
+
+    def odds(rows: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        have = seen.sort_values("key")
+        have = [have[c].to_numpy() for c in ("key", "n0", "n1")]
+        for predictors, some, found in _of_kinds(rows, shared.value):
             sign = found.bit.astype(np.int8) * np.int8(2) - np.int8(1)
-            x = np.empty((len(gate), N - 1), np.int8)
-            for k in range(N - 1):
-                np.multiply(self.odds[k][found.slots[k]], sign, out=x[:, k])
-            weights = self.weights[:, : N - 1] / SCALE
-            z = np.zeros(len(gate), np.float32)
-            for k in range(N - 1):
-                z += x[:, k] * weights[gate, k]
-            parts.append((found.size, x, z, (gate + 1).astype(np.int8) * sign))
-        size, x, z, gate = (np.concatenate(p) for p in zip(*parts, strict=True))
-        return Prepared(np.cumsum(size) - size, size, x.view(np.int32)[:, 0], z, gate)
-
-    def score(self, coded: Coded) -> np.ndarray:
-        """log10 of the probability of each text."""
-        if not len(coded.sizes):
-            return np.zeros(0)
-        words = self.prepared(coded.words)
-        number, tails, heads = coded.boundaries()
-        ahead = decisions(heads, self.codes, (TAIL,), tails)
-        ahead_odds = self.odds[TAIL][ahead.slots[0]].astype(np.float32) / SCALE
-        # a gate's number carries the sign of the bit that is there
-        tail_weight = np.zeros(2 * GATES + 1, np.float32)
-        tail_weight[1 : GATES + 1], tail_weight[-GATES:] = self.weights[:, TAIL], -self.weights[::-1, TAIL]
-        ends = np.cumsum(coded.sizes)
-        return np.array([_mixed(coded.flat[a:b], number[a:b], words, ahead, ahead_odds, tail_weight) for a, b in zip(ends - coded.sizes, ends, strict=True)]) / np.log(10)
+            counts = [_found(*have, x) for x in found.slots]
+            if predictors == (TAIL,):
+                every = _odds(counts[0])[:, None]
+            else:
+                gate = _levels(counts[WORD].sum(1)) * 2 + found.begun + 1
+                every = np.stack([*(_odds(n) * sign for n in counts), (gate * sign).astype(np.int8)], axis=1)
+            data, width = every.tobytes(), every.shape[1]
+            some = some[["kind", "word", "tail"]].copy()
+            some["odds"] = [data[a * width : (a + n) * width] for a, n in zip(found.first.tolist(), found.size.tolist(), strict=True)]
+            out.append(some)
+        return pd.concat(out) if out else pd.DataFrame({"kind": [], "word": [], "tail": [], "odds": []})
+
+    words = documents.select("kind", "word", "tail").distinct().repartitionByRange("kind", "word").sortWithinPartitions("kind", "word")
+    words = stored(words.mapInPandas(grouped, "kind int, word binary, tail binary, g long"), "vocabulary")
+    seen = words.mapInPandas(wanted, "g long, key long").join(model.contexts, "key")
+    return words.groupBy("g").cogroup(seen.groupBy("g")).applyInPandas(odds, "kind int, word binary, tail binary, odds binary")
+
+
+def scores(flat: list[np.ndarray], number: list[np.ndarray], words: list[bytes], boundaries: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each text, from the numbers of its words and boundaries and their odds."""
+    rows = np.frombuffer(b"".join(words), np.int8).reshape(-1, N)
+    size = np.array([len(w) // N for w in words], np.int64)
+    x, gate = np.ascontiguousarray(rows[:, : N - 1]), rows[:, N - 1]
+    z = np.zeros(len(gate), np.float32)
+    for k in range(N - 1):
+        z += x[:, k] * (weights[:, k] / SCALE)[np.abs(gate) - 1]
+    prepared = Prepared(np.cumsum(size) - size, size, x.view(np.int32)[:, 0], z, gate)
+    size = np.array([len(w) for w in boundaries], np.int64)
+    ahead = Decisions(np.cumsum(size) - size, size, np.zeros(0), np.zeros(0))
+    ahead_odds = np.frombuffer(b"".join(boundaries), np.int8).astype(np.float32) / SCALE
+    # a gate's number carries the sign of the bit that is there
+    tail_weight = np.zeros(2 * GATES + 1, np.float32)
+    tail_weight[1 : GATES + 1], tail_weight[-GATES:] = weights[:, TAIL], -weights[::-1, TAIL]
+    return np.array([_mixed(a, b, prepared, ahead, ahead_odds, tail_weight) for a, b in zip(flat, number, strict=True)]) / np.log(10)
 
 
 @dataclass
@@ -414,7 +489,7 @@ def _levels(n: np.ndarray) -> np.ndarray:
     return (n > 0).astype(np.int8) + (n > 4) + (n > 40)
 
 
-def fitted_weights(texts: list[str], codes: Codes, counts: list[np.ndarray], passes: int = 60) -> np.ndarray:
+def fitted_weights(texts: list[str], codes: Codes, contexts: DataFrame, passes: int = 60) -> np.ndarray:
     """Start weights by gate from some training texts, each decision's own count left out of the predictors."""
     start = np.tile(np.array([0.1, 0.2, 0.3, 0.4, 0.3], np.float32), (GATES, 1))
     if not texts:
@@ -433,8 +508,7 @@ def fitted_weights(texts: list[str], codes: Codes, counts: list[np.ndarray], pas
     inside = k < ahead.size[pair][which]
     slots = [s[at] for s in found.slots] + [ahead.slots[0][np.where(inside, ahead.first[pair][which] + k, 0)]]
     x = np.zeros((len(at), N), np.float32)
-    for j, s in enumerate(slots):
-        n = counts[j][s].astype(np.float64)
+    for j, n in enumerate(np.split(counts_of(contexts, np.concatenate(slots)), N)):
         n[np.arange(len(n)), bit] = np.maximum(n[np.arange(len(n)), bit] - 1, 0)
         x[:, j] = np.log((n[:, 1] + SMOOTH) / (n[:, 0] + SMOOTH))
         if j == WORD:
@@ -466,24 +540,18 @@ def train(training: DataFrame, counts: DataFrame, fit_texts: int = FIT_TEXTS) ->
     codes = huffman(triples["triple"].to_numpy(np.int64), triples["n"].to_numpy(np.float64))
     shared = spark.sparkContext.broadcast(codes)
 
-    def slots(batches):
-        return _slot_counts(shared.value)(batches)
-
-    # words that begin alike lie together, so that a slot comes from few tasks
-    near = counts.repartitionByRange("kind", "word")
-    summed = near.mapInPandas(slots, "slot int, n0 float, n1 float").groupBy("slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1"))
-    every = np.zeros((OFFSETS[-1], 2), np.float32)
-    rows = summed.toArrow()
-    for part in rows.to_batches():
-        every[part["slot"].to_numpy(), 0], every[part["slot"].to_numpy(), 1] = part["n0"].to_numpy(), part["n1"].to_numpy()
-    del rows
-    tables = [every[a:b] for a, b in zip(OFFSETS, OFFSETS[1:], strict=False)]
+    def of_contexts(batches):
+        return _context_counts(shared.value)(batches)
+
+    # words that begin alike lie together, so that a context comes from few tasks
+    near = counts.repartitionByRange("kind", "word").sortWithinPartitions("kind", "word")
+    contexts = near.mapInPandas(of_contexts, "key long, n0 double, n1 double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    contexts = stored(contexts, "contexts")
     total = training.count()
     share = min(1.0, fit_texts / max(1, total))
     sample = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = [text for _, text in sorted(sample.limit(2 * fit_texts).collect())]
-    weights = fitted_weights(texts, codes, tables)
-    return Model(codes, [_odds(t) for t in tables], _levels(tables[WORD].sum(1)), weights)
+    return Model(codes, contexts, fitted_weights(texts, codes, contexts))
 
 
 def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -500,31 +568,55 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     most = words.filter(F.col("n") >= least).toArrow()
     frequent = spark.sparkContext.broadcast(dict(zip(most["word"].to_pylist(), most["n"].to_pylist(), strict=True)))
     del most
-    shared = spark.sparkContext.broadcast(model)
+    weights = model.weights
     names = [c for c in documents.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
-
-    def mix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (b.iloc[a : a + TEXTS_AT_ONCE] for b in batches for a in range(0, len(b), TEXTS_AT_ONCE)):
-            coded = Coded.of(batch["text"])
-            seen = np.array([frequent.value.get(w, -1) for w in coded.words], np.float64)
-            rare = np.flatnonzero(seen < 0)
-            text = np.repeat(np.arange(len(batch)), coded.sizes)
-            logs = np.where(seen >= 0, np.log10(np.maximum(seen, 0) + 0.1), 0)[coded.flat]
-            out = batch[names].reset_index(drop=True)
-            out["n_tokens"], out["n_bytes"] = coded.sizes, np.bincount(text, np.array([len(symbols_of(w)) for w in coded.words])[coded.flat], len(batch)).astype(np.int64)
-            out["n_frequent"] = np.bincount(text, (seen >= 0)[coded.flat], len(batch)).astype(np.int64)
-            out["base"], out["score"] = np.bincount(text, logs, len(batch)), shared.value.score(coded)
-            is_rare = np.zeros(len(coded.words), bool)
-            is_rare[rare] = True
-            at = np.flatnonzero(is_rare[coded.flat])
-            cuts = np.searchsorted(text[at], np.arange(len(batch) + 1))
-            names_of = [coded.words[i] for i in coded.flat[at].tolist()]
-            out["rare"] = [names_of[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield out
-
-    columns = f"{kinds}, n_tokens long, n_bytes long, n_frequent long, base double, score double, rare array<binary>"
-    scored = documents.withColumn("text", F.coalesce("text", F.lit(""))).mapInPandas(mix, columns)
+    known = "n_tokens long, n_bytes long, n_frequent long, base double, rare array<binary>"
+    codings = f"_batch long, _id int, kind int, word binary, tail binary, {kinds}, {known}, _flat binary, _number binary"
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each batch of texts: its distinct words (kind 0), boundaries (1) and texts (2), as numbers of these."""
+        number_of_batch = 0
+        for whole in batches:
+            weight = whole["text"].str.len().cumsum() // BYTES_AT_ONCE
+            for batch in (b.iloc[a : a + TEXTS_AT_ONCE] for _, b in whole.groupby(weight) for a in range(0, len(b), TEXTS_AT_ONCE)):
+                at_batch = TaskContext.get().partitionId() << 32 | number_of_batch
+                number_of_batch += 1
+                coded = Coded.of(batch["text"])
+                number, tails, heads = coded.boundaries()
+                for kind, ws, ts in ((0, coded.words, b""), (1, heads, tails)):
+                    some = pd.DataFrame({"_batch": at_batch, "_id": np.arange(len(ws), dtype=np.int32), "kind": kind, "word": ws, "tail": ts})
+                    yield some.assign(**{c: None for c in columns if c not in some})[columns]
+                seen = np.array([frequent.value.get(w, -1) for w in coded.words], np.float64)
+                text = np.repeat(np.arange(len(batch)), coded.sizes)
+                logs = np.where(seen >= 0, np.log10(np.maximum(seen, 0) + 0.1), 0)[coded.flat]
+                out = batch[names].reset_index(drop=True)
+                out["_batch"], out["_id"], out["kind"] = at_batch, np.arange(len(batch), dtype=np.int32), 2
+                out["n_tokens"], out["n_bytes"] = coded.sizes, np.bincount(text, np.array([len(symbols_of(w)) for w in coded.words])[coded.flat], len(batch)).astype(np.int64)
+                out["n_frequent"] = np.bincount(text, (seen >= 0)[coded.flat], len(batch)).astype(np.int64)
+                out["base"] = np.bincount(text, logs, len(batch))
+                at = np.flatnonzero((seen < 0)[coded.flat])
+                cuts = np.searchsorted(text[at], np.arange(len(batch) + 1))
+                names_of = [coded.words[i] for i in coded.flat[at].tolist()]
+                out["rare"] = [names_of[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                ends = np.cumsum(coded.sizes).tolist()
+                for column, numbers in (("_flat", coded.flat), ("_number", number.astype(np.int32))):
+                    out[column] = [numbers[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+                yield out.assign(word=None, tail=None)[columns]
+
+    def mix(texts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values(["kind", "_id"])
+        numbers = ([np.frombuffer(b, np.int32) for b in texts[c]] for c in ("_flat", "_number"))
+        found = scores(*numbers, list(pieces["odds"][pieces["kind"] == 0]), list(pieces["odds"][pieces["kind"] == 1]), weights)
+        return texts.assign(score=found)[[*names, "n_tokens", "n_bytes", "n_frequent", "base", "rare", "score"]]
+
+    coded = documents.withColumn("text", F.coalesce("text", F.lit(""))).select(*names, "text")
+    columns = spark.createDataFrame([], codings).columns
+    coded = stored(coded.mapInPandas(code, codings), "coded")
+    pieces = coded.filter("kind < 2").select("_batch", "_id", "kind", "word", "tail")
+    pieces = pieces.join(odds_of_words(pieces, model), ["kind", "word", "tail"]).select(F.col("_batch").alias("_of"), "_id", "kind", "odds")
+    texts = coded.filter("kind = 2").drop("_id", "kind", "word", "tail")
+    scored = texts.groupBy("_batch").cogroup(pieces.groupBy("_of")).applyInPandas(mix, f"{kinds}, {known}, score double")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     # the rarer words' counts are joined, each of a text's words once
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("m"))

@@ -80,3 +80,19 @@ def test_nothing_to_learn_from(spark):
     found = cm.score(frame, cm.train(none, counts), counts).orderBy("doc_id").collect()
     assert [r.n_tokens for r in found] == [3, 1] and all(r.score < 0 and r.n_known == 0 and r.train_tokens == 0 for r in found)
     assert cm.score(none, cm.train(none, counts), counts).count() == 0
+
+
+def test_contexts_are_counted_apart(spark):
+    """Every context and node has its own counts, however many there are: those of a word never seen are 0."""
+    rng = random.Random(3)
+    words = lambda n: {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(n)}
+    known, fresh = sorted(words(8_000)), sorted(words(2_000))
+    frame = spark.createDataFrame([(k, " ".join(known[a : a + 500])) for k, a in enumerate(range(0, len(known), 500))], "doc_id long, text string")
+    counts = cm.word_counts(frame)
+    model = cm.train(frame, counts)
+    seen = {w[:k] for w in known for k in range(9)}
+    found = cm.decisions([w.encode() for w in fresh], model.codes, (0, 1, 2, 3))
+    level = model.level[found.slots[cm.WORD]]
+    last = found.first + found.size - 1  # the last decision stands before the eighth letter
+    never = np.array([w[:7] not in seen for w in fresh])
+    assert never.any() and (level[last][never] == 0).all()
