@@ -2,7 +2,8 @@
 
 One model per language over lower-cased words (runs of letters) between a start and
 an end mark. Counts are gathered from all training rows in Spark: words by language,
-then character sequences by language. The models are held together in sorted arrays
+then character sequences by language, then their continuation counts, discounts and
+back-off weights; no sequence is left out. The models are held together in sorted arrays
 of sequence hashes, one row of log probabilities (a column per language) for each
 sequence that any language has, and one of backing-off weights for each context. A
 text gets the language of the lowest cross-entropy per character. It is rejected
@@ -28,9 +29,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import fold, stored, table
 
-ORDER = 4
-#: The most sequences that the broadcast model holds; beyond it the rarest counts go.
-MOST_SEQUENCES = 400_000
+ORDER = 5
 START, END = "\x02", "\x03"
 MOST_KEPT = 500_000
 LONGEST_WORD = 64
@@ -145,7 +144,10 @@ class Models:
 
 
 def smooth(counts: dict[str, dict[str, int]], order: int = ORDER) -> Models:
-    """Interpolated Kneser-Ney models from {lang: {sequence: count}}, sequences of full length or from a word's start."""
+    """Interpolated Kneser-Ney models from {lang: {sequence: count}}, sequences of full length or from a word's start.
+
+    All on the driver, for few counts; `smoothed` makes the same models in Spark.
+    """
     langs = sorted(counts)
     width = len(langs)
     # count of each sequence at its own length: the highest order and word starts as they occur, others by distinct left neighbours
@@ -205,23 +207,76 @@ def smooth(counts: dict[str, dict[str, int]], order: int = ORDER) -> Models:
     return Models(langs, order, keys, logs, context_keys, context_logs, np.log(bottom if levels[1] else unseen).astype(np.float32))
 
 
-def train(rows: DataFrame, order: int = ORDER, most: int = MOST_SEQUENCES) -> Models:
-    """Models from text and lang of all rows; the counting is Spark's, the bounded count table is smoothed on the driver."""
+def _shipped(frame: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the first column's sequences, and the second's rows of logarithms."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seq, rows = (batch[c] for c in batch.columns)
+            yield pd.DataFrame({"key": _hash_texts(list(seq)).view(np.int64), "logs": [np.log(row).astype(np.float32).tobytes() for row in rows]})
+
+    found = frame.mapInPandas(hashed, "key long, logs binary").toArrow()
+    keys = found["key"].to_numpy().view(np.uint64)
+    at = np.argsort(keys)
+    return keys[at], np.frombuffer(b"".join(found["logs"].to_pylist()), np.float32).reshape(-1, width)[at]
+
+
+def smoothed(sequences: DataFrame, order: int = ORDER) -> Models:
+    """The models of `smooth` from lang, seq and n, all sequences counted and smoothed in Spark; finished arrays come to the driver."""
+    langs = sorted(lang for (lang,) in sequences.select("lang").distinct().collect())
+    width = len(langs)
+    if not langs:
+        return smooth({}, order)
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    full = sequences.select(number.alias("k"), "seq", F.col("n").cast("double").alias("c"))
+    levels: dict[int, DataFrame] = {}
+    for m in range(order, 0, -1):  # the highest order and word starts as they occur, others by distinct left neighbours
+        rows = full.filter(F.length("seq") == m)
+        if m < order:
+            rows = rows.union(levels[m + 1].select("k", F.expr("substring(seq, 2)"), F.lit(1.0)))
+        levels[m] = stored(rows.groupBy("k", "seq").agg(F.sum("c").alias("c")), "level")
+    unseen = 1 / (levels[1].select("seq").distinct().count() + 1)
+    by_lang = lambda f: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), f)
+    of_langs = lambda c: F.map_from_entries(F.collect_list(F.struct("k", c)))
+    dense = lambda c: by_lang(lambda i: F.coalesce(F.element_at(c, i), F.lit(0.0)))
+    keys, logs, context_keys, context_logs = [np.zeros(0, np.uint64)], [np.zeros((0, width), np.float32)], [np.zeros(0, np.uint64)], [np.zeros((0, width), np.float32)]
+    lower, bottom = None, np.full(width, unseen)
+    for n in range(1, order + 1):
+        marks = {k: (once, twice) for k, once, twice in levels[n].groupBy("k").agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).collect()}
+        once, twice = np.array([marks.get(k, (0, 0)) for k in range(width)], np.float64).T
+        cut = F.array(*map(F.lit, np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.95).tolist()))
+        rows = levels[n].withColumn("context", F.expr(f"substring(seq, 1, {n - 1})"))
+        totals = rows.groupBy("k", "context").agg(F.sum("c").alias("t"), F.count("*").cast("double").alias("kinds"))
+        contexts = totals.groupBy("context").agg(of_langs("t").alias("t"), of_langs("kinds").alias("kinds")).select("context", dense("t").alias("t"), dense("kinds").alias("kinds"))
+        gamma = by_lang(lambda i: F.when(F.get("t", i) > 0, F.get(cut, i) * F.get("kinds", i) / F.greatest(F.get("t", i), F.lit(1.0))).otherwise(F.lit(1.0)))
+        contexts = stored(contexts.select("context", "t", gamma.alias("gamma")), "contexts")
+        counts = rows.groupBy("seq", "context").agg(of_langs("c").alias("c")).select("seq", "context", dense("c").alias("c")).join(contexts, "context")
+        if n == 1:
+            counts = counts.withColumn("shorter", F.array_repeat(F.lit(unseen), width))
+            bottom = np.array(contexts.first()["gamma"]) * unseen
+        else:
+            counts = counts.withColumn("suffix", F.expr("substring(seq, 2)")).join(lower.select(F.col("seq").alias("suffix"), F.col("p").alias("shorter")), "suffix")
+        seen = lambda i: F.greatest(F.get("c", i) - F.get(cut, i), F.lit(0.0)) / F.greatest(F.get("t", i), F.lit(1.0))
+        p = by_lang(lambda i: seen(i) + F.get("gamma", i) * F.get("shorter", i))
+        lower = stored(counts.select("seq", p.alias("p")), "chances")
+        for frame, to_keys, to_logs in ((lower, keys, logs), (contexts.select("context", "gamma").filter(F.lit(n > 1)), context_keys, context_logs)):
+            k, v = _shipped(frame, width)
+            to_keys.append(k)
+            to_logs.append(v)
+    return Models(langs, order, keys, logs, context_keys, context_logs, np.log(bottom).astype(np.float32))
+
+
+def count_sequences(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, seq and n of the character sequences in text and lang of all rows."""
     words = rows.filter("lang is not null and text is not null").select("lang", "text").mapInPandas(_count_words, "lang string, word string, n long")
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     sequences = words.mapInPandas(_sequences(order), "lang string, seq string, n long").groupBy("lang", "seq").agg(F.sum("n").alias("n"))
-    sequences = stored(sequences, "sequences")
-    histogram = sorted(sequences.groupBy("n").count().collect() if sequences.count() > most else [], reverse=True)
-    least, total = 1, 0
-    for n, size in histogram:
-        total += size
-        if total > most:
-            least = n + 1
-            break
-    counts: dict[str, dict[str, int]] = {}
-    for lang, seq, n in sequences.filter(F.col("n") >= least).toPandas().sort_values(["lang", "seq"]).itertuples(index=False):
-        counts.setdefault(lang, {})[seq] = n
-    return smooth(counts, order)
+    return stored(sequences, "sequences")
+
+
+def train(rows: DataFrame, order: int = ORDER) -> Models:
+    """Models from text and lang of all rows."""
+    return smoothed(count_sequences(rows, order), order)
 
 
 class Identifier:

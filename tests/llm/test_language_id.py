@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from granary.llm.language_id import END, START, Identifier, _hash_texts, calibrate, identify, smooth, train
+from granary.llm.language_id import END, ORDER, START, Identifier, _hash_texts, calibrate, count_sequences, identify, smooth, train
 
 SYLLABLES = {"aa": "ka ko mi ta ru shi".split(), "bb": "the ing er an st wh".split(), "cc": "ción os la el rr ñ".split()}
 
@@ -82,3 +83,28 @@ def test_nothing_to_learn_from(spark):
     models = train(frame)
     assert [(r.lang_pred, r.score, r.rejected) for r in identify(frame, models, calibrate(frame, models)).collect()] == [("und", 0.0, True)]
     assert identify(frame.limit(0), models).count() == 0
+
+
+def test_every_sequence_counts(spark):
+    """The models are those of all sequences, and a language of few rows beside one of very many sequences is kept."""
+    rng = random.Random(5)
+    many = "abcdefghijklmnopqrstuvwxyz"
+    rows = [*texts(60, 4), *[(1000 + i, " ".join("".join(rng.choices(many, k=9)) for _ in range(40)), "dd") for i in range(60)], (2000, "žluťoučký kůň", "ee")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts: dict = {}
+    for lang, seq, n in count_sequences(frame).collect():
+        counts.setdefault(lang, {})[seq] = n
+    models, whole = train(frame), smooth(counts)
+    assert models.langs == whole.langs == ["aa", "bb", "cc", "dd", "ee"] and models.order == ORDER
+    for n in range(1, ORDER + 1):
+        for k, v, k2, v2 in ((models.keys[n], models.logs[n], whole.keys[n], whole.logs[n]), (models.context_keys[n], models.context_logs[n], whole.context_keys[n], whole.context_logs[n])):
+            assert np.array_equal(k, k2) and np.allclose(v, v2, atol=1e-5)
+    assert np.allclose(models.unseen, whole.unseen)
+    assert identify(spark.createDataFrame([(1, "kůň žluťoučký")], "doc_id long, text string"), models).first().lang_pred == "ee"
+
+
+def test_a_language_of_one_row_stays_beside_very_many_sequences(spark):
+    word = F.lower(F.translate(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), "0123456789+/=", "абвгдежзийклм"))
+    large = spark.range(20_000).groupBy(F.pmod("id", F.lit(50)).alias("doc_id")).agg(F.array_join(F.collect_list(word), " ").alias("text")).withColumn("lang", F.lit("dd"))
+    frame = large.union(spark.createDataFrame([(2000, "žluťoučký kůň", "ee")], "doc_id long, text string, lang string"))
+    assert train(frame).langs == ["dd", "ee"]
