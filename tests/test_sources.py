@@ -4,7 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from granary.functions import markup
-from granary.operators.structured import structured
+from granary.operators.structured import q_gold_remap, structured
 from granary.sources import docx, index
 from granary.streaming import calls
 
@@ -91,3 +91,19 @@ def test_streams(spark, tmp_path):
     (tmp_path / "events").mkdir()
     events = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "events"))
     assert calls.windowed_counts(events).isStreaming
+
+
+def test_gold_remap_against_brute_force(spark, tmp_path):
+    """Every character but white space belongs to one structured chunk; a fixed chunk is mapped if all of its own belong to the same."""
+    same = "again and again the same words stand here in a long line of text. "
+    texts = [None, "", "short", "a" * 70 + "\n\n" + "b" * 150, "\n\n".join("w%d " % k + "x" * 90 for k in range(30)), same * 40, "y" * 1500, "- one\n- two\n\nthree\xa0four " * 60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {"mapped": 0, "missing": 0}
+    for text in filter(None, texts):
+        owners = [k for k, (_, c) in enumerate(structured(text, markdown=False)) for _ in "".join(c.split())]
+        content, at = " ".join(text.replace("\xa0", "\x00").split()).replace("\x00", " "), 0
+        for a in range(0, len(content), 180):
+            n = len("".join(content[a : a + 180].split()))
+            expected["mapped" if len(set(owners[at : at + n])) == 1 else "missing"] += 1
+            at += n
+    assert {r.state: r.n for r in q_gold_remap(spark, str(tmp_path)).collect()} == expected
