@@ -7,14 +7,19 @@ their MinHash signatures are candidates; their one-byte signatures are compared
 batches, and a pair is dropped once the posterior probability that its similarity
 reaches the threshold falls under MISS. Survivors are confirmed on their full sets.
 
-A bucket of n classes is not expanded into pairs. First every class is tried against
-two hubs, smallest ids of its buckets. What is then in one component needs no further
-test; in buckets that hold several components, members outside the largest one are
-compared with all the others, in blocks inside numpy, a few bands first. Only survivors
-become rows: of each class the most alike, and where these do not connect it with all
-the others', in further rounds as many as there are. So every pair that shares a band
-is either tried or already connected, and none is cut. A pair at 0.85 shares none of 36 bands of 7 with
-probability 9e-7; one at 0.9 with 2e-10.
+A bucket of n classes is not expanded into pairs. Every class is compared with the
+smallest id of each of its buckets; in buckets that then still hold several components
+of plausible pairs, members outside the largest one are compared with all the others,
+in blocks inside numpy, which give no more than a spanning forest. The components of
+plausible pairs are the groups. The texts of a group come together in blocks of bounded
+bytes, where full sets decide: every pair of a block is either tested or already
+connected, and again a block gives a forest, so no step makes more rows than members
+a block. A group of several blocks is joined by the most central member of each, then
+by comparing what is still outside its largest component with all the rest.
+
+A pair at exactly 0.85 is lost if it shares none of 36 bands of 7 (probability 9e-7) or
+is pruned in one of four batches (1e-8 each), unless others connect it: 1e-6 at most in
+all. At 0.9 it is 2e-10 for the bands.
 
 Rows that share a doc_id are one document: their links are united. Defined results:
 null, empty and blank texts have no set, no link and themselves as component; repeated
@@ -37,14 +42,12 @@ from granary.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 36, 7
 THRESHOLD = 85  # hundredths
-MISS = 1e-6
+MISS = 1e-8
 BATCHES = (36, 84, 147, BANDS * ROWS)
-MEMBERS_A_GROUP = 256
-BLOCK, CHUNK = 256, 2_048
-FIRST_QUOTA, GROWTH = 4, 32
-CENTRAL = 2
-#: Bands whose mixed buckets are resolved one after the other: the first leave little to the many.
-ROUNDS = ((0, 3), (3, BANDS))
+#: Bytes of a block's texts, and the least that one counts for: a block has 1,024 members at most.
+BLOCK_BYTES, LEAST_BYTES = 8 << 20, 8 << 10
+#: Members of a block whose signatures alone are compared.
+BLOCK = 2_048
 MOST_WORDS = 1 << 19
 
 _U = np.uint64
@@ -136,20 +139,82 @@ def plausible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def plausible_pairs(a: np.ndarray, b: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows i of a and j of b, and their equal bytes, of the allowed pairs that stay plausible through all batches."""
-    n, least = _LEAST[0]
-    matches = np.empty(allowed.shape, np.int64)
-    for k in range(0, len(a), 16):
-        matches[k : k + 16] = (a[k : k + 16, None, :n] == b[None, :, :n]).sum(2)
-    i, j = np.nonzero(allowed & (matches >= least))
-    matches, done = matches[i, j], n
-    for n, least in _LEAST[1:]:
-        for k in range(0, len(i), 50_000):
-            matches[k : k + 50_000] += (a[i[k : k + 50_000], done:n] == b[j[k : k + 50_000], done:n]).sum(1)
-        alive = matches >= least
-        i, j, matches, done = i[alive], j[alive], matches[alive], n
-    return i, j, matches
+class Signatures:
+    """Which signatures stay plausible beside another's."""
+
+    def __init__(self, sig: np.ndarray, sizes: np.ndarray):
+        self.sig, self.sizes = sig, sizes
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(self.sizes[others], self.sizes[i]), np.maximum(self.sizes[others], self.sizes[i])
+        others = others[small * 100 >= large * THRESHOLD]
+        return others[plausible(np.broadcast_to(self.sig[i], (len(others), self.sig.shape[1])), self.sig[others])]
+
+
+class Sets:
+    """Which sets reach the threshold beside another: intersections counted over all sets at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.mark = np.zeros(self.codes.max() + 1, np.int32)
+        self.at, self.kept = np.arange(len(sets)), self.codes
+
+    def central(self) -> np.ndarray:
+        """All sets, those first whose members are the most frequent on average: of a family, its original."""
+        often = np.bincount(self.codes)[self.codes]
+        return np.argsort(-np.add.reduceat(often, self.starts) / self.sizes, kind="stable")
+
+    def _near(self, i: int, others: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        size, own = self.sizes[others], self.codes[self.starts[i] : self.starts[i] + self.sizes[i]]
+        self.mark[own] = 1
+        both = np.add.reduceat(self.mark[codes], np.cumsum(size) - size)
+        self.mark[own] = 0
+        return others[both * 100 >= (size + self.sizes[i] - both) * THRESHOLD]
+
+    def _codes_of(self, some: np.ndarray) -> np.ndarray:
+        size = self.sizes[some]
+        return self.codes[np.arange(size.sum()) + np.repeat(self.starts[some] - np.cumsum(size) + size, size)]
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        return self._near(i, others, self._codes_of(others)) if len(others) else others
+
+    def near_of_rest(self, i: int, rest: np.ndarray) -> np.ndarray:
+        """The same among the sets that rest, a mask, still has; from call to call it only shrinks."""
+        n = np.count_nonzero(rest)
+        if 2 * n < len(self.at):
+            self.at = np.flatnonzero(rest)
+            self.kept = self._codes_of(self.at)
+        near = self._near(i, self.at, self.kept) if n else self.at[:0]
+        return near[rest[near]]
+
+
+def forest_within(sets: Sets) -> tuple[list[tuple[int, int]], int]:
+    """Edges that connect what the links of all pairs connect, and the most central set."""
+    order, rest, edges = sets.central().tolist(), np.ones(len(sets.sizes), bool), []
+    for start in order:
+        todo = [start] if rest[start] else []
+        rest[start] = False
+        while todo:
+            i = todo.pop()
+            near = sets.near_of_rest(i, rest).tolist()
+            rest[near] = False
+            edges += [(i, j) for j in near]
+            todo += near
+    return edges, order[0]
+
+
+def forest_between(left: np.ndarray, right: np.ndarray, component: np.ndarray, near) -> list[tuple[int, int]]:
+    """Edges (left, right) that connect, beyond the components there, what the links of all pairs connect."""
+    component, edges = component.copy(), []
+    for i in left.tolist():
+        others = right[component[right] != component[i]]
+        for j in near(i, others).tolist() if len(others) else ():
+            if component[j] != component[i]:
+                edges.append((i, j))
+                component[component == component[j]] = component[i]
+    return edges
 
 
 def _near_in_size(a: Column, b: Column) -> Column:
@@ -212,106 +277,102 @@ def _in_order(rows: DataFrame, keys: list[str], *then: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *then)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. The b side's text travels once for each MEMBERS_A_GROUP pairs."""
+def _stretches(group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
+    return zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True)
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, theirs = None, []
-        for batch in batches:
-            out = []
-            for side, a, b, part, text in zip(batch["side"], batch["a"], batch["b"], batch["part"], batch["text"], strict=True):
-                own = shingles(text)
-                if side == 0:  # the b side comes first; it has several texts if several rows share its id
-                    if (b, part) != group:
-                        group, theirs = (b, part), []
-                    theirs.append(own)
-                elif (b, part) == group:
-                    for other in theirs:
-                        both = len(np.intersect1d(own, other, assume_unique=True))
-                        if both * 100 >= (len(own) + len(other) - both) * THRESHOLD:
-                            out.append((a, b))
-                            break
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    counts = pairs.groupBy("b").agg(F.count("*").alias("m"))
-    parts = F.ceil(F.col("m") / MEMBERS_A_GROUP).cast("long")
-    grouped = pairs.join(counts, "b").withColumn("part", F.pmod(F.xxhash64("a"), parts)).select("a", "b", "part")
-    of_a = _likely(texts, pairs.select(F.col("a").alias("id")).distinct())
-    members = grouped.join(of_a.select(F.col("id").alias("a"), "text"), "a").select("b", "part", F.lit(1).alias("side"), "a", "text")
-    hubs = counts.select(F.col("b").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    hubs = hubs.join(_likely(texts, counts.select(F.col("b").alias("id"))), "id").select(F.col("id").alias("b"), "part", F.lit(0).alias("side"), F.col("id").alias("a"), "text")
-    return _in_order(members.union(hubs), ["b", "part"], "side", "a").mapInPandas(check, "a long, b long")
-
-
-def _residual(members: DataFrame, labels: DataFrame, classes: DataFrame, quota: int) -> DataFrame:
-    """a, b, more: plausible pairs of classes that share a bucket (key, rep) and are of different components as yet.
-
-    Of a class's plausible partners in one block, the quota most alike come, and those that the whole block is most
-    alike to; more tells that others remain.
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows sorted by keys, each whole."""
+    parts: list[pd.DataFrame] = []
+    for batch in batches:
+        for a, b in _stretches(batch.groupby(keys, sort=False).ngroup().to_numpy()):
+            part = batch.iloc[a:b]
+            if parts and a == 0 and (parts[-1][keys].iloc[0] == part[keys].iloc[0]).all():
+                parts.append(part)
+                continue
+            if parts:
+                yield pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+            parts = [part]
+    if parts:
+        yield pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+
+
+def _edges(ids: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
+    one, other = (ids[[e[k] for e in edges]] for k in (0, 1))
+    return pd.DataFrame({"a": np.maximum(one, other), "b": np.minimum(one, other)})
+
+
+def _opposed(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """key, block, other, side, rep and component: in blocks, the members (key, rep, size) of each key that holds several components.
+
+    What lies outside a key's largest component is on the left of every block of that component, and of every block
+    of its like from its own on. A block has about `most` by size.
     """
-    labelled = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("m").alias("all"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("of_main")).filter("kinds > 1")
-    mixed = mixed.withColumn("blocks", F.ceil((F.col("all") - F.col("of_main")) / BLOCK).cast("long")).withColumn("chunks", F.ceil(F.col("of_main") / CHUNK).cast("long"))
-    # which rows: those of mixed buckets, with what the comparison needs
-    rows = labelled.join(mixed, "key").join(classes.select("rep", "n", "sig"), "rep")
-    rows = stored(rows.select("key", "rep", "component", "n", "sig", "main", "blocks", "chunks"), "residual")
+    labelled = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
+    sizes = labelled.groupBy("key", "component").agg(F.sum("size").alias("m"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("main")).filter("kinds > 1")
+    blocks = lambda c: F.ceil(c / most).cast("long")
+    mixed = mixed.select("key", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.m")).alias("blocks"), blocks(F.col("main.m")).alias("chunks"))
+    rows = labelled.drop("size").join(mixed, "key")
     spread = lambda n: F.pmod(F.xxhash64("rep"), n)
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     outside = rows.filter("component <> main").withColumn("block", spread(F.col("blocks")))
-    columns = ["key", "block", "other", "side", "rep", "component", "n", "sig"]
-    # an outsider is on the left of every chunk of the main component and of every block from its own on
+    columns = ["key", "block", "other", "side", "rep", "component"]
     others = F.concat(F.transform(upto(F.col("chunks")), lambda j: -1 - j), F.sequence("block", F.col("blocks") - 1))
     left = outside.withColumn("side", F.lit(0)).withColumn("other", F.explode(others)).select(columns)
     right = rows.filter("component = main").withColumn("block", F.explode(upto(F.col("blocks")))).withColumn("other", -1 - spread(F.col("chunks")))
     right = right.withColumn("side", F.lit(1)).select(columns)
     again = outside.withColumn("side", F.lit(1)).withColumn("other", F.col("block")).drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "other")))
+    return left.union(right).union(again.select(columns))
+
+
+_BLOCK_KEYS = ["key", "block", "other"]
+
+
+def _compared(opposed: DataFrame, of_each: DataFrame) -> DataFrame:
+    """a and b: forests of the plausible pairs between both sides of each block, by rep, n and sig of each class."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole_groups(batches, ["key", "block", "other"]):
-            sig, n, component, rep, side = _signatures(rows["sig"]), *(rows[c].to_numpy() for c in ("n", "component", "rep", "side"))
-            group = rows.groupby(["key", "block", "other"], sort=False).ngroup().to_numpy()
-            found = []
-            for a, b in zip(*_stretches(group), strict=True):
-                k = a + int(np.searchsorted(side[a:b], 1))
-                if a < k < b:
-                    small, large = np.minimum(n[a:k, None], n[k:b]), np.maximum(n[a:k, None], n[k:b])
-                    i, j, matches = plausible_pairs(sig[a:k], sig[k:b], (component[a:k, None] != component[k:b]) & (small * 100 >= large * THRESHOLD))
-                    if len(i):
-                        order = np.lexsort((rep[k + j], -matches, i))
-                        i, j = i[order], j[order]
-                        nth = np.arange(len(i)) - np.searchsorted(i, i)
-                        # of a family of copies the original is the one that all are most alike to
-                        central = np.argsort(-np.bincount(j, matches[order], b - k), kind="stable")[:CENTRAL]
-                        kept, total = (nth < quota) | np.isin(j, central), np.bincount(i, minlength=k - a)[i]
-                        found.append((rep[a + i][kept], rep[k + j][kept], total[kept] > quota))
-            if found:
-                one, other, more = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"a": np.maximum(one, other), "b": np.minimum(one, other), "more": more})
-
-    ordered = _in_order(left.union(right).union(again.select(columns)), ["key", "block", "other"], "side", "rep")
-    return ordered.mapInPandas(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def _stretches(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of equal values."""
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    return starts, np.append(starts[1:], len(group))
+        for rows in _groups(batches, _BLOCK_KEYS):
+            side = rows["side"].to_numpy()
+            component = rows["component"].to_numpy()
+            signatures = Signatures(_signatures(rows["sig"]), rows["n"].to_numpy())
+            edges = forest_between(np.flatnonzero(side == 0), np.flatnonzero(side == 1), component, signatures.near)
+            if edges:
+                yield _edges(rows["rep"].to_numpy(), edges)
 
+    return _in_order(opposed.join(of_each.select("rep", "n", "sig"), "rep"), _BLOCK_KEYS, "side", "rep").mapInPandas(compare, "a long, b long")
 
-def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Batches of rows sorted by keys, cut anew so that none parts a group."""
-    rest = None
-    for batch in batches:
-        rows = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
-        if len(rows):
-            last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
-            cut = len(rows) - int(last.sum())
-            rest = rows.iloc[cut:]
-            if cut:
-                yield rows.iloc[:cut]
-    if rest is not None and len(rest):
-        yield rest
+
+def _linked_between(opposed: DataFrame, texts: DataFrame) -> DataFrame:
+    """a and b: forests of the pairs between both sides of each block whose full sets reach the threshold."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _groups(batches, _BLOCK_KEYS):
+            found, side = Sets([shingles(t) for t in rows["text"]]), rows["side"].to_numpy()
+            edges = forest_between(np.flatnonzero(side == 0), np.flatnonzero(side == 1), rows["component"].to_numpy(), found.near)
+            if edges:
+                yield _edges(rows["rep"].to_numpy(), edges)
+
+    rows = opposed.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    return _in_order(rows, _BLOCK_KEYS, "side", "rep").mapInPandas(link, "a long, b long")
+
+
+def _linked_within(texts: DataFrame) -> DataFrame:
+    """a and b: a forest of the links within each block of texts; a pair of one id marks the most central member of a block of several."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _groups(batches, ["group", "block"]):
+            ids = rows["id"].to_numpy()
+            edges, central = forest_within(Sets([shingles(t) for t in rows["text"]])) if len(ids) > 1 else ([], 0)
+            if rows["blocks"].iloc[0] > 1:
+                edges.append((central, central))
+            if edges:
+                yield _edges(ids, edges)
+
+    return _in_order(texts, ["group", "block"], "id").mapInPandas(link, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -319,32 +380,35 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     profile = stored(profiles(documents), "profiles")
     found = profile.filter("n > 0 and doc_id is not null").groupBy("k1", "k2")
     classes = stored(found.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    banded = classes.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).filter("m > 1")
     members = stored(banded.join(buckets.select("key", "hub"), "key"), "members")
-    # the texts of all that share a bucket, kept once for all rounds
-    sharing = members.select(F.col("rep").alias("id")).distinct()
-    texts = _likely(documents.select(F.col("doc_id").cast("long").alias("id"), "text"), sharing).join(sharing, "id", "left_semi")
-    texts = stored(texts, "texts")
-    # two pairs of each class: with the hub it shares most buckets with, and with the smallest
-    shared = members.filter("rep > hub").groupBy("rep", "hub").agg(F.count("*").alias("k"))
-    hubs = F.array_distinct(F.array(F.max_by("hub", F.struct(F.col("k"), -F.col("hub"))), F.min("hub")))
-    stars = shared.groupBy(F.col("rep").alias("a")).agg(hubs.alias("b")).select("a", F.explode("b").alias("b"))
-    links = stored(_confirm(stored(_prune(stars, classes), "plausible"), texts), "links")
+    # plausible pairs, as far as they are needed to tell what belongs together: with the hubs, then within mixed buckets
+    stars = members.filter("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    plausible_pairs = stored(_prune(stars, classes), "plausible")
+    groups = components(plausible_pairs)
+    opposed = stored(_opposed(members.select("key", "rep", F.lit(1).alias("size")), groups, BLOCK), "opposed")
+    if not opposed.isEmpty():
+        groups = components(plausible_pairs.union(stored(_compared(opposed, classes), "plausible")))
+    # the texts of each group in blocks, and their links
+    groups = groups.select(F.col("node").alias("id"), F.col("component").alias("group"))
+    of_ids = groups.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum(F.greatest(F.col("n") * 8, F.lit(LEAST_BYTES))).alias("size")), "id")
+    blocks = of_ids.groupBy("group").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("long").alias("blocks"))
+    of_ids = stored(of_ids.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "groups")
+    texts = _likely(documents.select(F.col("doc_id").cast("long").alias("id"), "text"), of_ids.select("id")).join(of_ids, "id")
+    texts = stored(texts.filter(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")), "texts")
+    links = stored(_linked_within(texts), "links")
+    central = links.filter("a = b").select(F.col("a").alias("rep"))
+    if not central.isEmpty():
+        large = of_ids.filter("blocks > 1").select(F.col("group").alias("key"), F.col("id").alias("rep"), "block", "blocks", "size")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        pivots = large.join(central.distinct(), "rep", "left_semi").withColumn("block", every).withColumn("side", F.lit(0))
+        both = pivots.union(large.withColumn("side", F.lit(1)).select(pivots.columns)).withColumn("other", F.col("block")).withColumn("component", F.col("rep"))
+        links = links.filter("a <> b").union(stored(_linked_between(both, texts), "links"))
+        opposed = stored(_opposed(large.select("key", "rep", "size"), components(links), BLOCK_BYTES), "opposed")
+        if not opposed.isEmpty():
+            links = links.union(stored(_linked_between(opposed, texts), "links"))
     labels = components(links)
-    for low, high in ROUNDS:
-        some, quota = members.filter(F.col("band").between(low, high - 1)).select("key", "rep"), FIRST_QUOTA
-        while True:
-            rest = stored(_residual(some, labels, classes, quota), "rest")
-            if rest.isEmpty():
-                break
-            new = stored(_confirm(rest.select("a", "b"), texts), "links")
-            if not new.isEmpty():
-                links = links.union(new)
-                labels = components(links)
-            if rest.filter("more").isEmpty():
-                break
-            quota *= GROWTH
     of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = profile.select("doc_id", "n", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     component = F.coalesce("component", "doc_id")
