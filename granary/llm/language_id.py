@@ -9,18 +9,22 @@ sequence that any language has, and one of backing-off weights for each context.
 text gets the language of the lowest cross-entropy per character. It is rejected
 where even that lies above the language's limit, calibrated on the training texts.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0 and
-rejected; repeated rows stay and weigh as often as they occur; null languages train
+Defined results: null texts and texts without a letter (number signs such as ½ and Ⅷ are
+none) are ``und`` with score 0 and rejected; null ids are in no fold: they are scored,
+train nothing and have a null held_out; repeated rows stay and weigh as often as they occur; null languages train
 nothing; ties go to the smaller language value; without a training row every text is
 ``und``; extra columns are ignored; very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,13 +35,18 @@ from granary.llm.common import fold, stored, table
 
 ORDER = 5
 START, END = "\x02", "\x03"
-MOST_KEPT = 500_000
-LONGEST_WORD = 64
-_WORD = re.compile(r"[^\W\d_]+")
+CHARS_AT_ONCE = 1 << 20
+
+
+@functools.cache
+def _word() -> re.Pattern:
+    """Runs of letters: what \\w holds but digits, the underscore and number signs that are no digits."""
+    signs = "".join(map(re.escape, filter(lambda c: c.isalnum() and not c.isalpha(), map(chr, range(sys.maxunicode + 1)))))
+    return re.compile(rf"[^\W\d_{signs}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return _word().findall(text.lower()) if text else []
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,15 +106,6 @@ class Models:
     context_logs: list[np.ndarray]
     unseen: np.ndarray  # log probability of a character never seen
 
-    def identifier(self) -> Identifier:
-        """One for all tasks that this copy of the models serves."""
-        if "_identifier" not in self.__dict__:
-            self._identifier = Identifier(self)
-        return self._identifier
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_identifier"}
-
     def score(self, words: list[str]) -> np.ndarray:
         """The log probability of each word, its end included, by language."""
         padded = [START + w + END for w in words]
@@ -279,29 +279,40 @@ def train(rows: DataFrame, order: int = ORDER) -> Models:
     return smoothed(count_sequences(rows, order), order)
 
 
-class Identifier:
-    """Scores texts by the sums of their words' scores; each distinct word is scored once per task while it is kept."""
-
-    def __init__(self, models: Models):
-        self.models, self.index, self.rows = models, {}, np.zeros((0, len(models.langs) + 1))
-
-    def sums(self, texts: list[str | None]) -> np.ndarray:
-        """By text: the log probability by language, then the number of characters with word ends."""
-        width = len(self.models.langs) + 1
-        if len(self.index) > MOST_KEPT:
-            self.index, self.rows = {}, np.zeros((0, width))
-        lists = [words_of(t) for t in texts]
-        new = [w for w in dict.fromkeys(w for ws in lists for w in ws) if w not in self.index]
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            scores = np.column_stack([self.models.score(part), [len(w) + 1 for w in part]])
-            self.index.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
-            self.rows = np.concatenate([self.rows, scores])
-        out = np.zeros((len(texts), width))
-        for i, ws in enumerate(lists):
-            if ws:
-                out[i] = self.rows[list(map(self.index.__getitem__, ws))].sum(0)
-        return out
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, a few at a time: CHARS_AT_ONCE or one text."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size >= CHARS_AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def sums(models: Models, texts: list[str | None]) -> np.ndarray:
+    """By text: the log probability by language, then the number of characters with word ends. Each distinct word is scored once a slice."""
+    out = [np.zeros((0, len(models.langs) + 1))]
+    for part in _slices(texts):
+        index, lists = _Numbers(), list(map(words_of, part))
+        sizes = np.array(list(map(len, lists)), np.int64)
+        flat = np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int32, sizes.sum())
+        del lists
+        words = list(index)
+        scores = [np.column_stack([models.score(words[k : k + 50_000]), [len(w) + 1 for w in words[k : k + 50_000]]]) for k in range(0, len(words), 50_000)]
+        found, some = np.zeros((len(part), len(models.langs) + 1)), sizes > 0
+        for k, column in enumerate(np.concatenate(scores).T if scores else ()):
+            found[some, k] = np.add.reduceat(column[flat], (np.cumsum(sizes) - sizes)[some])
+        out.append(found)
+    return np.concatenate(out)
 
 
 def guessed(text: Column, models: Models, limits: dict[str, float] | None = None) -> Column:
@@ -311,11 +322,11 @@ def guessed(text: Column, models: Models, limits: dict[str, float] | None = None
     @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         models, limits = shared.value
-        identifier, langs = models.identifier(), np.array([*models.langs, "und"], dtype=object)
+        langs = np.array([*models.langs, "und"], dtype=object)
         most = np.array([*(limits.get(x, np.inf) for x in models.langs), -np.inf])
         for batch in batches:
-            sums = identifier.sums(list(batch))
-            size, logs = sums[:, -1], np.column_stack([sums[:, :-1], np.full(len(sums), -np.inf)])
+            found = sums(models, list(batch))
+            size, logs = found[:, -1], np.column_stack([found[:, :-1], np.full(len(found), -np.inf)])
             some = (size > 0) & (len(models.langs) > 0)
             best = np.where(some, logs.argmax(1), len(langs) - 1)
             top = np.where(some, logs.max(1), 0)
@@ -345,14 +356,23 @@ def training_rows(documents: DataFrame) -> DataFrame:
     return documents.filter(fold(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang")
 
 
+def recognised(documents: DataFrame, into: str, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (else all) of documents (doc_id, text, lang and others), written once, with lang_pred, score, entropy and rejected in the struct `into`.
+
+    Models and limits come from the rows of the training folds whose language is given; keep must name doc_id and lang.
+    """
+    models = train(training_rows(documents))
+    kept = [F.col(f"`{c}`") for c in keep or documents.columns]
+    found = stored(documents.select(*kept, guessed(F.col("text"), models).alias(into)), "guessed")
+    trained = found.filter("lang is not null").filter(fold(F.col("doc_id"), 5) != 0).select(f"`{into}`.*")
+    limit, lang, entropy = F.lit(None).cast("double"), F.col(f"`{into}`.lang_pred"), F.col(f"`{into}`.entropy")
+    for one, most in limits_of(trained).items():
+        limit = F.when(lang == one, most).otherwise(limit)
+    rejected = (lang == "und") | F.coalesce(entropy > limit, F.lit(False))
+    return found.withColumn(into, F.col(f"`{into}`").withField("rejected", rejected))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    models = train(training_rows(documents))
-    held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
-    found = documents.select("doc_id", held_out, "lang", guessed(F.col("text"), models).alias("g"))
-    found = stored(found.select("doc_id", "held_out", "lang", "g.lang_pred", "g.score", "g.entropy"), "guessed")
-    limit = F.lit(None).cast("double")
-    for lang, most in limits_of(found.filter("lang is not null and not coalesce(held_out, true)")).items():
-        limit = F.when(F.col("lang_pred") == lang, most).otherwise(limit)
-    rejected = (F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > limit, F.lit(False))
-    return found.select("doc_id", "held_out", "lang_pred", "score", "entropy", rejected.alias("rejected"))
+    found = recognised(documents, "found", keep=["doc_id", "lang"])
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "found.lang_pred", "found.score", "found.entropy", "found.rejected")

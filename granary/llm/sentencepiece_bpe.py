@@ -1,11 +1,11 @@
 """Encoding and decoding with merge-type (BPE) SentencePiece vocabularies.
 
 The text is cut where no merge can cross: before a run of spaces, and around line
-feeds. Each distinct segment is encoded once per task by an agenda of adjacent
-symbol pairs in order of score (then position), and kept; characters without a
-piece fall back to their bytes. Every Arrow batch checks each segment that is new in
-it, and its longest text as a whole, against the sentencepiece library; a
-difference raises an error instead of giving other ids.
+feeds. Each distinct segment is encoded by an agenda of adjacent symbol pairs in order
+of score (then position), and kept while it is used, within a task; characters without
+a piece fall back to their bytes. Every Arrow batch checks the ids and the decoded text
+of each segment that is new in it, and of its longest text as a whole, against the
+sentencepiece library; a difference raises an error instead of giving other results.
 
 Defined results: null or empty text has no ids and decodes to the empty string;
 repeated rows stay; extra columns are ignored; a text of any length, also without a
@@ -28,7 +28,7 @@ from granary.llm.common import table
 
 SPACE = "▁"
 LONGEST_KEPT = 48
-MOST_KEPT = 400_000
+MOST_KEPT = 120_000
 _NONE = float("inf")
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
@@ -124,37 +124,51 @@ def segments(text: str) -> list[str]:
 
 
 class Known(dict):
-    """(ids joined by commas, decoded text) by segment; long segments are not kept."""
+    """(ids joined by commas, decoded text) by segment; long segments are not kept.
+
+    Once MOST_KEPT are held, they become the older half: what is used again moves on, the rest goes with the next turn.
+    """
 
     def __init__(self, agenda: Agenda):
         super().__init__()
-        self.agenda, self.new = agenda, []
+        self.agenda, self.older = agenda, {}
+        self.new: list[tuple[str, list[int], str]] = []
 
     def __missing__(self, segment: str) -> tuple[str, str]:
-        ids = self.agenda.encode_segment(segment)
-        found = ",".join(map(str, ids)), self.agenda.decode_segment(ids)
+        found = self.older.pop(segment, None)
+        if found is None:
+            ids = self.agenda.encode_segment(segment)
+            decoded = self.agenda.decode_segment(ids)
+            found = ",".join(map(str, ids)), decoded
+            self.new.append((segment, ids, decoded))
         if len(segment) <= LONGEST_KEPT:
             self[segment] = found
-            if segment[0] == SPACE:
-                self.new.append(segment)
         return found
 
-    def check(self, longest: str, ids: str) -> None:
+    def check(self, text: str, ids: str, decoded: str) -> None:
         """Compares what is new, and one whole text, with the library."""
-        # the library itself puts the first space mark before a text
-        for segment, theirs in zip(self.new, self.agenda.library.encode([x[1:].replace(SPACE, " ") for x in self.new], num_threads=1) if self.new else [], strict=True):
-            if segment != SPACE and ",".join(map(str, theirs)) != self[segment][0]:
-                raise ValueError(f"ids differ from the library's for {segment!r}")
+        library = self.agenda.library
+        # the library puts a space mark before a text: a segment without one is checked behind a line feed
+        start = library.encode("\n")
+        new = [x for x in self.new if x[0] not in (SPACE, "\n")]
+        theirs = library.encode([x[1:].replace(SPACE, " ") if x[0] == SPACE else f"\n{x}" for x, _, _ in new], num_threads=1) if new else []
+        texts = library.decode(theirs, num_threads=1) if new else []
+        for (segment, own, back), ids_there, text_there in zip(new, theirs, texts, strict=True):
+            spaced = segment[0] == SPACE
+            if (own if spaced else start + own) != ids_there or text_there != (back[1:] if spaced else f"\n{back}"):
+                raise ValueError(f"ids or text differ from the library's for {segment!r}")
         self.new = []
-        if ",".join(map(str, self.agenda.library.encode(longest))) != ids:
-            raise ValueError("ids differ from the library's for a whole text")
+        found = library.encode(text)
+        if ",".join(map(str, found)) != ids or library.decode(found) != decoded:
+            raise ValueError("ids or text differ from the library's for a whole text")
         if len(self) > MOST_KEPT:
+            self.older = dict(self)
             self.clear()
 
 
 @functools.lru_cache(maxsize=2)
-def _known(model_file: str) -> Known:
-    return Known(Agenda(model_file))
+def _agenda(model_file: str) -> Agenda:
+    return Agenda(model_file)
 
 
 def encode_text(known: Known, text: str) -> tuple[str, str]:
@@ -168,14 +182,14 @@ def coded(text: Column, model_file: str, digest: bool = False) -> Column:
 
     @F.pandas_udf("n_tokens long, ids string, decoded string")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = _known(model_file)
+        known = Known(_agenda(model_file))  # it ends with its task
         hexed = (lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()) if digest else (lambda x: x)
         for batch in batches:
-            rows, longest = [], ("", "")
+            rows, longest = [], ("", "", "")
             for text in batch:
                 ids, decoded = encode_text(known, text)
-                if len(longest[0]) <= len(text) <= 100_000:
-                    longest = text, ids
+                if len(longest[0]) <= len(text):
+                    longest = text, ids, decoded
                 rows.append((ids.count(",") + 1 if ids else 0, hexed(ids), hexed(decoded)))
             known.check(*longest)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm.language_id import END, ORDER, START, Identifier, _hash_texts, calibrate, count_sequences, identify, smooth, train
+from granary.llm.language_id import END, ORDER, START, _hash_texts, calibrate, count_sequences, identify, smooth, sums, train, words_of
 
 SYLLABLES = {"aa": "ka ko mi ta ru shi".split(), "bb": "the ing er an st wh".split(), "cc": "ción os la el rr ñ".split()}
 
@@ -70,12 +70,17 @@ def test_held_out_accuracy_and_rejection(spark):
     assert np.mean([by[1000 + i].rejected for i in range(300)]) < 0.02 and all(0 <= r.score <= 1 for r in found)
 
 
-def test_repeated_words_are_scored_alike(spark):
+def test_slices_change_nothing(spark, monkeypatch):
     models = train(spark.createDataFrame(texts(50, 2), "doc_id long, text string, lang string"))
-    one, many = Identifier(models), Identifier(models)
-    many.sums([t for _, t, _ in texts(50, 3)])
-    t = ["the ing", "ka ka ka", "novel ünkñown"]
-    assert np.allclose(one.sums(t), many.sums(t))
+    t = ["the ing", None, "ka ka ka", "", "novel ünkñown", "x", "..."]
+    whole = sums(models, t)
+    monkeypatch.setattr("granary.llm.language_id.CHARS_AT_ONCE", 3)
+    assert np.allclose(sums(models, t), whole) and whole.shape == (7, 4) and sums(models, []).shape == (0, 4)
+    assert (whole[[1, 3, 6]] == 0).all()
+
+
+def test_number_signs_are_no_letters():
+    assert words_of("½ ² Ⅷ 12 _") == [] and words_of("x² ÄÖ_b") == ["x", "äö", "b"]
 
 
 def test_nothing_to_learn_from(spark):

@@ -42,10 +42,23 @@ def test_both_agendas_agree():
 
 def test_a_difference_is_an_error():
     known = sp.Known(KNOWN.agenda)
-    known["▁word"] = ("1,2,3", "x")
-    known.new.append("▁word")
+    known.new.append(("▁word", [1, 2, 3], "x"))
     with pytest.raises(ValueError, match="library"):
-        known.check("", "")
+        known.check("", "", "")
+    ids = LIBRARY.encode("word")
+    for wrong in (("word", "1,2", "word"), ("word", ",".join(map(str, ids)), "wörd")):
+        with pytest.raises(ValueError, match="whole text"):
+            sp.Known(KNOWN.agenda).check(*wrong)
+
+
+def test_what_is_kept_changes_nothing(monkeypatch):
+    monkeypatch.setattr(sp, "MOST_KEPT", 3)
+    known = sp.Known(KNOWN.agenda)
+    for text in ("a b c d e\nf", "c d\n\ne x", "a b c", "f\nf g ü 😀😀 中", "a a a") * 2:
+        found = sp.encode_text(known, text)
+        assert found == (",".join(map(str, LIBRARY.encode(text))), text)
+        known.check(text, *found)
+    assert len(known) + len(known.older) < 30
 
 
 def test_rows(spark):
