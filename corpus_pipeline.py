@@ -1,16 +1,22 @@
 """A corpus pipeline of five stages, each written as Parquet and read again by the next.
 
 Language ID, quality classifier, near duplicates, benchmark decontamination and
-SentencePiece encoding. The models of the first two are trained on the whole tables
-that sf_dir names, as the single queries are; each stage decides on what its
-predecessor kept.
+SentencePiece encoding. Each stage decides on what its predecessor kept, and the models
+of the first two are trained on that, too: languages by the lang column, quality by the
+labels that sf_dir holds.
+
+Defined results: null and empty texts have no language and go with the first stage; of
+repeated rows and of near copies one row stays, that of the smallest doc_id (null last);
+rows that share a doc_id but not their text are judged each for itself; a column of docs
+that is called as one of the last stage's own (n_tokens, ids, decoded) is replaced, all
+other columns stay as they are; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, language_id, near_duplicates, quality, sentencepiece_bpe
@@ -21,39 +27,52 @@ ORACLE_SQL = None
 LEAST_QUALITY = quality.THRESHOLD
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, whatever the case of its own."""
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return name
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter, or unlike every learned language, go."""
-    rows = language_id.training_rows(docs)
-    models = language_id.train(rows)
-    found = language_id.guessed(F.col("text"), models, language_id.calibrate(rows, models))
-    return docs.withColumn("_found", found).filter(~F.col("_found.rejected")).select(docs.columns)
+    found = _unused(docs, "found")
+    return language_id.recognised(docs, found).filter(~F.col(found)["rejected"]).select(_columns(docs))
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of LEAST_QUALITY at least."""
     trees = quality.train_on_fold(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", quality.scored(F.col("text"), trees)).filter(F.col("_score") >= LEAST_QUALITY).select(docs.columns)
+    return docs.filter(quality.scored(F.col("text"), trees) >= LEAST_QUALITY)
 
 
 def keep_one_of_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, one row of its smallest id; rows with null ids are no one's duplicates."""
-    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    of_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(of_id)))
-    return kept.filter(F.col("_nth") == 1).select(docs.columns)
+    """Of each component of near duplicates, one row of its smallest id. Every row counts for itself, by a number written with it."""
+    row = _unused(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("of_row"), "component_id")
+    ids = numbered.select(F.col(row).alias("of_row"), F.col("doc_id").alias("id"))
+    component = found.join(ids, "of_row").groupBy("component_id")
+    several = component.agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "of_row")).alias("first")).filter("n > 1")
+    gone = found.join(several, "component_id").filter("of_row <> first.of_row").select(F.col("of_row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(_columns(docs))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within its error budget."""
-    found = decontaminate.matched(F.col("text"), table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("_found", found).filter(F.size("_found") == 0).select(docs.columns)
+    return docs.filter(F.size(decontaminate.matched(F.col("text"), table(spark, sf_dir, "benchmark"))) == 0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with n_tokens, ids (joined by commas) and decoded."""
-    coded = docs.withColumn("_coded", sentencepiece_bpe.coded(F.col("text"), sentencepiece_bpe.model_path()))
-    return coded.select(*docs.columns, "_coded.n_tokens", "_coded.ids", "_coded.decoded")
+    own, coded = ("n_tokens", "ids", "decoded"), _unused(docs, "coded")
+    found = docs.withColumn(coded, sentencepiece_bpe.coded(F.col("text"), sentencepiece_bpe.model_path()))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
+    return found.select(*kept, *(F.col(coded)[c].alias(c) for c in own))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
