@@ -4,59 +4,58 @@ The text that is coded is its words (runs of other bytes than space and 0x09-0x0
 A-Z lower-cased), each with one space behind it, then one end. A symbol is coded as
 the binary decisions on its way down Huffman trees that belong to the two symbols before
 it, so likely symbols take few decisions. Five predictors look at each decision, by
-hashed contexts: the last symbol with the place in the word, the last two, the last
-four, the word so far, and the last short word before with the word's first symbols. Their
-counts come from all training texts: words and word-boundary pairs are counted in
-Spark, and from these counts Spark sums the decisions of each context and node, by their
-full 64-bit hash.
+hashed contexts: the last symbol with the place in the word, the last four, the word so
+far, and the last three and the word so far with the text's most frequent short word
+before it (the first to reach its number), which tells languages and layouts apart. Their counts come from all training texts: words by the short word before them are
+counted in Spark, and from these counts Spark sums the decisions of each context and
+node, by their full 64-bit hash.
 
 A mixer adds the predictors' log odds with weights from the set that a gate chooses
-(how often the word so far was seen, and whether the word has just begun). To these
-fitted weights each text adds its own, and a map of the mixed odds, linear between
-knots, both learned online along the text, after every block of words. The sum of the
-decisions' logarithms is the score; bits per byte follow from it. A text's score
-depends on nothing but the text and the trained tables.
+(how often the last two predictors' contexts were seen). The start weights are fitted on
+the decisions of all training texts, each one's own count left out, which Spark sums by
+gate and odds in steps of STEPS. To these weights each text adds its own for each gate,
+and a map of the mixed odds, linear between knots, both learned online along the text,
+after every BLOCK words. The sum of the decisions' logarithms is the score; bits per
+byte follow from it. A text's score depends on nothing but the text and the trained tables.
 
 The table of contexts stays in Spark, however many there are: it is joined to the distinct
-words and boundaries of the texts, whose odds then go to the texts' batches. Broadcast are
-the trees, the weights and the MOST_FREQUENT most frequent words' counts for the unigram
-base score; counts of rarer words, however many, are joined. The start weights are fitted
-on at most FIT_TEXTS training texts, each decision's own count left out.
+words of the texts, whose odds then go to the texts' batches. Broadcast are the trees, the
+weights and the MOST_FREQUENT most frequent words' counts for the unigram base score;
+counts of rarer words, however many, are joined. The driver sees at most GATES * 16^5
+sums for the weights and 2^24 counts of three bytes for the trees.
 
 Defined results: null and empty texts are one end; repeated rows stay; without a
-training text all predictors are even; very long texts are scored whole; extra columns are
-ignored.
+training text all predictors are even; null ids are in no fold, train nothing and have a
+null held_out; very long texts are scored whole; extra columns stay as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import fold, stored, table
 
-WORD, TAIL = 3, 4  # the predictors of the word so far, and with the word before
+WORD, TOPIC = 3, 4  # the predictors of the word so far, and with the text's short word
 N = 5
-HEAD = 4
 SHORT = 3
-GATES = 8
+GATES = 16
 MOST_FREQUENT = 100_000
-FIT_TEXTS = 200
-BLOCK = 128
-TEXTS_AT_ONCE, BYTES_AT_ONCE = 5_000, 8 << 20
+BLOCK = 4
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 4_000, 8 << 20
 WORDS_AT_ONCE = 20_000
-STEP, BEND = 0.05, 0.005
+DECISIONS_AT_ONCE = 1 << 19
+RATE, BEND = 0.015, 0.002
 KNOTS = (np.float32(1.5), np.float32(4.0))
 SCALE = 12
+STEPS = 9  # of odds, for the sums that the weights are fitted on
 SMOOTH = 0.3
 END = b"\n"
 
@@ -182,8 +181,7 @@ class Decisions:
     first: np.ndarray
     size: np.ndarray
     bit: np.ndarray
-    begun: np.ndarray  # 1 within the first HEAD symbols
-    slots: list[np.ndarray] = field(default_factory=list)  # by predictor: full hashes of context and node
+    slots: list[np.ndarray]  # by predictor: full hashes of context and node
 
 
 def symbols_of(word: bytes) -> bytes:
@@ -201,7 +199,8 @@ def triples_of(strings: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found, np.bincount(number, np.repeat(n, sizes), len(found))
 
 
-def decisions(strings: list[bytes], codes: Codes, predictors: tuple[int, ...], tails: list[bytes] | None = None) -> Decisions:
+def decisions(strings: list[bytes], codes: Codes, tops: list[bytes]) -> Decisions:
+    """The decisions of each string where a text's short word is the one in tops."""
     data = np.frombuffer(b"".join(strings), np.uint8)
     sizes = np.array([len(s) for s in strings], np.int64)
     first = np.cumsum(sizes) - sizes
@@ -217,23 +216,23 @@ def decisions(strings: list[bytes], codes: Codes, predictors: tuple[int, ...], t
     flat = _spread(starts, parts)
     steps = parts[::2] + parts[1::2]
     symbol = np.repeat(np.arange(len(data)), steps)
-    node = codes.node[flat]
-    contexts = {
-        0: lambda: last[0] << _U(4) | np.minimum(place, 7).astype(np.uint64),
-        1: lambda: last[1] << _U(8) | last[0],
-        2: lambda: last[3] << _U(24) | last[2] << _U(16) | last[1] << _U(8) | last[0],
-        3: lambda: prefix,
-        4: lambda: prefix * _BASE + np.repeat(np.array([int.from_bytes(t, "big") + 1 for t in tails], np.uint64), sizes),
-    }
-    slots, node = [], _mix(node * _BASE)
-    for k in predictors:
-        h = _mix(contexts[k]() * _BASE + _U(k + 1))[symbol]
+    top = np.repeat(np.array([int.from_bytes(t, "big") + 1 for t in tops], np.uint64), sizes)
+    contexts = (
+        last[0] << _U(4) | np.minimum(place, 7).astype(np.uint64),
+        (last[2] << _U(16) | last[1] << _U(8) | last[0]) * _BASE + top,
+        last[3] << _U(24) | last[2] << _U(16) | last[1] << _U(8) | last[0],
+        prefix,
+        prefix * _BASE + top,
+    )
+    slots, node = [], _mix(codes.node[flat] * _BASE)
+    for k, context in enumerate(contexts):
+        h = _mix(context * _BASE + _U(k + 1))[symbol]
         h ^= node
         h *= _U(0xD6E8FEB86659FD93)
         slots.append(h.view(np.int64))
     ends = np.concatenate([[0], np.cumsum(steps)])
     begins = ends[first]
-    return Decisions(begins, ends[first + sizes] - begins, codes.bit[flat], (place < HEAD)[symbol].astype(np.uint8), slots)
+    return Decisions(begins, ends[first + sizes] - begins, codes.bit[flat], slots)
 
 
 class _Numbers(dict):
@@ -261,28 +260,43 @@ class Coded:
             sizes.append(len(words))
         return Coded(list(index), np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(sizes, np.int64))
 
-    def boundaries(self) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-        """The number of each token's (last short word before it in its text, head), and these short words and heads."""
-        short = np.array([0 < len(w) <= SHORT and w != END for w in self.words])
-        heads = list(dict.fromkeys(symbols_of(w)[:HEAD] for w in self.words))
-        head_of = {h: i for i, h in enumerate(heads)}
-        head = np.array([head_of[symbols_of(w)[:HEAD]] for w in self.words])[self.flat]
-        at = np.arange(1, len(self.flat) + 1)
-        last = np.maximum.accumulate(np.where(short[self.flat], at, 0))
-        last = np.concatenate([[0], last[:-1]])  # the place after the last short word so far, over all texts
+    def tops(self) -> np.ndarray:
+        """By token: the number of the most frequent short word before it in its text, the first to reach its number; -1 if there is none."""
+        short = np.array([0 < len(w) <= SHORT and w != END for w in self.words], bool)
+        at = np.flatnonzero(short[self.flat])
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        own, word = text[at], self.flat[at]
+        order = np.lexsort((at, word, own))
+        new = np.ones(len(at), bool)
+        new[1:] = (own[order][1:] != own[order][:-1]) | (word[order][1:] != word[order][:-1])
+        nth = np.empty(len(at), np.int64)
+        nth[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        most = np.maximum.accumulate(own * (1 << 40) + nth + 1)
+        leads = at[np.concatenate([[True], most[1:] > most[:-1]])] if len(at) else at
+        place = np.zeros(len(self.flat) + 1, np.int64)
+        place[leads + 1] = leads + 1
+        last = np.maximum.accumulate(place)[:-1]
         last[last <= np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)] = 0
-        before = np.where(last > 0, self.flat[last - 1].astype(np.int64) + 1, 0)
-        found, number = np.unique(before * len(heads) + head, return_inverse=True)
-        words = [b"", *self.words]
-        return number, [words[i // len(heads)] for i in found.tolist()], [heads[i % len(heads)] for i in found.tolist()]
+        return np.where(last > 0, self.flat[last - 1], -1)
+
+    def pairs(self) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+        """The number of each token's (short word, word), and these words."""
+        found, number = np.unique((self.tops().astype(np.int64) + 1) * len(self.words) + self.flat, return_inverse=True)
+        tops = [b"", *self.words]
+        return number.astype(np.int32), [tops[i // len(self.words)] for i in found.tolist()], [self.words[i % len(self.words)] for i in found.tolist()]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        coded = Coded.of(batch["text"])
-        number, tails, heads = coded.boundaries()
-        yield pd.DataFrame({"kind": 0, "word": coded.words, "tail": b"", "n": np.bincount(coded.flat, minlength=len(coded.words))})
-        yield pd.DataFrame({"kind": 1, "word": heads, "tail": tails, "n": np.bincount(number, minlength=len(heads))})
+    for whole in batches:
+        for batch in _cut(whole):
+            number, tops, words = Coded.of(batch["text"]).pairs()
+            yield pd.DataFrame({"top": tops, "word": words, "n": np.bincount(number, minlength=len(words))})
+
+
+def _cut(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows in order, TEXTS_AT_ONCE or BYTES_AT_ONCE at a time."""
+    weight = rows["text"].str.len().cumsum() // BYTES_AT_ONCE
+    return (b.iloc[a : a + TEXTS_AT_ONCE] for _, b in rows.groupby(weight) for a in range(0, len(b), TEXTS_AT_ONCE))
 
 
 def _triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,78 +318,87 @@ def _joined(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFram
         yield pd.concat(parts, ignore_index=True)
 
 
-def _of_kinds(rows: pd.DataFrame, codes: Codes) -> Iterator[tuple[tuple[int, ...], pd.DataFrame, Decisions]]:
-    """Predictors, rows and their decisions, of words and of word boundaries."""
-    for kind, some in rows.groupby("kind"):
-        predictors = (TAIL,) if kind else (0, 1, 2, 3)
-        strings = list(some["word"]) if kind else [symbols_of(w) for w in some["word"]]
-        yield predictors, some, decisions(strings, codes, predictors, list(some["tail"]))
+def _decisions_of(rows: pd.DataFrame, codes: Codes) -> Decisions:
+    return decisions([symbols_of(w) for w in rows["word"]], codes, list(rows["top"]))
 
 
 def _context_counts(codes: Codes):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _joined(batches, 2 * WORDS_AT_ONCE):
-            for _, some, found in _of_kinds(batch, codes):
-                n = np.repeat(some["n"].to_numpy(np.float64), found.size)
-                for slots in found.slots:
-                    at, number = np.unique(slots, return_inverse=True)
-                    both = np.bincount(number * 2 + found.bit, n, 2 * len(at)).reshape(-1, 2)
-                    yield pd.DataFrame({"key": at, "n0": both[:, 0], "n1": both[:, 1]})
+        for batch in _joined(batches, WORDS_AT_ONCE):
+            found = _decisions_of(batch, codes)
+            n = np.repeat(batch["n"].to_numpy(np.float64), found.size)
+            for slots in found.slots:
+                at, number = np.unique(slots, return_inverse=True)
+                both = np.bincount(number * 2 + found.bit, n, 2 * len(at)).reshape(-1, 2)
+                yield pd.DataFrame({"key": at, "n0": both[:, 0], "n1": both[:, 1]})
 
     return count
 
 
-def counts_of(contexts: DataFrame, keys: np.ndarray) -> np.ndarray:
-    """n0 and n1 of each key, 0 where it was not seen: for few keys, on the driver."""
-    wanted = np.unique(keys)
-    frame = contexts.sparkSession.createDataFrame(pa.table({"key": wanted}))
-    rows = contexts.join(F.broadcast(frame), "key").toArrow()
-    return _found(rows["key"].to_numpy(), rows["n0"].to_numpy(), rows["n1"].to_numpy(), keys)
-
+class Seen:
+    """n0 and n1 by key, 0 where a key is not there."""
 
-def _found(have: np.ndarray, n0: np.ndarray, n1: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(have):
-        return np.zeros((len(keys), 2))
-    order = np.argsort(have)
-    at = np.minimum(np.searchsorted(have, keys, sorter=order), len(have) - 1)
-    at = order[at]
-    return np.where((have[at] == keys)[:, None], np.stack([n0[at], n1[at]], axis=1), 0.0)
-
-
-@dataclass
-class Looked:
-    """What `of` makes of the counts of keys; each use is a query."""
-
-    contexts: DataFrame
-    of: Callable[[np.ndarray], np.ndarray]
+    def __init__(self, key: np.ndarray, n0: np.ndarray, n1: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.n = key[order], np.stack([n0[order], n1[order]], axis=1)
 
     def __getitem__(self, keys: np.ndarray) -> np.ndarray:
-        return self.of(counts_of(self.contexts, keys))
+        if not len(self.key):
+            return np.zeros((len(keys), 2))
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where((self.key[at] == keys)[:, None], self.n[at], 0.0)
 
 
 @dataclass
 class Model:
     codes: Codes
     contexts: DataFrame  # key, n0 and n1 of every context and node of the training texts
-    weights: np.ndarray  # by gate
 
-    @property
-    def odds(self) -> list[Looked]:
-        """By predictor: the log odds of keys, in steps of 1 / SCALE."""
-        return [Looked(self.contexts, _odds)] * N
 
-    @property
-    def level(self) -> Looked:
-        """By key of the word so far: how often it was seen, in four steps."""
-        return Looked(self.contexts, lambda n: _levels(n.sum(1)))
+def _odds(counts: np.ndarray) -> np.ndarray:
+    """Log odds of 1 in steps of 1 / SCALE."""
+    return np.clip(np.rint(np.log((counts[:, 1] + SMOOTH) / (counts[:, 0] + SMOOTH)) * SCALE), -127, 127).astype(np.int8)
+
+
+def _levels(n: np.ndarray) -> np.ndarray:
+    return (n > 0).astype(np.int8) + (n > 4) + (n > 40)
 
 
-def odds_of_words(documents: DataFrame, model: Model) -> DataFrame:
-    """kind, word, tail and odds of each distinct word and boundary of documents (kind, word, tail).
+def _looked(counts: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+    """By decision, in bytes: each predictor's odds towards the bit that is there, then the gate."""
+    sign = bit.astype(np.int8) * np.int8(2) - np.int8(1)
+    gate = _levels(counts[WORD].sum(1)) * 4 + _levels(counts[TOPIC].sum(1))
+    return np.stack([*(_odds(n) * sign for n in counts), gate.astype(np.int8)], axis=1)
+
+
+def _cells(looked: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gate and rounded odds as one number each, and their n-weighted counts."""
+    cell = looked[:, N].astype(np.int64)
+    for k in range(N):
+        cell = cell << 4 | np.clip(np.rint(looked[:, k] / STEPS).astype(np.int64) + 8, 0, 15)
+    found, number = np.unique(cell, return_inverse=True)
+    return found, np.bincount(number, n, len(found))
+
+
+def fitted_weights(cells: np.ndarray, n: np.ndarray, steps: int = 12) -> np.ndarray:
+    """Start weights by gate from the sums of all training decisions: Newton steps with a pull to even weights."""
+    weights = np.tile(np.array([0.1, 0.2, 0.3, 0.3, 0.3]), (GATES, 1))
+    gate = cells >> 4 * N
+    for g in range(GATES):
+        some = gate == g
+        v = np.stack([(cells[some] >> 4 * (N - 1 - k) & 15) - 8 for k in range(N)], axis=1) * (STEPS / SCALE)
+        m, start = n[some], weights[g].copy()
+        for _ in range(steps if m.sum() else 0):
+            p = 1 / (1 + np.exp(-np.clip(v @ weights[g], -12, 12)))
+            h = (v * (m * p * (1 - p))[:, None]).T @ v + 20 * np.eye(N)
+            step = np.linalg.solve(h, v.T @ (m * (1 - p)) - 20 * (weights[g] - start))
+            weights[g] += step * min(1.0, 1 / max(1e-9, np.abs(step).max()))
+    return weights.astype(np.float32)
 
-    The odds of a word are four bytes, and one of gate, for each decision; those of a boundary one byte.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(model.codes)
+
+def odds_of_words(words: DataFrame, model: Model) -> DataFrame:
+    """Of words (top, word, n): top, word and odds of each, the bytes of its decisions; and rows of cell and m, the sums over all n that the weights are fitted on."""
+    shared = words.sparkSession.sparkContext.broadcast(model.codes)
 
     def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # words that begin alike lie together, so that a group asks for few contexts
@@ -385,179 +408,116 @@ def odds_of_words(documents: DataFrame, model: Model) -> DataFrame:
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _joined(batches, WORDS_AT_ONCE):
             for g, rows in batch.groupby("g"):
-                keys = np.concatenate([np.unique(x) for _, _, found in _of_kinds(rows, shared.value) for x in found.slots])
-                yield pd.DataFrame({"g": g, "key": keys})
+                for slots in _decisions_of(rows, shared.value).slots:
+                    yield pd.DataFrame({"g": g, "key": np.unique(slots)})
 
     def odds(rows: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        have = seen.sort_values("key")
-        have = [have[c].to_numpy() for c in ("key", "n0", "n1")]
-        for predictors, some, found in _of_kinds(rows, shared.value):
-            sign = found.bit.astype(np.int8) * np.int8(2) - np.int8(1)
-            counts = [_found(*have, x) for x in found.slots]
-            if predictors == (TAIL,):
-                every = _odds(counts[0])[:, None]
-            else:
-                gate = _levels(counts[WORD].sum(1)) * 2 + found.begun + 1
-                every = np.stack([*(_odds(n) * sign for n in counts), (gate * sign).astype(np.int8)], axis=1)
-            data, width = every.tobytes(), every.shape[1]
-            some = some[["kind", "word", "tail"]].copy()
-            some["odds"] = [data[a * width : (a + n) * width] for a, n in zip(found.first.tolist(), found.size.tolist(), strict=True)]
-            out.append(some)
-        return pd.concat(out) if out else pd.DataFrame({"kind": [], "word": [], "tail": [], "odds": []})
-
-    words = documents.select("kind", "word", "tail").distinct().repartitionByRange("kind", "word").sortWithinPartitions("kind", "word")
-    words = stored(words.mapInPandas(grouped, "kind int, word binary, tail binary, g long"), "vocabulary")
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in ("top", "word", "odds", "cell", "m")})
+        found, have = _decisions_of(rows, shared.value), Seen(*(seen[c].to_numpy() for c in ("key", "n0", "n1")))
+        counts = [have[x] for x in found.slots]
+        data, width = _looked(counts, found.bit).tobytes(), N + 1
+        every = [data[a * width : (a + n) * width] for a, n in zip(found.first.tolist(), found.size.tolist(), strict=True)]
+        n = np.repeat(rows["n"].to_numpy(np.float64), found.size)
+        at = np.arange(len(found.bit))
+        for c in counts:  # each decision's own count left out
+            c[at, found.bit] = np.maximum(c[at, found.bit] - 1, 0)
+        cell, m = _cells(_looked(counts, found.bit)[n > 0], n[n > 0])
+        none = [None] * len(cell)
+        names, pad = {c: [*rows[c], *none] for c in ("top", "word")}, np.full(len(rows), np.nan)
+        return pd.DataFrame({**names, "odds": [*every, *none], "cell": pd.array([*[None] * len(rows), *cell.tolist()], "Int64"), "m": np.concatenate([pad, m])})
+
+    words = words.repartitionByRange("word", "top").sortWithinPartitions("word", "top")
+    words = stored(words.mapInPandas(grouped, "top binary, word binary, n long, g long"), "vocabulary")
     seen = words.mapInPandas(wanted, "g long, key long").join(model.contexts, "key")
-    return words.groupBy("g").cogroup(seen.groupBy("g")).applyInPandas(odds, "kind int, word binary, tail binary, odds binary")
-
-
-def scores(flat: list[np.ndarray], number: list[np.ndarray], words: list[bytes], boundaries: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each text, from the numbers of its words and boundaries and their odds."""
-    rows = np.frombuffer(b"".join(words), np.int8).reshape(-1, N)
-    size = np.array([len(w) // N for w in words], np.int64)
-    x, gate = np.ascontiguousarray(rows[:, : N - 1]), rows[:, N - 1]
-    z = np.zeros(len(gate), np.float32)
-    for k in range(N - 1):
-        z += x[:, k] * (weights[:, k] / SCALE)[np.abs(gate) - 1]
-    prepared = Prepared(np.cumsum(size) - size, size, x.view(np.int32)[:, 0], z, gate)
-    size = np.array([len(w) for w in boundaries], np.int64)
-    ahead = Decisions(np.cumsum(size) - size, size, np.zeros(0), np.zeros(0))
-    ahead_odds = np.frombuffer(b"".join(boundaries), np.int8).astype(np.float32) / SCALE
-    # a gate's number carries the sign of the bit that is there
-    tail_weight = np.zeros(2 * GATES + 1, np.float32)
-    tail_weight[1 : GATES + 1], tail_weight[-GATES:] = weights[:, TAIL], -weights[::-1, TAIL]
-    return np.array([_mixed(a, b, prepared, ahead, ahead_odds, tail_weight) for a, b in zip(flat, number, strict=True)]) / np.log(10)
+    return words.groupBy("g").cogroup(seen.groupBy("g")).applyInPandas(odds, "top binary, word binary, odds binary, cell long, m double")
 
 
-@dataclass
-class Prepared:
-    """The decisions of distinct words, with all odds towards the bit that is there."""
+def scores(flat: list[np.ndarray], words: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each text, from the numbers of its words and the words' odds.
 
-    first: np.ndarray
-    size: np.ndarray
-    x: np.ndarray  # the predictors' odds, four bytes in one number
-    z: np.ndarray  # what the start weights make of them
-    gate: np.ndarray
-
-
-def _mixed(flat, number, words: Prepared, ahead: Decisions, ahead_odds, tail_weight) -> float:
-    """Natural logarithm of one text's probability, learning after every block of words."""
-    steps = words.size[flat]
-    at = _spread(words.first[flat], steps)
-    ends = np.cumsum(steps)
-    x = words.x[at].view(np.int8).astype(np.float32).reshape(-1, N - 1)
-    start = words.z[at]
-    # the short word before speaks for the first symbols of the word
-    head = np.minimum(ahead.size[number], steps)
-    inside = _spread(ends - steps, head)
-    gate = words.gate[at[inside]]
-    odds = ahead_odds[_spread(ahead.first[number], head)]
-    start[inside] += odds * tail_weight[gate]
-    tail = np.zeros(len(at), np.float32)
-    tail[inside] = np.copysign(odds, odds * gate)
-    delta, of_tail, bend = np.zeros(N - 1, np.float32), np.float32(0), np.zeros(1 + len(KNOTS), np.float32)
-    total, a = 0.0, 0
-    for b in [*ends[BLOCK - 1 : -1 : BLOCK].tolist(), int(ends[-1])]:
-        z = start[a:b]
+    All texts of a part move on together, a block of words at a time; what a text learns from a block counts from its next one.
+    """
+    looked = np.frombuffer(b"".join(words), np.int8).reshape(-1, N + 1)
+    size = np.array([len(w) // (N + 1) for w in words], np.int64)
+    first, gate, z = np.cumsum(size) - size, looked[:, N], np.zeros(len(looked), np.float32)
+    for k in range(N):
+        z += looked[:, k] * (weights[:, k] / SCALE)[gate]
+    lengths = np.array([len(f) for f in flat], np.int64)
+    decisions_of = np.array([size[f].sum() for f in flat], np.int64)
+    order = np.argsort(-lengths, kind="stable")  # texts that still go on are the first ones
+    part = np.cumsum(decisions_of[order]) // DECISIONS_AT_ONCE
+    out = np.zeros(len(flat))
+    for a in np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(flat) else ():
+        some = order[part == part[a]]
+        out[some] = _mixed([flat[i] for i in some], first, size, looked, z, gate)
+    return out / np.log(10)
+
+
+def _mixed(flat: list[np.ndarray], first, size, looked, z_start, gates) -> np.ndarray:
+    """Natural logarithms of the texts' probabilities; the texts come by falling length."""
+    lengths = np.array([len(f) for f in flat])
+    block = np.concatenate([np.arange(n) // BLOCK for n in lengths])
+    order = np.argsort(block, kind="stable")
+    word, text = np.concatenate(flat)[order], np.repeat(np.arange(len(flat), dtype=np.int32), lengths)[order]
+    steps = size[word]
+    at = _spread(first[word], steps).astype(np.int32)
+    whose = np.repeat(text, steps)
+    ends = np.cumsum(np.bincount(np.repeat(block[order], steps)))
+    delta = np.zeros((len(flat) * GATES, N), np.float32)
+    bend = np.zeros((len(flat), 1 + len(KNOTS)), np.float32)
+    total, a = np.zeros(len(flat)), 0
+    for b in ends.tolist():
+        rows, own = at[a:b], whose[a:b]
+        n = int(own.max()) + 1
+        x = looked[rows, :N].astype(np.float32)
+        x /= SCALE
+        key = own * np.int32(GATES) + gates[rows]
+        z = z_start[rows]
+        bases = None
         if a:
-            z += x[a:b] @ delta
-            z += tail[a:b] * of_tail
+            z += np.einsum("ij,ij->i", x, delta[key])
         # an adaptive map of the mixed odds: odd, and linear between the knots
-        bases = [z, *(np.minimum(np.maximum(z, -k), k) for k in KNOTS)]
-        if a:
-            z = z * (1 + bend[0])
-            for weight, base in zip(bend[1:], bases[1:], strict=True):
-                z += weight * base
-        t = np.exp(np.minimum(-z, 12))
+        bases = [z, *(np.clip(z, -k, k) for k in KNOTS)]
+        mapped = z if not a else z + sum(bend[own, k] * base for k, base in enumerate(bases))
+        t = np.exp(np.minimum(-mapped, 12))
         u = 1 + t
-        total -= float(np.log(u).sum(dtype=np.float64))
+        total[:n] -= np.bincount(own, np.log(u), n)
         t /= u  # the probability of the other bit
-        step = STEP / np.sqrt(b - a + 1.0)
-        delta += step / SCALE / SCALE * (t @ x[a:b])
-        of_tail += np.float32(step * (t @ tail[a:b]))
-        bend += BEND / STEP * step * np.array([t @ base for base in bases], np.float32)
+        for k in range(N):
+            delta[: n * GATES, k] += RATE * np.bincount(key, t * x[:, k], n * GATES)
+        for k, base in enumerate(bases):
+            bend[:n, k] += BEND * np.bincount(own, t * base, n)
         a = b
     return total
 
 
-def _odds(counts: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(np.log((counts[:, 1] + SMOOTH) / (counts[:, 0] + SMOOTH)) * SCALE), -127, 127).astype(np.int8)
-
-
-def _levels(n: np.ndarray) -> np.ndarray:
-    return (n > 0).astype(np.int8) + (n > 4) + (n > 40)
-
-
-def fitted_weights(texts: list[str], codes: Codes, contexts: DataFrame, passes: int = 60) -> np.ndarray:
-    """Start weights by gate from some training texts, each decision's own count left out of the predictors."""
-    start = np.tile(np.array([0.1, 0.2, 0.3, 0.4, 0.3], np.float32), (GATES, 1))
-    if not texts:
-        return start
-    coded = Coded.of(texts)
-    number, tails, heads = coded.boundaries()
-    found = decisions([symbols_of(w) for w in coded.words], codes, (0, 1, 2, 3))
-    ahead = decisions(heads, codes, (TAIL,), tails)
-    some = np.random.default_rng(1).permutation(len(coded.flat))[:40_000]
-    word, pair = coded.flat[some], number[some]
-    steps = found.size[word]
-    k = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
-    which = np.repeat(np.arange(len(some)), steps)
-    at = found.first[word][which] + k
-    bit = found.bit[at].astype(np.int64)
-    inside = k < ahead.size[pair][which]
-    slots = [s[at] for s in found.slots] + [ahead.slots[0][np.where(inside, ahead.first[pair][which] + k, 0)]]
-    x = np.zeros((len(at), N), np.float32)
-    for j, n in enumerate(np.split(counts_of(contexts, np.concatenate(slots)), N)):
-        n[np.arange(len(n)), bit] = np.maximum(n[np.arange(len(n)), bit] - 1, 0)
-        x[:, j] = np.log((n[:, 1] + SMOOTH) / (n[:, 0] + SMOOTH))
-        if j == WORD:
-            gate = _levels(n.sum(1)) * 2 + found.begun[at]
-    x[~inside, TAIL] = 0
-    for g in range(GATES):
-        rows = np.flatnonzero(gate == g)
-        if len(rows) < 200:
-            continue
-        v, y, w = x[rows].astype(np.float64), bit[rows], start[g].astype(np.float64)
-        for _ in range(passes // 4):  # Newton steps with a pull to the start
-            p = 1 / (1 + np.exp(-np.clip(v @ w, -12, 12)))
-            h = (v * (p * (1 - p))[:, None]).T @ v + 20 * np.eye(N)
-            w += np.linalg.solve(h, v.T @ (y - p) - 20 * (w - start[g]))
-        start[g] = w
-    return start
-
-
 def word_counts(training: DataFrame) -> DataFrame:
-    """kind (0: words with the end, 1: word boundaries), word, tail and n over all rows of training (text)."""
-    parts = training.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_count, "kind int, word binary, tail binary, n long")
-    return stored(parts.groupBy("kind", "word", "tail").agg(F.sum("n").alias("n")), "words")
+    """top, word and n over all rows of training (text): words, and the end, by the short word that leads before them."""
+    parts = training.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_count, "top binary, word binary, n long")
+    return stored(parts.groupBy("top", "word").agg(F.sum("n").alias("n")), "words")
 
 
-def train(training: DataFrame, counts: DataFrame, fit_texts: int = FIT_TEXTS) -> Model:
-    spark = training.sparkSession
+def train(counts: DataFrame) -> Model:
+    """Trees and context counts from word_counts."""
     # at most 2^24 triples of bytes, in any corpus
-    triples = counts.filter("kind = 0").select("word", "n").mapInPandas(_triples, "triple long, n double").groupBy("triple").agg(F.sum("n").alias("n")).toPandas().sort_values("triple")
+    triples = counts.select("word", "n").mapInPandas(_triples, "triple long, n double").groupBy("triple").agg(F.sum("n").alias("n")).toPandas().sort_values("triple")
     codes = huffman(triples["triple"].to_numpy(np.int64), triples["n"].to_numpy(np.float64))
-    shared = spark.sparkContext.broadcast(codes)
+    shared = counts.sparkSession.sparkContext.broadcast(codes)
 
     def of_contexts(batches):
         return _context_counts(shared.value)(batches)
 
     # words that begin alike lie together, so that a context comes from few tasks
-    near = counts.repartitionByRange("kind", "word").sortWithinPartitions("kind", "word")
+    near = counts.repartitionByRange("word", "top").sortWithinPartitions("word", "top")
     contexts = near.mapInPandas(of_contexts, "key long, n0 double, n1 double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    contexts = stored(contexts, "contexts")
-    total = training.count()
-    share = min(1.0, fit_texts / max(1, total))
-    sample = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = [text for _, text in sorted(sample.limit(2 * fit_texts).collect())]
-    return Model(codes, contexts, fitted_weights(texts, codes, contexts))
+    return Model(codes, stored(contexts, "contexts"))
 
 
 def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """The rows of documents without text, with n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     spark = documents.sparkSession
-    words = counts.filter("kind = 0").select("word", "n")
+    words = stored(counts.groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
     n_words, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least, total = 1, 0
     for n, size in sorted(words.groupBy("n").count().collect(), reverse=True) if vocabulary > MOST_FREQUENT else []:
@@ -568,55 +528,58 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     most = words.filter(F.col("n") >= least).toArrow()
     frequent = spark.sparkContext.broadcast(dict(zip(most["word"].to_pylist(), most["n"].to_pylist(), strict=True)))
     del most
-    weights = model.weights
-    names = [c for c in documents.columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
-    known = "n_tokens long, n_bytes long, n_frequent long, base double, rare array<binary>"
-    codings = f"_batch long, _id int, kind int, word binary, tail binary, {kinds}, {known}, _flat binary, _number binary"
+    own = {"text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"}
+    names = [c for c in documents.columns if c not in own]
+    inner = [f"own_{k}" for k in range(len(names))]  # no name of documents can clash with those in between
+    kinds = "".join(f"{i} {documents.schema[c].dataType.simpleString()}, " for i, c in zip(inner, names, strict=True))
+    known = "tokens long, bytes long, known long, base double, rare array<binary>"
+    codings = f"batch long, id int, top binary, word binary, {kinds}{known}, flat binary"
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of each batch of texts: its distinct words (kind 0), boundaries (1) and texts (2), as numbers of these."""
+        """Of each batch of texts: its distinct pairs of short word and word, and the texts (id null) as numbers of these."""
         number_of_batch = 0
         for whole in batches:
-            weight = whole["text"].str.len().cumsum() // BYTES_AT_ONCE
-            for batch in (b.iloc[a : a + TEXTS_AT_ONCE] for _, b in whole.groupby(weight) for a in range(0, len(b), TEXTS_AT_ONCE)):
+            for batch in _cut(whole):
                 at_batch = TaskContext.get().partitionId() << 32 | number_of_batch
                 number_of_batch += 1
                 coded = Coded.of(batch["text"])
-                number, tails, heads = coded.boundaries()
-                for kind, ws, ts in ((0, coded.words, b""), (1, heads, tails)):
-                    some = pd.DataFrame({"_batch": at_batch, "_id": np.arange(len(ws), dtype=np.int32), "kind": kind, "word": ws, "tail": ts})
+                number, tops, ws = coded.pairs()
+                for k in range(0, len(ws), WORDS_AT_ONCE):
+                    some = pd.DataFrame({"batch": at_batch, "top": tops[k : k + WORDS_AT_ONCE], "word": ws[k : k + WORDS_AT_ONCE]})
+                    some["id"] = np.arange(k, k + len(some), dtype=np.int32)
                     yield some.assign(**{c: None for c in columns if c not in some})[columns]
+                del tops, ws
                 seen = np.array([frequent.value.get(w, -1) for w in coded.words], np.float64)
                 text = np.repeat(np.arange(len(batch)), coded.sizes)
                 logs = np.where(seen >= 0, np.log10(np.maximum(seen, 0) + 0.1), 0)[coded.flat]
-                out = batch[names].reset_index(drop=True)
-                out["_batch"], out["_id"], out["kind"] = at_batch, np.arange(len(batch), dtype=np.int32), 2
-                out["n_tokens"], out["n_bytes"] = coded.sizes, np.bincount(text, np.array([len(symbols_of(w)) for w in coded.words])[coded.flat], len(batch)).astype(np.int64)
-                out["n_frequent"] = np.bincount(text, (seen >= 0)[coded.flat], len(batch)).astype(np.int64)
+                out = batch[inner].reset_index(drop=True)
+                out["batch"] = at_batch
+                out["tokens"], out["bytes"] = coded.sizes, np.bincount(text, np.array([len(symbols_of(w)) for w in coded.words])[coded.flat], len(batch)).astype(np.int64)
+                out["known"] = np.bincount(text, (seen >= 0)[coded.flat], len(batch)).astype(np.int64)
                 out["base"] = np.bincount(text, logs, len(batch))
                 at = np.flatnonzero((seen < 0)[coded.flat])
                 cuts = np.searchsorted(text[at], np.arange(len(batch) + 1))
                 names_of = [coded.words[i] for i in coded.flat[at].tolist()]
                 out["rare"] = [names_of[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
                 ends = np.cumsum(coded.sizes).tolist()
-                for column, numbers in (("_flat", coded.flat), ("_number", number.astype(np.int32))):
-                    out[column] = [numbers[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-                yield out.assign(word=None, tail=None)[columns]
+                out["flat"] = [number[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+                yield out.assign(id=None, top=None, word=None)[columns]
+
+    columns = spark.createDataFrame([], codings).columns
+    texts = documents.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, names, strict=True)), F.coalesce("text", F.lit("")).alias("text"))
+    coded = stored(texts.mapInPandas(code, codings), "coded")
+    pieces = coded.filter("id is not null").select("batch", "id", "top", "word")
+    wanted = pieces.select("top", "word").distinct().join(counts, ["top", "word"], "full_outer").select("top", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    odds = stored(odds_of_words(wanted, model), "odds")
+    cells = odds.filter("cell is not null").groupBy("cell").agg(F.sum("m").alias("m")).toArrow()
+    weights = fitted_weights(cells["cell"].to_numpy(), cells["m"].to_numpy())
 
     def mix(texts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["kind", "_id"])
-        numbers = ([np.frombuffer(b, np.int32) for b in texts[c]] for c in ("_flat", "_number"))
-        found = scores(*numbers, list(pieces["odds"][pieces["kind"] == 0]), list(pieces["odds"][pieces["kind"] == 1]), weights)
-        return texts.assign(score=found)[[*names, "n_tokens", "n_bytes", "n_frequent", "base", "rare", "score"]]
+        found = scores([np.frombuffer(b, np.int32) for b in texts["flat"]], list(pieces.sort_values("id")["odds"]), weights)
+        return texts.assign(score=found)[[*inner, "tokens", "bytes", "known", "base", "rare", "score"]]
 
-    coded = documents.withColumn("text", F.coalesce("text", F.lit(""))).select(*names, "text")
-    columns = spark.createDataFrame([], codings).columns
-    coded = stored(coded.mapInPandas(code, codings), "coded")
-    pieces = coded.filter("kind < 2").select("_batch", "_id", "kind", "word", "tail")
-    pieces = pieces.join(odds_of_words(pieces, model), ["kind", "word", "tail"]).select(F.col("_batch").alias("_of"), "_id", "kind", "odds")
-    texts = coded.filter("kind = 2").drop("_id", "kind", "word", "tail")
-    scored = texts.groupBy("_batch").cogroup(pieces.groupBy("_of")).applyInPandas(mix, f"{kinds}, {known}, score double")
+    pieces = pieces.join(odds.filter("cell is null").select("top", "word", "odds"), ["top", "word"]).select(F.col("batch").alias("of"), "id", "odds")
+    scored = coded.filter("id is null").drop("id", "top", "word").groupBy("batch").cogroup(pieces.groupBy("of")).applyInPandas(mix, f"{kinds}{known}, score double")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     # the rarer words' counts are joined, each of a text's words once
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("m"))
@@ -625,15 +588,14 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     every = F.lit(float(np.log10(n_words + 0.1 * (vocabulary + 1))))
     found = scored.drop("rare").join(rare, "row", "left")
     return found.select(
-        *names, "n_tokens", (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_words).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * every).alias("base_score"), "score",
-        (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
+        *(F.col(i).alias(c) for i, c in zip(inner, names, strict=True)), F.col("tokens").alias("n_tokens"), (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(n_words).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("tokens") * every).alias("base_score"), "score",
+        (-F.col("score") / F.lit(float(np.log10(2))) / F.col("bytes")).alias("bits_per_byte"),
     )
 
 
 def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    training = documents.filter(fold(F.col("doc_id"), 10) != 0)
-    counts = word_counts(training)
-    found = score(documents, train(training, counts), counts)
+    counts = word_counts(documents.filter(fold(F.col("doc_id"), 10) != 0))
+    found = score(documents, train(counts), counts)
     return found.withColumn("held_out", fold(F.col("doc_id"), 10) == 0)

@@ -19,22 +19,21 @@ def texts(n, seed=0):
 def rows_of(spark):
     rows = [(i, t) for i, t in enumerate(texts(120))]
     rows += [(500, None), (501, ""), (502, " \t\n"), (503, "Ban BAN\x0bünknown 中文 " + "x" * 5000), (503, "Ban BAN\x0bünknown 中文 " + "x" * 5000)]
-    return rows, spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_tokens int").drop("n_tokens")
+    return rows, spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, n_tokens int, `odd.name` string")
 
 
 def test_base_score_and_counts(spark, monkeypatch):
     rows, frame = rows_of(spark)
-    training = frame.filter("doc_id < 100")
-    counts = cm.word_counts(training)
+    counts = cm.word_counts(frame.filter("doc_id < 100"))
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"]
     c = Counter(w for i, t in rows if i < 100 for w in words(t))
     n, v = sum(c.values()), len(c)
-    model = cm.train(training, counts)
+    model = cm.train(counts)
     found = {}
     for most in (10, 10_000):  # with most words' counts joined, then with all of them broadcast
         monkeypatch.setattr(cm, "MOST_FREQUENT", most)
         got = cm.score(frame, model, counts).collect()
-        assert len(got) == len(rows)
+        assert len(got) == len(rows) and {r["odd.name"] for r in got} == {"x"}
         for r in got:
             expected = dict(rows)[r.doc_id]
             assert r.n_tokens == len(words(expected)) and r.n_known == sum(c[w] > 0 for w in words(expected)) and r.train_tokens == n
@@ -49,25 +48,88 @@ def test_base_score_and_counts(spark, monkeypatch):
 def test_symbols_share_one_probability(spark):
     """Whatever comes first, the chances of all symbols that can come next sum to one, but for the little that a way around to a seen symbol wastes."""
     _, frame = rows_of(spark)
-    counts = cm.word_counts(frame.filter("doc_id < 100"))
-    model = cm.train(frame.filter("doc_id < 100"), counts)
+    model = cm.train(cm.word_counts(frame.filter("doc_id < 100")))
+    rows = model.contexts.toPandas()
+    seen, weights = cm.Seen(*(rows[c].to_numpy() for c in ("key", "n0", "n1"))), np.tile(np.float32([0.1, 0.2, 0.3, 0.4, 0.3]), (cm.GATES, 1))
     for before in (b"", b"ba", b"zq"):
-        strings = [before + bytes([s]) for s in range(256)]
-        found = cm.decisions(strings, model.codes, (0, 1, 2, 3))
-        gate = model.level[found.slots[cm.WORD]] * 2 + found.begun
-        x = np.stack([model.odds[k][found.slots[k]] / cm.SCALE for k in range(4)], axis=1)
-        z = (x * model.weights[gate, :4]).sum(1) * (found.bit.astype(float) * 2 - 1)
-        logs = np.add.reduceat(-np.log1p(np.exp(-z)), found.first)
-        prior = cm.decisions([before], model.codes, (0,)) if before else None
-        skip = prior.size[0] if before else 0
-        own = np.array([-np.log1p(np.exp(-z[a : a + skip])).sum() for a in found.first]) if skip else 0
-        assert 0.995 < np.exp(logs - own).sum() < 1 + 1e-9
+        for top in (b"", b"ba"):
+            strings = [before + bytes([s]) for s in range(256)]
+            found = cm.decisions(strings, model.codes, [top] * 256)
+            looked = cm._looked([seen[x] for x in found.slots], found.bit)
+            z = (looked[:, : cm.N] / cm.SCALE * weights[looked[:, cm.N]]).sum(1)
+            logs = np.add.reduceat(-np.log1p(np.exp(-z)), found.first)
+            skip = cm.decisions([before], model.codes, [top]).size[0] if before else 0
+            own = np.array([-np.log1p(np.exp(-z[a : a + skip])).sum() for a in found.first]) if skip else 0
+            assert 0.995 < np.exp(logs - own).sum() < 1 + 1e-9
+
+
+def test_leading_short_words():
+    rng = random.Random(4)
+    texts = [None, "", "a b b a a long b b"] + [" ".join(rng.choices(["a", "bb", "ccc", "dddd", "eeeee"], k=rng.randrange(40))) for _ in range(30)]
+    coded = cm.Coded.of(texts)
+    expected = []
+    for t in texts:
+        counts, lead = Counter(), -1
+        for w in [*(t or "").encode().split(), cm.END]:
+            expected.append(lead)
+            if w != cm.END and len(w) <= cm.SHORT:
+                counts[w] += 1
+                if lead < 0 or counts[w] > counts[coded.words[lead]]:
+                    lead = coded.words.index(w)
+    assert coded.tops().tolist() == expected
+    number, tops, words = coded.pairs()
+    assert [(tops[k], words[k]) for k in number] == [(coded.words[t] if t >= 0 else b"", coded.words[w]) for t, w in zip(expected, coded.flat, strict=True)]
+
+
+def plain_score(flat, words, weights):
+    """One text's score, word by word in plain numbers."""
+    delta, bend = np.zeros((cm.GATES, cm.N)), np.zeros(1 + len(cm.KNOTS))
+    total = 0.0
+    for a in range(0, len(flat), cm.BLOCK):
+        d, b = np.zeros_like(delta), np.zeros_like(bend)
+        for word in flat[a : a + cm.BLOCK]:
+            for row in np.frombuffer(words[word], np.int8).reshape(-1, cm.N + 1):
+                x, g = row[: cm.N] / cm.SCALE, row[cm.N]
+                z = float(x @ (weights[g] + delta[g]))
+                bases = np.array([z, *(min(max(z, -k), k) for k in map(float, cm.KNOTS))])
+                p = 1 / (1 + math.exp(-(z + bend @ bases)))
+                total += math.log10(p)
+                d[g] += cm.RATE * (1 - p) * x
+                b += cm.BEND * (1 - p) * bases
+        delta, bend = delta + d, bend + b
+    return total
+
+
+def test_scores_against_a_plain_version(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = []
+    for n in rng.integers(1, 12, 50):
+        rows = rng.integers(-30, 60, (n, cm.N + 1)).astype(np.int8)
+        rows[:, cm.N] = rng.integers(0, cm.GATES, n)
+        words.append(rows.tobytes())
+    flat = [rng.integers(0, 50, n).astype(np.int32) for n in (1, 2, cm.BLOCK, 40, 41, 333, 7)]
+    weights = rng.normal(0.2, 0.1, (cm.GATES, cm.N)).astype(np.float32)
+    expected = [plain_score(f, words, weights.astype(float)) for f in flat]
+    assert np.allclose(cm.scores(flat, words, weights), expected, rtol=1e-4)
+    monkeypatch.setattr(cm, "DECISIONS_AT_ONCE", 64)
+    assert np.allclose(cm.scores(flat, words, weights), expected, rtol=1e-4) and len(cm.scores([], [], weights)) == 0
+
+
+def test_weights_are_the_most_likely_ones():
+    rng = np.random.default_rng(5)
+    true = np.array([0.5, -0.2, 0.3, 0.1, 0.6])
+    looked = np.zeros((60_000, cm.N + 1), np.int8)
+    looked[:, : cm.N] = np.clip(np.rint(rng.normal(0, 18, (60_000, cm.N)) / cm.STEPS) * cm.STEPS, -63, 63)
+    side = np.where(rng.random(60_000) < 1 / (1 + np.exp(-(looked[:, : cm.N] / cm.SCALE @ true))), 1, -1)
+    looked[:, : cm.N] *= side[:, None].astype(np.int8)
+    found = cm.fitted_weights(*cm._cells(looked, np.ones(60_000)))
+    assert np.allclose(found[0], true, atol=0.05) and np.allclose(found[1], [0.1, 0.2, 0.3, 0.3, 0.3])
 
 
 def test_a_score_depends_on_its_text_only(spark):
     _, frame = rows_of(spark)
     counts = cm.word_counts(frame)
-    model = cm.train(frame, counts)
+    model = cm.train(counts)
     one = {(r.doc_id, r.score) for r in cm.score(frame.coalesce(1), model, counts).collect()}
     many = {(r.doc_id, r.score) for r in cm.score(frame.repartition(7), model, counts).collect()}
     assert one == many
@@ -77,9 +139,9 @@ def test_nothing_to_learn_from(spark):
     frame = spark.createDataFrame([(1, "abc def"), (2, None)], "doc_id long, text string")
     none = frame.limit(0)
     counts = cm.word_counts(none)
-    found = cm.score(frame, cm.train(none, counts), counts).orderBy("doc_id").collect()
+    found = cm.score(frame, cm.train(counts), counts).orderBy("doc_id").collect()
     assert [r.n_tokens for r in found] == [3, 1] and all(r.score < 0 and r.n_known == 0 and r.train_tokens == 0 for r in found)
-    assert cm.score(none, cm.train(none, counts), counts).count() == 0
+    assert cm.score(none, cm.train(counts), counts).count() == 0
 
 
 def test_contexts_are_counted_apart(spark):
@@ -88,11 +150,12 @@ def test_contexts_are_counted_apart(spark):
     words = lambda n: {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(n)}
     known, fresh = sorted(words(8_000)), sorted(words(2_000))
     frame = spark.createDataFrame([(k, " ".join(known[a : a + 500])) for k, a in enumerate(range(0, len(known), 500))], "doc_id long, text string")
-    counts = cm.word_counts(frame)
-    model = cm.train(frame, counts)
+    model = cm.train(cm.word_counts(frame))
+    rows = model.contexts.toPandas()
+    have = cm.Seen(*(rows[c].to_numpy() for c in ("key", "n0", "n1")))
     seen = {w[:k] for w in known for k in range(9)}
-    found = cm.decisions([w.encode() for w in fresh], model.codes, (0, 1, 2, 3))
-    level = model.level[found.slots[cm.WORD]]
+    found = cm.decisions([w.encode() for w in fresh], model.codes, [b""] * len(fresh))
+    level = cm._levels(have[found.slots[cm.WORD]].sum(1))
     last = found.first + found.size - 1  # the last decision stands before the eighth letter
     never = np.array([w[:7] not in seen for w in fresh])
     assert never.any() and (level[last][never] == 0).all()
