@@ -5,10 +5,15 @@ A-Z lower-cased), each with one space behind it, then one end. A symbol is coded
 the binary decisions on its way down Huffman trees that belong to the two symbols before
 it, so likely symbols take few decisions. Five predictors look at each decision, by
 hashed contexts: the last symbol with the place in the word, the last four, the word so
-far, and the last three and the word so far with the text's most frequent short word
-before it (the first to reach its number), which tells languages and layouts apart. Their counts come from all training texts: words by the short word before them are
-counted in Spark, and from these counts Spark sums the decisions of each context and
-node, by their full 64-bit hash.
+far, and the last three and the word so far with the text's leading short word (of ASCII
+letters, the most frequent before, the first to reach its number), which tells
+languages apart. Their counts come from all training texts, as sums of the decisions of
+each context and node by full 64-bit hash.
+
+The distinct pairs of leading and own word lie in order in groups of WORDS_AT_ONCE. What
+begins alike is in one group, so the contexts of the word so far are counted there, but
+for those that the group's first or last word shares: these and the other predictors'
+are summed over all groups in a table of Spark, however many there are, and joined back.
 
 A mixer adds the predictors' log odds with weights from the set that a gate chooses
 (how often the last two predictors' contexts were seen). The start weights are fitted on
@@ -16,13 +21,12 @@ the decisions of all training texts, each one's own count left out, which Spark
 gate and odds in steps of STEPS. To these weights each text adds its own for each gate,
 and a map of the mixed odds, linear between knots, both learned online along the text,
 after every BLOCK words. The sum of the decisions' logarithms is the score; bits per
-byte follow from it. A text's score depends on nothing but the text and the trained tables.
+byte follow from it. A text's score depends on nothing but the text and the training texts.
 
-The table of contexts stays in Spark, however many there are: it is joined to the distinct
-words of the texts, whose odds then go to the texts' batches. Broadcast are the trees, the
-weights and the MOST_FREQUENT most frequent words' counts for the unigram base score;
-counts of rarer words, however many, are joined. The driver sees at most GATES * 16^5
-sums for the weights and 2^24 counts of three bytes for the trees.
+The words' odds go to the texts' batches by a join. Broadcast are the trees, the weights
+and the MOST_FREQUENT most frequent words' counts for the unigram base score; counts of
+rarer words, however many, are joined. The driver sees at most GATES * 16^5 sums for the
+weights and 2^24 counts of three bytes for the trees.
 
 Defined results: null and empty texts are one end; repeated rows stay; without a
 training text all predictors are even; null ids are in no fold, train nothing and have a
@@ -181,6 +185,7 @@ class Decisions:
     first: np.ndarray
     size: np.ndarray
     bit: np.ndarray
+    place: np.ndarray  # of its symbol
     slots: list[np.ndarray]  # by predictor: full hashes of context and node
 
 
@@ -232,7 +237,7 @@ def decisions(strings: list[bytes], codes: Codes, tops: list[bytes]) -> Decision
         slots.append(h.view(np.int64))
     ends = np.concatenate([[0], np.cumsum(steps)])
     begins = ends[first]
-    return Decisions(begins, ends[first + sizes] - begins, codes.bit[flat], slots)
+    return Decisions(begins, ends[first + sizes] - begins, codes.bit[flat], place[symbol].astype(np.int32), slots)
 
 
 class _Numbers(dict):
@@ -261,8 +266,8 @@ class Coded:
         return Coded(list(index), np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(sizes, np.int64))
 
     def tops(self) -> np.ndarray:
-        """By token: the number of the most frequent short word before it in its text, the first to reach its number; -1 if there is none."""
-        short = np.array([0 < len(w) <= SHORT and w != END for w in self.words], bool)
+        """By token: the number of the leading short word before it in its text; -1 if there is none."""
+        short = np.array([len(w) <= SHORT and w.isalpha() for w in self.words], bool)
         at = np.flatnonzero(short[self.flat])
         text = np.repeat(np.arange(len(self.sizes)), self.sizes)
         own, word = text[at], self.flat[at]
@@ -322,17 +327,27 @@ def _decisions_of(rows: pd.DataFrame, codes: Codes) -> Decisions:
     return decisions([symbols_of(w) for w in rows["word"]], codes, list(rows["top"]))
 
 
-def _context_counts(codes: Codes):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _joined(batches, WORDS_AT_ONCE):
-            found = _decisions_of(batch, codes)
-            n = np.repeat(batch["n"].to_numpy(np.float64), found.size)
-            for slots in found.slots:
-                at, number = np.unique(slots, return_inverse=True)
-                both = np.bincount(number * 2 + found.bit, n, 2 * len(at)).reshape(-1, 2)
-                yield pd.DataFrame({"key": at, "n0": both[:, 0], "n1": both[:, 1]})
+def _is_open(rows: pd.DataFrame, found: Decisions) -> np.ndarray:
+    """Decisions before which the word so far may also begin words of other groups: it begins the first or last word of rows."""
+    words = [symbols_of(w) for w in rows["word"]]
+    ends = [symbols_of(w) for w in (min(rows["word"]), max(rows["word"]))]
+    same = np.array([max(_alike(w, e) for e in ends) for w in words])
+    return found.place <= np.repeat(same, found.size)
+
+
+def _alike(a: bytes, b: bytes) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
 
-    return count
+def _sums(keys: np.ndarray, bit: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the number of each key among them, and their n-weighted decisions."""
+    found, number = np.unique(keys, return_inverse=True)
+    return found, number, np.bincount(number * 2 + bit, n, 2 * len(found)).reshape(-1, 2)
 
 
 class Seen:
@@ -349,12 +364,6 @@ class Seen:
         return np.where((self.key[at] == keys)[:, None], self.n[at], 0.0)
 
 
-@dataclass
-class Model:
-    codes: Codes
-    contexts: DataFrame  # key, n0 and n1 of every context and node of the training texts
-
-
 def _odds(counts: np.ndarray) -> np.ndarray:
     """Log odds of 1 in steps of 1 / SCALE."""
     return np.clip(np.rint(np.log((counts[:, 1] + SMOOTH) / (counts[:, 0] + SMOOTH)) * SCALE), -127, 127).astype(np.int8)
@@ -396,40 +405,50 @@ def fitted_weights(cells: np.ndarray, n: np.ndarray, steps: int = 12) -> np.ndar
     return weights.astype(np.float32)
 
 
-def odds_of_words(words: DataFrame, model: Model) -> DataFrame:
-    """Of words (top, word, n): top, word and odds of each, the bytes of its decisions; and rows of cell and m, the sums over all n that the weights are fitted on."""
-    shared = words.sparkSession.sparkContext.broadcast(model.codes)
+def odds_of_words(words: DataFrame, codes: Codes) -> DataFrame:
+    """Of words (top, word, n in the training texts): top, word and odds of each, the bytes of its decisions; and rows of cell and m, the sums over all n that the weights are fitted on."""
+    shared = words.sparkSession.sparkContext.broadcast(codes)
 
     def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # words that begin alike lie together, so that a group asks for few contexts
         for k, batch in enumerate(_joined(batches, WORDS_AT_ONCE)):
-            yield batch.assign(g=TaskContext.get().partitionId() << 32 | k)
-
-    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _joined(batches, WORDS_AT_ONCE):
-            for g, rows in batch.groupby("g"):
-                for slots in _decisions_of(rows, shared.value).slots:
-                    yield pd.DataFrame({"g": g, "key": np.unique(slots)})
+            for a in range(0, len(batch), WORDS_AT_ONCE):
+                yield batch.iloc[a : a + WORDS_AT_ONCE].assign(g=TaskContext.get().partitionId() << 40 | k << 20 | a // WORDS_AT_ONCE)
+
+    def asked(rows: pd.DataFrame) -> pd.DataFrame:
+        """The keys that other groups may have, too, with this group's counts of them, 0 for those that are only asked for."""
+        found = _decisions_of(rows, shared.value)
+        n, out = np.repeat(rows["n"].to_numpy(np.float64), found.size), []
+        open_ = _is_open(rows, found)
+        for k, slots in enumerate(found.slots):
+            own = open_ if k in (WORD, TOPIC) else slice(None)
+            keys, _, both = _sums(slots[own], found.bit[own], n[own])
+            out.append(pd.DataFrame({"g": rows["g"].iloc[0], "key": keys, "n0": both[:, 0], "n1": both[:, 1]}))
+        return pd.concat(out)
 
     def odds(rows: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({c: [] for c in ("top", "word", "odds", "cell", "m")})
         found, have = _decisions_of(rows, shared.value), Seen(*(seen[c].to_numpy() for c in ("key", "n0", "n1")))
-        counts = [have[x] for x in found.slots]
+        n, open_, counts = np.repeat(rows["n"].to_numpy(np.float64), found.size), _is_open(rows, found), []
+        for k, slots in enumerate(found.slots):
+            everywhere = have[slots]
+            if k in (WORD, TOPIC):
+                _, number, both = _sums(slots, found.bit, n)
+                everywhere = np.where(open_[:, None], everywhere, both[number])
+            counts.append(everywhere)
         data, width = _looked(counts, found.bit).tobytes(), N + 1
-        every = [data[a * width : (a + n) * width] for a, n in zip(found.first.tolist(), found.size.tolist(), strict=True)]
-        n = np.repeat(rows["n"].to_numpy(np.float64), found.size)
+        every = [data[a * width : (a + m) * width] for a, m in zip(found.first.tolist(), found.size.tolist(), strict=True)]
         at = np.arange(len(found.bit))
         for c in counts:  # each decision's own count left out
             c[at, found.bit] = np.maximum(c[at, found.bit] - 1, 0)
         cell, m = _cells(_looked(counts, found.bit)[n > 0], n[n > 0])
-        none = [None] * len(cell)
-        names, pad = {c: [*rows[c], *none] for c in ("top", "word")}, np.full(len(rows), np.nan)
+        none, pad = [None] * len(cell), np.full(len(rows), np.nan)
+        names = {c: [*rows[c], *none] for c in ("top", "word")}
         return pd.DataFrame({**names, "odds": [*every, *none], "cell": pd.array([*[None] * len(rows), *cell.tolist()], "Int64"), "m": np.concatenate([pad, m])})
 
     words = words.repartitionByRange("word", "top").sortWithinPartitions("word", "top")
     words = stored(words.mapInPandas(grouped, "top binary, word binary, n long, g long"), "vocabulary")
-    seen = words.mapInPandas(wanted, "g long, key long").join(model.contexts, "key")
+    keys = stored(words.groupBy("g").applyInPandas(asked, "g long, key long, n0 double, n1 double"), "keys")
+    contexts = keys.filter("n0 + n1 > 0").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    seen = keys.select("g", "key").join(contexts, "key")
     return words.groupBy("g").cogroup(seen.groupBy("g")).applyInPandas(odds, "top binary, word binary, odds binary, cell long, m double")
 
 
@@ -498,23 +517,13 @@ def word_counts(training: DataFrame) -> DataFrame:
     return stored(parts.groupBy("top", "word").agg(F.sum("n").alias("n")), "words")
 
 
-def train(counts: DataFrame) -> Model:
-    """Trees and context counts from word_counts."""
-    # at most 2^24 triples of bytes, in any corpus
+def train(counts: DataFrame) -> Codes:
+    """Trees from word_counts: from at most 2^24 triples of bytes, in any corpus."""
     triples = counts.select("word", "n").mapInPandas(_triples, "triple long, n double").groupBy("triple").agg(F.sum("n").alias("n")).toPandas().sort_values("triple")
-    codes = huffman(triples["triple"].to_numpy(np.int64), triples["n"].to_numpy(np.float64))
-    shared = counts.sparkSession.sparkContext.broadcast(codes)
-
-    def of_contexts(batches):
-        return _context_counts(shared.value)(batches)
-
-    # words that begin alike lie together, so that a context comes from few tasks
-    near = counts.repartitionByRange("word", "top").sortWithinPartitions("word", "top")
-    contexts = near.mapInPandas(of_contexts, "key long, n0 double, n1 double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    return Model(codes, stored(contexts, "contexts"))
+    return huffman(triples["triple"].to_numpy(np.int64), triples["n"].to_numpy(np.float64))
 
 
-def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
     """The rows of documents without text, with n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     spark = documents.sparkSession
     words = stored(counts.groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
@@ -570,7 +579,7 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     coded = stored(texts.mapInPandas(code, codings), "coded")
     pieces = coded.filter("id is not null").select("batch", "id", "top", "word")
     wanted = pieces.select("top", "word").distinct().join(counts, ["top", "word"], "full_outer").select("top", "word", F.coalesce("n", F.lit(0)).alias("n"))
-    odds = stored(odds_of_words(wanted, model), "odds")
+    odds = stored(odds_of_words(wanted, codes), "odds")
     cells = odds.filter("cell is not null").groupBy("cell").agg(F.sum("m").alias("m")).toArrow()
     weights = fitted_weights(cells["cell"].to_numpy(), cells["m"].to_numpy())
 

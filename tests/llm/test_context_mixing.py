@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import granary.llm.context_mixing as cm
 
@@ -45,34 +46,64 @@ def test_base_score_and_counts(spark, monkeypatch):
     assert sum(r.bits_per_byte for r in held_out) / len(held_out) < 2.5
 
 
+def seen_in(counts, codes):
+    """All counts at once, of every predictor."""
+    rows = counts.toPandas()
+    found = cm.decisions([cm.symbols_of(w) for w in rows["word"]], codes, list(rows["top"]))
+    key, _, both = cm._sums(np.concatenate(found.slots), np.tile(found.bit, cm.N), np.tile(np.repeat(rows["n"].to_numpy(float), found.size), cm.N))
+    return cm.Seen(key, both[:, 0], both[:, 1])
+
+
 def test_symbols_share_one_probability(spark):
     """Whatever comes first, the chances of all symbols that can come next sum to one, but for the little that a way around to a seen symbol wastes."""
     _, frame = rows_of(spark)
-    model = cm.train(cm.word_counts(frame.filter("doc_id < 100")))
-    rows = model.contexts.toPandas()
-    seen, weights = cm.Seen(*(rows[c].to_numpy() for c in ("key", "n0", "n1"))), np.tile(np.float32([0.1, 0.2, 0.3, 0.4, 0.3]), (cm.GATES, 1))
+    counts = cm.word_counts(frame.filter("doc_id < 100"))
+    codes = cm.train(counts)
+    seen, weights = seen_in(counts, codes), np.tile(np.float32([0.1, 0.2, 0.3, 0.4, 0.3]), (cm.GATES, 1))
     for before in (b"", b"ba", b"zq"):
         for top in (b"", b"ba"):
             strings = [before + bytes([s]) for s in range(256)]
-            found = cm.decisions(strings, model.codes, [top] * 256)
+            found = cm.decisions(strings, codes, [top] * 256)
             looked = cm._looked([seen[x] for x in found.slots], found.bit)
             z = (looked[:, : cm.N] / cm.SCALE * weights[looked[:, cm.N]]).sum(1)
             logs = np.add.reduceat(-np.log1p(np.exp(-z)), found.first)
-            skip = cm.decisions([before], model.codes, [top]).size[0] if before else 0
+            skip = cm.decisions([before], codes, [top]).size[0] if before else 0
             own = np.array([-np.log1p(np.exp(-z[a : a + skip])).sum() for a in found.first]) if skip else 0
             assert 0.995 < np.exp(logs - own).sum() < 1 + 1e-9
 
 
+@pytest.mark.parametrize("at_once", (3, 17, 20_000))
+def test_odds_come_from_the_counts_of_all_texts(spark, monkeypatch, at_once):
+    """However the words are cut into groups, every context's counts are those of all training words, and of no other context."""
+    monkeypatch.setattr(cm, "WORDS_AT_ONCE", at_once)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(400)]
+    rows = [(k, " ".join(rng.choices(words[:300] if k < 40 else words, k=30))) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = cm.word_counts(frame.filter("doc_id < 40"))
+    codes = cm.train(counts)
+    seen = seen_in(counts, codes)
+    wanted = cm.word_counts(frame).drop("n").join(counts, ["top", "word"], "left").fillna({"n": 0})
+    found = cm.odds_of_words(wanted, codes).toPandas()
+    pairs = found[found["cell"].isna()]
+    assert len(pairs) == wanted.count()
+    for top, word, odds in zip(pairs["top"], pairs["word"], pairs["odds"], strict=True):
+        one = cm.decisions([cm.symbols_of(word)], codes, [top])
+        assert odds == cm._looked([seen[x] for x in one.slots], one.bit).tobytes()
+    n = {(r.top, r.word): r.n for r in counts.collect()}
+    assert found["m"].sum() == sum(n[t, w] * len(o) // (cm.N + 1) for t, w, o in zip(pairs["top"], pairs["word"], pairs["odds"], strict=True) if (t, w) in n)
+
+
 def test_leading_short_words():
     rng = random.Random(4)
-    texts = [None, "", "a b b a a long b b"] + [" ".join(rng.choices(["a", "bb", "ccc", "dddd", "eeeee"], k=rng.randrange(40))) for _ in range(30)]
+    texts = [None, "", "a b b a a long b b"] + [" ".join(rng.choices(["a", "bb", "ccc", "dddd", "12", "\u00fc"], k=rng.randrange(40))) for _ in range(30)]
     coded = cm.Coded.of(texts)
     expected = []
     for t in texts:
         counts, lead = Counter(), -1
         for w in [*(t or "").encode().split(), cm.END]:
             expected.append(lead)
-            if w != cm.END and len(w) <= cm.SHORT:
+            if w.isalpha() and len(w) <= cm.SHORT:
                 counts[w] += 1
                 if lead < 0 or counts[w] > counts[coded.words[lead]]:
                     lead = coded.words.index(w)
@@ -142,20 +173,3 @@ def test_nothing_to_learn_from(spark):
     found = cm.score(frame, cm.train(counts), counts).orderBy("doc_id").collect()
     assert [r.n_tokens for r in found] == [3, 1] and all(r.score < 0 and r.n_known == 0 and r.train_tokens == 0 for r in found)
     assert cm.score(none, cm.train(counts), counts).count() == 0
-
-
-def test_contexts_are_counted_apart(spark):
-    """Every context and node has its own counts, however many there are: those of a word never seen are 0."""
-    rng = random.Random(3)
-    words = lambda n: {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(n)}
-    known, fresh = sorted(words(8_000)), sorted(words(2_000))
-    frame = spark.createDataFrame([(k, " ".join(known[a : a + 500])) for k, a in enumerate(range(0, len(known), 500))], "doc_id long, text string")
-    model = cm.train(cm.word_counts(frame))
-    rows = model.contexts.toPandas()
-    have = cm.Seen(*(rows[c].to_numpy() for c in ("key", "n0", "n1")))
-    seen = {w[:k] for w in known for k in range(9)}
-    found = cm.decisions([w.encode() for w in fresh], model.codes, [b""] * len(fresh))
-    level = cm._levels(have[found.slots[cm.WORD]].sum(1))
-    last = found.first + found.size - 1  # the last decision stands before the eighth letter
-    never = np.array([w[:7] not in seen for w in fresh])
-    assert never.any() and (level[last][never] == 0).all()
