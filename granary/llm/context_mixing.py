@@ -4,8 +4,8 @@ The text that is coded is its words (runs of other bytes than space and 0x09-0x0
 A-Z lower-cased), each with one space behind it, then one end. A symbol is coded as
 the binary decisions on its way down Huffman trees that belong to the two symbols before
 it, so likely symbols take few decisions. Five predictors look at each decision, by
-hashed contexts: the last symbol with the place in the word, the last four, the word so
-far, and the last three and the word so far with the text's leading short word (of ASCII
+hashed contexts: the last symbol with the place in the word, the last three, the word so
+far, and the last two and the word so far with the text's leading short word (of ASCII
 letters, the most frequent before, the first to reach its number), which tells
 languages apart. Their counts come from all training texts, as sums of the decisions of
 each context and node by full 64-bit hash.
@@ -13,7 +13,8 @@ each context and node by full 64-bit hash.
 The distinct pairs of leading and own word lie in order in groups of WORDS_AT_ONCE. What
 begins alike is in one group, so the contexts of the word so far are counted there, but
 for those that the group's first or last word shares: these and the other predictors'
-are summed over all groups in a table of Spark, however many there are, and joined back.
+are summed over all groups in a table of Spark. Up to MOST_SHARED of them are broadcast;
+more are joined to the groups that ask for them, with the same results.
 
 A mixer adds the predictors' log odds with weights from the set that a gate chooses
 (how often the last two predictors' contexts were seen). The start weights are fitted on
@@ -54,7 +55,8 @@ GATES = 16
 MOST_FREQUENT = 100_000
 BLOCK = 4
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 4_000, 8 << 20
-WORDS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 30_000
+MOST_SHARED = 3_000_000
 DECISIONS_AT_ONCE = 1 << 19
 RATE, BEND = 0.015, 0.002
 KNOTS = (np.float32(1.5), np.float32(4.0))
@@ -212,7 +214,7 @@ def decisions(strings: list[bytes], codes: Codes, tops: list[bytes]) -> Decision
     start = np.repeat(first, sizes)
     place = np.arange(len(data)) - start
     at = data.astype(np.uint64)
-    last = [np.where(place >= k, np.roll(at, k), np.where(place == k - 1, _U(32), _U(0))) for k in (1, 2, 3, 4)]
+    last = [np.where(place >= k, np.roll(at, k), np.where(place == k - 1, _U(32), _U(0))) for k in (1, 2, 3)]
     up, back = _powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
@@ -224,8 +226,8 @@ def decisions(strings: list[bytes], codes: Codes, tops: list[bytes]) -> Decision
     top = np.repeat(np.array([int.from_bytes(t, "big") + 1 for t in tops], np.uint64), sizes)
     contexts = (
         last[0] << _U(4) | np.minimum(place, 7).astype(np.uint64),
-        (last[2] << _U(16) | last[1] << _U(8) | last[0]) * _BASE + top,
-        last[3] << _U(24) | last[2] << _U(16) | last[1] << _U(8) | last[0],
+        (last[1] << _U(8) | last[0]) * _BASE + top,
+        last[2] << _U(16) | last[1] << _U(8) | last[0],
         prefix,
         prefix * _BASE + top,
     )
@@ -328,9 +330,9 @@ def _decisions_of(rows: pd.DataFrame, codes: Codes) -> Decisions:
 
 
 def _is_open(rows: pd.DataFrame, found: Decisions) -> np.ndarray:
-    """Decisions before which the word so far may also begin words of other groups: it begins the first or last word of rows."""
+    """Decisions before which the word so far may also begin words of other groups: it begins the first or last word of the group."""
     words = [symbols_of(w) for w in rows["word"]]
-    ends = [symbols_of(w) for w in (min(rows["word"]), max(rows["word"]))]
+    ends = [symbols_of(w) for w in (rows["first"].iloc[0], rows["last"].iloc[0])]
     same = np.array([max(_alike(w, e) for e in ends) for w in words])
     return found.place <= np.repeat(same, found.size)
 
@@ -355,7 +357,11 @@ class Seen:
 
     def __init__(self, key: np.ndarray, n0: np.ndarray, n1: np.ndarray):
         order = np.argsort(key)
-        self.key, self.n = key[order], np.stack([n0[order], n1[order]], axis=1)
+        self.key, self.n = key[order], np.stack([n0[order], n1[order]], axis=1).astype(np.float32)
+
+    @staticmethod
+    def of(rows: pd.DataFrame) -> Seen:
+        return Seen(*(rows[c].to_numpy() for c in ("key", "n0", "n1")))
 
     def __getitem__(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.key):
@@ -412,21 +418,33 @@ def odds_of_words(words: DataFrame, codes: Codes) -> DataFrame:
     def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, batch in enumerate(_joined(batches, WORDS_AT_ONCE)):
             for a in range(0, len(batch), WORDS_AT_ONCE):
-                yield batch.iloc[a : a + WORDS_AT_ONCE].assign(g=TaskContext.get().partitionId() << 40 | k << 20 | a // WORDS_AT_ONCE)
+                part = batch.iloc[a : a + WORDS_AT_ONCE]
+                yield part.assign(first=part["word"].iloc[0], last=part["word"].iloc[-1], g=TaskContext.get().partitionId() << 40 | k << 20 | a // WORDS_AT_ONCE)
 
-    def asked(rows: pd.DataFrame) -> pd.DataFrame:
-        """The keys that other groups may have, too, with this group's counts of them, 0 for those that are only asked for."""
-        found = _decisions_of(rows, shared.value)
-        n, out = np.repeat(rows["n"].to_numpy(np.float64), found.size), []
+    def shared_keys(rows: pd.DataFrame, found: Decisions) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By predictor: which decisions have keys that other groups may have, too, and these keys."""
         open_ = _is_open(rows, found)
         for k, slots in enumerate(found.slots):
-            own = open_ if k in (WORD, TOPIC) else slice(None)
-            keys, _, both = _sums(slots[own], found.bit[own], n[own])
-            out.append(pd.DataFrame({"g": rows["g"].iloc[0], "key": keys, "n0": both[:, 0], "n1": both[:, 1]}))
+            own = open_ if k in (WORD, TOPIC) else np.ones(len(slots), bool)
+            yield own, slots[own]
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows["n"] > 0]
+        if not len(rows):
+            return pd.DataFrame({"key": [], "n0": [], "n1": []})
+        found, out = _decisions_of(rows, shared.value), []
+        n = np.repeat(rows["n"].to_numpy(np.float64), found.size)
+        for own, keys in shared_keys(rows, found):
+            keys, _, both = _sums(keys, found.bit[own], n[own])
+            out.append(pd.DataFrame({"key": keys, "n0": both[:, 0], "n1": both[:, 1]}))
         return pd.concat(out)
 
-    def odds(rows: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        found, have = _decisions_of(rows, shared.value), Seen(*(seen[c].to_numpy() for c in ("key", "n0", "n1")))
+    def wanted(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.unique(np.concatenate([keys for _, keys in shared_keys(rows, _decisions_of(rows, shared.value))]))
+        return pd.DataFrame({"g": rows["g"].iloc[0], "key": keys})
+
+    def odds(rows: pd.DataFrame, have: Seen) -> pd.DataFrame:
+        found = _decisions_of(rows, shared.value)
         n, open_, counts = np.repeat(rows["n"].to_numpy(np.float64), found.size), _is_open(rows, found), []
         for k, slots in enumerate(found.slots):
             everywhere = have[slots]
@@ -445,11 +463,15 @@ def odds_of_words(words: DataFrame, codes: Codes) -> DataFrame:
         return pd.DataFrame({**names, "odds": [*every, *none], "cell": pd.array([*[None] * len(rows), *cell.tolist()], "Int64"), "m": np.concatenate([pad, m])})
 
     words = words.repartitionByRange("word", "top").sortWithinPartitions("word", "top")
-    words = stored(words.mapInPandas(grouped, "top binary, word binary, n long, g long"), "vocabulary")
-    keys = stored(words.groupBy("g").applyInPandas(asked, "g long, key long, n0 double, n1 double"), "keys")
-    contexts = keys.filter("n0 + n1 > 0").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    seen = keys.select("g", "key").join(contexts, "key")
-    return words.groupBy("g").cogroup(seen.groupBy("g")).applyInPandas(odds, "top binary, word binary, odds binary, cell long, m double")
+    words = stored(words.mapInPandas(grouped, "top binary, word binary, n long, first binary, last binary, g long"), "vocabulary")
+    contexts = words.groupBy("g").applyInPandas(counted, "key long, n0 double, n1 double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    contexts, kinds = stored(contexts, "contexts"), "top binary, word binary, odds binary, cell long, m double"
+    if contexts.count() > MOST_SHARED:
+        seen = words.groupBy("g").applyInPandas(wanted, "g long, key long").join(contexts, "key")
+        joined = lambda rows, seen: odds(rows, Seen.of(seen))
+        return words.groupBy("g").cogroup(seen.groupBy("g")).applyInPandas(joined, kinds)
+    have = words.sparkSession.sparkContext.broadcast(Seen.of(contexts.toPandas()))
+    return words.groupBy("g").applyInPandas(lambda rows: odds(rows, have.value), kinds)
 
 
 def scores(flat: list[np.ndarray], words: list[bytes], weights: np.ndarray) -> np.ndarray:

@@ -72,10 +72,11 @@ def test_symbols_share_one_probability(spark):
             assert 0.995 < np.exp(logs - own).sum() < 1 + 1e-9
 
 
-@pytest.mark.parametrize("at_once", (3, 17, 20_000))
-def test_odds_come_from_the_counts_of_all_texts(spark, monkeypatch, at_once):
+@pytest.mark.parametrize(("at_once", "most_shared"), ((3, 10**6), (17, 0), (20_000, 10**6)))
+def test_odds_come_from_the_counts_of_all_texts(spark, monkeypatch, at_once, most_shared):
     """However the words are cut into groups, every context's counts are those of all training words, and of no other context."""
     monkeypatch.setattr(cm, "WORDS_AT_ONCE", at_once)
+    monkeypatch.setattr(cm, "MOST_SHARED", most_shared)
     rng = random.Random(3)
     words = ["".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(400)]
     rows = [(k, " ".join(rng.choices(words[:300] if k < 40 else words, k=30))) for k in range(60)]
