@@ -4,17 +4,19 @@ The text that is coded is its words (runs of other bytes than space and 0x09-0x0
 A-Z lower-cased), each with one space behind it, then one end. A symbol is coded as
 the binary decisions on its way down Huffman trees that belong to the two symbols before
 it, so likely symbols take few decisions. Five predictors look at each decision, by
-hashed contexts: the last symbol with the place in the word, the last three, the word so
-far, and the last two and the word so far with the text's leading short word (of ASCII
-letters, the most frequent before, the first to reach its number), which tells
-languages apart. Their counts come from all training texts, as sums of the decisions of
-each context and node by full 64-bit hash.
-
-The distinct pairs of leading and own word lie in order in groups of WORDS_AT_ONCE. What
-begins alike is in one group, so the contexts of the word so far are counted there, but
-for those that the group's first or last word shares: these and the other predictors'
-are summed over all groups in a table of Spark. Up to MOST_SHARED of them are broadcast;
-more are joined to the groups that ask for them, with the same results.
+hashed contexts: the last symbol with the place in the word, the last two, the last
+three, the word so far, and, for the first HEAD symbols, the word so far with the text's
+leading short word (of ASCII letters, the most frequent before, the first to reach its
+number), which tells languages apart. Their counts come from all training texts, as sums
+of the decisions of each context and node by full 64-bit hash.
+
+A word is coded in two pieces: its head (with the short word that leads there) and its
+rest. The distinct pieces lie in order in groups of WORDS_AT_ONCE. What begins alike is in
+one group, so the contexts of the word so far in rests, and those with the short word in
+heads, are counted there, but for those that the group's first or last piece shares: these
+and the other predictors' are summed over all groups in a table of Spark. Up to
+MOST_SHARED of them are broadcast; more are joined to the groups that ask for them, with
+the same results.
 
 A mixer adds the predictors' log odds with weights from the set that a gate chooses
 (how often the last two predictors' contexts were seen). The start weights are fitted on
@@ -24,7 +26,7 @@ and a map of the mixed odds, linear between knots, both learned online along the
 after every BLOCK words. The sum of the decisions' logarithms is the score; bits per
 byte follow from it. A text's score depends on nothing but the text and the training texts.
 
-The words' odds go to the texts' batches by a join. Broadcast are the trees, the weights
+The pieces' odds go to the texts' batches by a join. Broadcast are the trees, the weights
 and the MOST_FREQUENT most frequent words' counts for the unigram base score; counts of
 rarer words, however many, are joined. The driver sees at most GATES * 16^5 sums for the
 weights and 2^24 counts of three bytes for the trees.
@@ -51,9 +53,10 @@ from granary.llm.common import fold, stored, table
 WORD, TOPIC = 3, 4  # the predictors of the word so far, and with the text's short word
 N = 5
 SHORT = 3
+HEAD = 4
 GATES = 16
 MOST_FREQUENT = 100_000
-BLOCK = 4
+BLOCK = 4  # words
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 4_000, 8 << 20
 WORDS_AT_ONCE = 30_000
 MOST_SHARED = 3_000_000
@@ -206,8 +209,8 @@ def triples_of(strings: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found, np.bincount(number, np.repeat(n, sizes), len(found))
 
 
-def decisions(strings: list[bytes], codes: Codes, tops: list[bytes]) -> Decisions:
-    """The decisions of each string where a text's short word is the one in tops."""
+def decisions(strings: list[bytes], codes: Codes, tops: list[bytes], rests: bool = False) -> Decisions:
+    """The decisions of each string where a text's short word is the one in tops; of rests, those behind the first HEAD symbols only."""
     data = np.frombuffer(b"".join(strings), np.uint8)
     sizes = np.array([len(s) for s in strings], np.int64)
     first = np.cumsum(sizes) - sizes
@@ -220,13 +223,15 @@ def decisions(strings: list[bytes], codes: Codes, tops: list[bytes]) -> Decision
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     prefix = (sums[:-1] - sums[start]) * back[start] + place.astype(np.uint64)
     starts, parts = codes.ways((last[1] << _U(8) | last[0]).astype(np.int64), data.astype(np.int64))
+    if rests:
+        parts[np.repeat(place < HEAD, 2)] = 0
     flat = _spread(starts, parts)
     steps = parts[::2] + parts[1::2]
     symbol = np.repeat(np.arange(len(data)), steps)
     top = np.repeat(np.array([int.from_bytes(t, "big") + 1 for t in tops], np.uint64), sizes)
     contexts = (
         last[0] << _U(4) | np.minimum(place, 7).astype(np.uint64),
-        (last[1] << _U(8) | last[0]) * _BASE + top,
+        last[1] << _U(8) | last[0],
         last[2] << _U(16) | last[1] << _U(8) | last[0],
         prefix,
         prefix * _BASE + top,
@@ -286,18 +291,31 @@ class Coded:
         last[last <= np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)] = 0
         return np.where(last > 0, self.flat[last - 1], -1)
 
-    def pairs(self) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-        """The number of each token's (short word, word), and these words."""
-        found, number = np.unique((self.tops().astype(np.int64) + 1) * len(self.words) + self.flat, return_inverse=True)
-        tops = [b"", *self.words]
-        return number.astype(np.int32), [tops[i // len(self.words)] for i in found.tolist()], [self.words[i % len(self.words)] for i in found.tolist()]
+    def heads(self) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+        """The number of each token's (short word, head), and these."""
+        index = _Numbers()
+        head = np.array([index[symbols_of(w)[:HEAD]] for w in self.words], np.int64)[self.flat]
+        names, tops = list(index), [b"", *self.words]
+        found, number = np.unique((self.tops().astype(np.int64) + 1) * len(names) + head, return_inverse=True)
+        return number, [tops[i // len(names)] for i in found.tolist()], [names[i % len(names)] for i in found.tolist()]
+
+    def pieces(self) -> tuple[np.ndarray, list[int], list[bytes], list[bytes]]:
+        """The numbers, from 1, of each token's head and rest (0 for none), one after the other; and kind (1: heads), short word and word of these."""
+        number, tops, heads = self.heads()
+        long = np.array([len(symbols_of(w)) > HEAD for w in self.words], bool)
+        rest = np.where(long, np.cumsum(long) + len(heads), 0)
+        words = [w for w, is_long in zip(self.words, long.tolist(), strict=True) if is_long]
+        both = np.stack([number + 1, rest[self.flat]], axis=1).astype(np.int32).ravel()
+        return both, [1] * len(heads) + [0] * len(words), [*tops, *[b""] * len(words)], [*heads, *words]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for whole in batches:
         for batch in _cut(whole):
-            number, tops, words = Coded.of(batch["text"]).pairs()
-            yield pd.DataFrame({"top": tops, "word": words, "n": np.bincount(number, minlength=len(words))})
+            coded = Coded.of(batch["text"])
+            number, tops, heads = coded.heads()
+            yield pd.DataFrame({"kind": 0, "top": b"", "word": coded.words, "n": np.bincount(coded.flat, minlength=len(coded.words))})
+            yield pd.DataFrame({"kind": 1, "top": tops, "word": heads, "n": np.bincount(number, minlength=len(heads))})
 
 
 def _cut(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -326,15 +344,23 @@ def _joined(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFram
 
 
 def _decisions_of(rows: pd.DataFrame, codes: Codes) -> Decisions:
-    return decisions([symbols_of(w) for w in rows["word"]], codes, list(rows["top"]))
+    """Of pieces of one kind."""
+    if rows["kind"].iloc[0]:
+        return decisions(list(rows["word"]), codes, list(rows["top"]))
+    return decisions([symbols_of(w) for w in rows["word"]], codes, [b""] * len(rows), rests=True)
 
 
-def _is_open(rows: pd.DataFrame, found: Decisions) -> np.ndarray:
-    """Decisions before which the word so far may also begin words of other groups: it begins the first or last word of the group."""
-    words = [symbols_of(w) for w in rows["word"]]
-    ends = [symbols_of(w) for w in (rows["first"].iloc[0], rows["last"].iloc[0])]
-    same = np.array([max(_alike(w, e) for e in ends) for w in words])
-    return found.place <= np.repeat(same, found.size)
+def _own_contexts(rows: pd.DataFrame, found: Decisions) -> tuple[int, np.ndarray]:
+    """The predictor whose contexts lie together in groups of these pieces, and the decisions at which a context is in no other group.
+
+    In another group may be what begins its first or last word, and in heads the short words of these.
+    """
+    ends = rows.iloc[0]
+    if ends["kind"]:
+        return TOPIC, np.repeat(~rows["top"].isin([ends["first_top"], ends["last_top"]]).to_numpy(), found.size)
+    words, first, last = [symbols_of(w) for w in rows["word"]], symbols_of(ends["first"]), symbols_of(ends["last"])
+    same = np.array([max(_alike(w, first), _alike(w, last)) for w in words])
+    return WORD, found.place > np.repeat(same, found.size)
 
 
 def _alike(a: bytes, b: bytes) -> int:
@@ -380,10 +406,12 @@ def _levels(n: np.ndarray) -> np.ndarray:
 
 
 def _looked(counts: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
-    """By decision, in bytes: each predictor's odds towards the bit that is there, then the gate."""
+    """By decision, in bytes: each predictor's odds towards the bit that is there (0 for the last one in rests), then the gate."""
     sign = bit.astype(np.int8) * np.int8(2) - np.int8(1)
-    gate = _levels(counts[WORD].sum(1)) * 4 + _levels(counts[TOPIC].sum(1))
-    return np.stack([*(_odds(n) * sign for n in counts), gate.astype(np.int8)], axis=1)
+    gate, none = _levels(counts[WORD].sum(1)) * 4, [np.zeros(len(bit), np.int8)] * (N - len(counts))
+    if not none:
+        gate += _levels(counts[TOPIC].sum(1))
+    return np.stack([*(_odds(n) * sign for n in counts), *none, gate.astype(np.int8)], axis=1)
 
 
 def _cells(looked: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -411,22 +439,25 @@ def fitted_weights(cells: np.ndarray, n: np.ndarray, steps: int = 12) -> np.ndar
     return weights.astype(np.float32)
 
 
-def odds_of_words(words: DataFrame, codes: Codes) -> DataFrame:
-    """Of words (top, word, n in the training texts): top, word and odds of each, the bytes of its decisions; and rows of cell and m, the sums over all n that the weights are fitted on."""
-    shared = words.sparkSession.sparkContext.broadcast(codes)
+def odds_of_pieces(pieces: DataFrame, codes: Codes) -> DataFrame:
+    """Of pieces (kind, top, word, n in the training texts): kind, top, word and odds of each, the bytes of its decisions; and rows of cell and m, the sums over all n that the weights are fitted on."""
+    spark = pieces.sparkSession
+    shared = spark.sparkContext.broadcast(codes)
 
     def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, batch in enumerate(_joined(batches, WORDS_AT_ONCE)):
-            for a in range(0, len(batch), WORDS_AT_ONCE):
-                part = batch.iloc[a : a + WORDS_AT_ONCE]
-                yield part.assign(first=part["word"].iloc[0], last=part["word"].iloc[-1], g=TaskContext.get().partitionId() << 40 | k << 20 | a // WORDS_AT_ONCE)
+            for kind, some in batch.groupby("kind", sort=False):
+                for a in range(0, len(some), WORDS_AT_ONCE):
+                    part = some.iloc[a : a + WORDS_AT_ONCE]
+                    ends = {f"{x}{y}": part[z].iloc[at] for x, at in (("first", 0), ("last", -1)) for y, z in (("", "word"), ("_top", "top"))}
+                    yield part.assign(**ends, g=TaskContext.get().partitionId() << 40 | k << 20 | int(kind) << 19 | a // WORDS_AT_ONCE)
 
     def shared_keys(rows: pd.DataFrame, found: Decisions) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """By predictor: which decisions have keys that other groups may have, too, and these keys."""
-        open_ = _is_open(rows, found)
-        for k, slots in enumerate(found.slots):
-            own = open_ if k in (WORD, TOPIC) else np.ones(len(slots), bool)
-            yield own, slots[own]
+        own, alone = _own_contexts(rows, found)
+        for k in range(N if own == TOPIC else TOPIC):
+            some = ~alone if k == own else np.ones(len(found.bit), bool)
+            yield some, found.slots[k][some]
 
     def counted(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[rows["n"] > 0]
@@ -434,8 +465,8 @@ def odds_of_words(words: DataFrame, codes: Codes) -> DataFrame:
             return pd.DataFrame({"key": [], "n0": [], "n1": []})
         found, out = _decisions_of(rows, shared.value), []
         n = np.repeat(rows["n"].to_numpy(np.float64), found.size)
-        for own, keys in shared_keys(rows, found):
-            keys, _, both = _sums(keys, found.bit[own], n[own])
+        for some, keys in shared_keys(rows, found):
+            keys, _, both = _sums(keys, found.bit[some], n[some])
             out.append(pd.DataFrame({"key": keys, "n0": both[:, 0], "n1": both[:, 1]}))
         return pd.concat(out)
 
@@ -445,13 +476,14 @@ def odds_of_words(words: DataFrame, codes: Codes) -> DataFrame:
 
     def odds(rows: pd.DataFrame, have: Seen) -> pd.DataFrame:
         found = _decisions_of(rows, shared.value)
-        n, open_, counts = np.repeat(rows["n"].to_numpy(np.float64), found.size), _is_open(rows, found), []
-        for k, slots in enumerate(found.slots):
+        n, counts = np.repeat(rows["n"].to_numpy(np.float32), found.size), []
+        own, alone = _own_contexts(rows, found)
+        for k, slots in enumerate(found.slots[: N if own == TOPIC else TOPIC]):
             everywhere = have[slots]
-            if k in (WORD, TOPIC):
+            if k == own:
                 _, number, both = _sums(slots, found.bit, n)
-                everywhere = np.where(open_[:, None], everywhere, both[number])
-            counts.append(everywhere)
+                everywhere = np.where(alone[:, None], both[number], everywhere)
+            counts.append(everywhere.astype(np.float32))
         data, width = _looked(counts, found.bit).tobytes(), N + 1
         every = [data[a * width : (a + m) * width] for a, m in zip(found.first.tolist(), found.size.tolist(), strict=True)]
         at = np.arange(len(found.bit))
@@ -459,23 +491,26 @@ def odds_of_words(words: DataFrame, codes: Codes) -> DataFrame:
             c[at, found.bit] = np.maximum(c[at, found.bit] - 1, 0)
         cell, m = _cells(_looked(counts, found.bit)[n > 0], n[n > 0])
         none, pad = [None] * len(cell), np.full(len(rows), np.nan)
-        names = {c: [*rows[c], *none] for c in ("top", "word")}
-        return pd.DataFrame({**names, "odds": [*every, *none], "cell": pd.array([*[None] * len(rows), *cell.tolist()], "Int64"), "m": np.concatenate([pad, m])})
-
-    words = words.repartitionByRange("word", "top").sortWithinPartitions("word", "top")
-    words = stored(words.mapInPandas(grouped, "top binary, word binary, n long, first binary, last binary, g long"), "vocabulary")
-    contexts = words.groupBy("g").applyInPandas(counted, "key long, n0 double, n1 double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    contexts, kinds = stored(contexts, "contexts"), "top binary, word binary, odds binary, cell long, m double"
+        names = {c: [*rows[c], *none] for c in ("kind", "top", "word")}
+        out = pd.DataFrame({**names, "odds": [*every, *none], "cell": pd.array([*[None] * len(rows), *cell.tolist()], "Int64"), "m": np.concatenate([pad, m])})
+        return out.astype({"kind": "Int32"})
+
+    order = ["kind", "top", "word"]
+    pieces = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
+    pieces = stored(pieces.mapInPandas(grouped, "kind int, top binary, word binary, n long, first binary, last binary, first_top binary, last_top binary, g long"), "vocabulary")
+    contexts = pieces.groupBy("g").applyInPandas(counted, "key long, n0 double, n1 double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    contexts, kinds = stored(contexts, "contexts"), "kind int, top binary, word binary, odds binary, cell long, m double"
     if contexts.count() > MOST_SHARED:
-        seen = words.groupBy("g").applyInPandas(wanted, "g long, key long").join(contexts, "key")
+        seen = pieces.groupBy("g").applyInPandas(wanted, "g long, key long").join(contexts, "key")
         joined = lambda rows, seen: odds(rows, Seen.of(seen))
-        return words.groupBy("g").cogroup(seen.groupBy("g")).applyInPandas(joined, kinds)
-    have = words.sparkSession.sparkContext.broadcast(Seen.of(contexts.toPandas()))
-    return words.groupBy("g").applyInPandas(lambda rows: odds(rows, have.value), kinds)
+        return pieces.groupBy("g").cogroup(seen.groupBy("g")).applyInPandas(joined, kinds)
+    found = contexts.toArrow()
+    have = spark.sparkContext.broadcast(Seen(*(found[c].to_numpy() for c in ("key", "n0", "n1"))))
+    return pieces.groupBy("g").applyInPandas(lambda rows: odds(rows, have.value), kinds)
 
 
 def scores(flat: list[np.ndarray], words: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each text, from the numbers of its words and the words' odds.
+    """log10 of the probability of each text, from the numbers of its pieces, two a word, and the pieces' odds.
 
     All texts of a part move on together, a block of words at a time; what a text learns from a block counts from its next one.
     """
@@ -498,7 +533,7 @@ def scores(flat: list[np.ndarray], words: list[bytes], weights: np.ndarray) -> n
 def _mixed(flat: list[np.ndarray], first, size, looked, z_start, gates) -> np.ndarray:
     """Natural logarithms of the texts' probabilities; the texts come by falling length."""
     lengths = np.array([len(f) for f in flat])
-    block = np.concatenate([np.arange(n) // BLOCK for n in lengths])
+    block = np.concatenate([np.arange(n) // (2 * BLOCK) for n in lengths])
     order = np.argsort(block, kind="stable")
     word, text = np.concatenate(flat)[order], np.repeat(np.arange(len(flat), dtype=np.int32), lengths)[order]
     steps = size[word]
@@ -534,21 +569,21 @@ def _mixed(flat: list[np.ndarray], first, size, looked, z_start, gates) -> np.nd
 
 
 def word_counts(training: DataFrame) -> DataFrame:
-    """top, word and n over all rows of training (text): words, and the end, by the short word that leads before them."""
-    parts = training.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_count, "top binary, word binary, n long")
-    return stored(parts.groupBy("top", "word").agg(F.sum("n").alias("n")), "words")
+    """kind, top, word and n over all rows of training (text): words and ends (0), and their heads by the short word that leads there (1)."""
+    parts = training.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_count, "kind int, top binary, word binary, n long")
+    return stored(parts.groupBy("kind", "top", "word").agg(F.sum("n").alias("n")), "words")
 
 
 def train(counts: DataFrame) -> Codes:
     """Trees from word_counts: from at most 2^24 triples of bytes, in any corpus."""
-    triples = counts.select("word", "n").mapInPandas(_triples, "triple long, n double").groupBy("triple").agg(F.sum("n").alias("n")).toPandas().sort_values("triple")
+    triples = counts.filter("kind = 0").select("word", "n").mapInPandas(_triples, "triple long, n double").groupBy("triple").agg(F.sum("n").alias("n")).toPandas().sort_values("triple")
     return huffman(triples["triple"].to_numpy(np.int64), triples["n"].to_numpy(np.float64))
 
 
 def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
     """The rows of documents without text, with n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     spark = documents.sparkSession
-    words = stored(counts.groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
+    words = counts.filter("kind = 0").select("word", "n")
     n_words, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least, total = 1, 0
     for n, size in sorted(words.groupBy("n").count().collect(), reverse=True) if vocabulary > MOST_FREQUENT else []:
@@ -564,22 +599,22 @@ def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
     inner = [f"own_{k}" for k in range(len(names))]  # no name of documents can clash with those in between
     kinds = "".join(f"{i} {documents.schema[c].dataType.simpleString()}, " for i, c in zip(inner, names, strict=True))
     known = "tokens long, bytes long, known long, base double, rare array<binary>"
-    codings = f"batch long, id int, top binary, word binary, {kinds}{known}, flat binary"
+    codings = f"batch long, id int, kind int, top binary, word binary, {kinds}{known}, flat binary"
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of each batch of texts: its distinct pairs of short word and word, and the texts (id null) as numbers of these."""
+        """Of each batch of texts: its distinct pieces, and the texts (id null) as numbers of these."""
         number_of_batch = 0
         for whole in batches:
             for batch in _cut(whole):
                 at_batch = TaskContext.get().partitionId() << 32 | number_of_batch
                 number_of_batch += 1
                 coded = Coded.of(batch["text"])
-                number, tops, ws = coded.pairs()
+                number, kinds_of, tops, ws = coded.pieces()
                 for k in range(0, len(ws), WORDS_AT_ONCE):
-                    some = pd.DataFrame({"batch": at_batch, "top": tops[k : k + WORDS_AT_ONCE], "word": ws[k : k + WORDS_AT_ONCE]})
-                    some["id"] = np.arange(k, k + len(some), dtype=np.int32)
+                    some = pd.DataFrame({"batch": at_batch, "kind": kinds_of[k : k + WORDS_AT_ONCE], "top": tops[k : k + WORDS_AT_ONCE], "word": ws[k : k + WORDS_AT_ONCE]})
+                    some["id"] = np.arange(k + 1, k + 1 + len(some), dtype=np.int32)
                     yield some.assign(**{c: None for c in columns if c not in some})[columns]
-                del tops, ws
+                del kinds_of, tops, ws
                 seen = np.array([frequent.value.get(w, -1) for w in coded.words], np.float64)
                 text = np.repeat(np.arange(len(batch)), coded.sizes)
                 logs = np.where(seen >= 0, np.log10(np.maximum(seen, 0) + 0.1), 0)[coded.flat]
@@ -592,25 +627,26 @@ def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
                 cuts = np.searchsorted(text[at], np.arange(len(batch) + 1))
                 names_of = [coded.words[i] for i in coded.flat[at].tolist()]
                 out["rare"] = [names_of[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-                ends = np.cumsum(coded.sizes).tolist()
+                ends = np.cumsum(2 * coded.sizes).tolist()
                 out["flat"] = [number[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-                yield out.assign(id=None, top=None, word=None)[columns]
+                yield out.assign(id=None, kind=None, top=None, word=None)[columns]
 
     columns = spark.createDataFrame([], codings).columns
     texts = documents.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, names, strict=True)), F.coalesce("text", F.lit("")).alias("text"))
     coded = stored(texts.mapInPandas(code, codings), "coded")
-    pieces = coded.filter("id is not null").select("batch", "id", "top", "word")
-    wanted = pieces.select("top", "word").distinct().join(counts, ["top", "word"], "full_outer").select("top", "word", F.coalesce("n", F.lit(0)).alias("n"))
-    odds = stored(odds_of_words(wanted, codes), "odds")
+    pieces = coded.filter("id is not null").select("batch", "id", "kind", "top", "word")
+    learned = counts.filter((F.col("kind") == 1) | (F.length("word") >= HEAD))
+    wanted = pieces.select("kind", "top", "word").distinct().join(learned, ["kind", "top", "word"], "full_outer").select("kind", "top", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    odds = stored(odds_of_pieces(stored(wanted, "wanted"), codes), "odds")
     cells = odds.filter("cell is not null").groupBy("cell").agg(F.sum("m").alias("m")).toArrow()
     weights = fitted_weights(cells["cell"].to_numpy(), cells["m"].to_numpy())
 
     def mix(texts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
-        found = scores([np.frombuffer(b, np.int32) for b in texts["flat"]], list(pieces.sort_values("id")["odds"]), weights)
+        found = scores([np.frombuffer(b, np.int32) for b in texts["flat"]], [b"", *pieces.sort_values("id")["odds"]], weights)
         return texts.assign(score=found)[[*inner, "tokens", "bytes", "known", "base", "rare", "score"]]
 
-    pieces = pieces.join(odds.filter("cell is null").select("top", "word", "odds"), ["top", "word"]).select(F.col("batch").alias("of"), "id", "odds")
-    scored = coded.filter("id is null").drop("id", "top", "word").groupBy("batch").cogroup(pieces.groupBy("of")).applyInPandas(mix, f"{kinds}{known}, score double")
+    pieces = pieces.join(odds.filter("cell is null").select("kind", "top", "word", "odds"), ["kind", "top", "word"]).select(F.col("batch").alias("of"), "id", "odds")
+    scored = coded.filter("id is null").drop("id", "kind", "top", "word").groupBy("batch").cogroup(pieces.groupBy("of")).applyInPandas(mix, f"{kinds}{known}, score double")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     # the rarer words' counts are joined, each of a text's words once
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("m"))

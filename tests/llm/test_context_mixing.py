@@ -49,8 +49,14 @@ def test_base_score_and_counts(spark, monkeypatch):
 def seen_in(counts, codes):
     """All counts at once, of every predictor."""
     rows = counts.toPandas()
-    found = cm.decisions([cm.symbols_of(w) for w in rows["word"]], codes, list(rows["top"]))
-    key, _, both = cm._sums(np.concatenate(found.slots), np.tile(found.bit, cm.N), np.tile(np.repeat(rows["n"].to_numpy(float), found.size), cm.N))
+    keys, bits, ns = [], [], []
+    for _, some in rows[(rows["kind"] == 1) | (rows["word"].str.len() >= cm.HEAD)].groupby("kind"):
+        found = cm._decisions_of(some, codes)
+        for k in range(cm.N if some["kind"].iloc[0] else cm.TOPIC):
+            keys.append(found.slots[k])
+            bits.append(found.bit)
+            ns.append(np.repeat(some["n"].to_numpy(float), found.size))
+    key, _, both = cm._sums(np.concatenate(keys), np.concatenate(bits), np.concatenate(ns))
     return cm.Seen(key, both[:, 0], both[:, 1])
 
 
@@ -84,15 +90,16 @@ def test_odds_come_from_the_counts_of_all_texts(spark, monkeypatch, at_once, mos
     counts = cm.word_counts(frame.filter("doc_id < 40"))
     codes = cm.train(counts)
     seen = seen_in(counts, codes)
-    wanted = cm.word_counts(frame).drop("n").join(counts, ["top", "word"], "left").fillna({"n": 0})
-    found = cm.odds_of_words(wanted, codes).toPandas()
+    wanted = cm.word_counts(frame).filter(f"kind = 1 or length(word) >= {cm.HEAD}").drop("n").join(counts, ["kind", "top", "word"], "left").fillna({"n": 0})
+    found = cm.odds_of_pieces(wanted, codes).toPandas()
     pairs = found[found["cell"].isna()]
     assert len(pairs) == wanted.count()
-    for top, word, odds in zip(pairs["top"], pairs["word"], pairs["odds"], strict=True):
-        one = cm.decisions([cm.symbols_of(word)], codes, [top])
-        assert odds == cm._looked([seen[x] for x in one.slots], one.bit).tobytes()
-    n = {(r.top, r.word): r.n for r in counts.collect()}
-    assert found["m"].sum() == sum(n[t, w] * len(o) // (cm.N + 1) for t, w, o in zip(pairs["top"], pairs["word"], pairs["odds"], strict=True) if (t, w) in n)
+    for (_, row), odds in zip(pairs.iterrows(), pairs["odds"], strict=True):
+        one = cm._decisions_of(row.to_frame().T, codes)
+        assert odds == cm._looked([seen[x] for x in one.slots[: cm.N if row["kind"] else cm.TOPIC]], one.bit).tobytes()
+    n = {(r.kind, r.top, r.word): r.n for r in counts.collect()}
+    named = zip(pairs["kind"], pairs["top"], pairs["word"], pairs["odds"], strict=True)
+    assert found["m"].sum() == sum(n[k, t, w] * len(o) // (cm.N + 1) for k, t, w, o in named if (k, t, w) in n)
 
 
 def test_leading_short_words():
@@ -109,17 +116,20 @@ def test_leading_short_words():
                 if lead < 0 or counts[w] > counts[coded.words[lead]]:
                     lead = coded.words.index(w)
     assert coded.tops().tolist() == expected
-    number, tops, words = coded.pairs()
-    assert [(tops[k], words[k]) for k in number] == [(coded.words[t] if t >= 0 else b"", coded.words[w]) for t, w in zip(expected, coded.flat, strict=True)]
+    numbers, kinds, tops, words = coded.pieces()
+    for head, rest, top, word in zip(numbers[::2], numbers[1::2], expected, coded.flat, strict=True):
+        symbols = cm.symbols_of(coded.words[word])
+        assert (kinds[head - 1], tops[head - 1], words[head - 1]) == (1, coded.words[top] if top >= 0 else b"", symbols[: cm.HEAD])
+        assert (rest == 0) == (len(symbols) <= cm.HEAD) and (rest == 0 or (kinds[rest - 1], words[rest - 1]) == (0, coded.words[word]))
 
 
 def plain_score(flat, words, weights):
     """One text's score, word by word in plain numbers."""
     delta, bend = np.zeros((cm.GATES, cm.N)), np.zeros(1 + len(cm.KNOTS))
     total = 0.0
-    for a in range(0, len(flat), cm.BLOCK):
+    for a in range(0, len(flat), 2 * cm.BLOCK):
         d, b = np.zeros_like(delta), np.zeros_like(bend)
-        for word in flat[a : a + cm.BLOCK]:
+        for word in flat[a : a + 2 * cm.BLOCK]:
             for row in np.frombuffer(words[word], np.int8).reshape(-1, cm.N + 1):
                 x, g = row[: cm.N] / cm.SCALE, row[cm.N]
                 z = float(x @ (weights[g] + delta[g]))
