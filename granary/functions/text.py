@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 #: What else than lower() full case folding changes to ASCII or within German and ligatures.
 FOLDED = (("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+# What a technical term and a run of Han characters are made of, and what ends a sentence.
 TERM = "[a-z0-9_+#.-]+"
 HAN = "[一-鿿]+"
+SENTENCE_END = r"(?<=[。！？.!?；;])\s+"
 
 
 def collapse(text: Column) -> Column:
@@ -53,7 +55,7 @@ def occurrences(text: Column, term: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.split(text, r"(?<=[。！？.!?；;])\s+")
+    return F.split(text, SENTENCE_END)
 
 
 def stable_sha256(*parts: Column) -> Column:

@@ -4,7 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from granary.functions import markup
-from granary.operators.structured import q_gold_remap, structured
+from granary.operators.structured import fitted, kinds_of, pieces_of, q_gold_remap, structured
 from granary.sources import docx, index
 from granary.streaming import calls
 
@@ -50,6 +50,21 @@ def test_structured_chunks():
     assert structured("") == structured(" \n ") == []
 
 
+def test_line_kinds_and_plans():
+    assert kinds_of(["# A", "#no", "- x", "2) y", "", "~~~", "# in", "~~~", "``` open"], True) == "hpll ccCc"
+    assert kinds_of(["# A", "- x", "```"], False) == "plp"
+    assert fitted(["aa", "b", "cccc", "d"], "-", 4) == ["aa-b", "cccc", "d"]
+    assert pieces_of("one two\nthree", 8, True) == ["one two", "three"] and pieces_of("one two\nthree", 9, False) == ["one two", "three"]
+    words = " ".join(["word"] * 50)
+    assert all(len(p) <= 20 for p in pieces_of(words, 20, False)) and " ".join(pieces_of(words, 20, False)) == words
+
+
+def test_latex_of_any_depth():
+    deep = "\\mathrm{" * 3000 + "x" + "}" * 3000
+    assert markup.plain_text(deep) == "x" and markup.plain_text(r"\frac{\frac{1}{2}}{\sqrt{\text{z}}}") == "((1)/(2))/(√(z))"
+    assert markup.plain_text(r"a {b} } {c \frac{1} z") == r"a {b} } {c \frac{1} z"
+
+
 def test_latex(spark):
     cases = {
         r"$\frac{a}{\sqrt{b}} \leq \alpha_{12}$ 。": "(a)/(√(b)) ≤ α_12。",
