@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,7 @@ from granary.operators import chunks as C
 K1, B, RRF_K = 1.5, 0.75, 60
 THRESHOLD, KEYWORD_WEIGHT, CANDIDATES, LIMIT = 0.25, 0.2, 10, 3
 ADJACENT, CONTEXT_LIMIT = 2, 8
+QUESTIONS_AT_ONCE = 1_024
 
 
 def top(df: DataFrame, n: int, *order, rank: str = "rank", by: str = "qid") -> DataFrame:
@@ -21,29 +27,56 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, dl: the frequencies of a chunk's tokens, counted within its row."""
-    found = chunks.select("chunk_id", tokens(F.col("content")).alias("tokens"))
-    found = found.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return found.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed chunks without their ids, which only what is found needs: source and chunk_index name a chunk."""
+    return C.fixed_chunks(C.units(spark, sf_dir))
+
+
+def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """source, chunk_index, term, dl and tf of a chunk's tokens, of the asked terms (term, distinct) only if given."""
+    found = chunks.select("source", "chunk_index", tokens(F.col("content")).alias("tokens"))
+    # explode_outer: an inner one has its array computed once more, for the filter that it brings
+    found = found.select("source", "chunk_index", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).filter("term is not null")
+    found = found if asked is None else found.join(asked, "term", "left_semi")
+    return found.groupBy("source", "chunk_index", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+def best_chunks(scores: DataFrame, chunks: DataFrame, limit: int, by: str) -> DataFrame:
+    """The `limit` best of scores (qid, source, chunk_index, by) of each question with chunk_id and content; ties go to the smaller chunk_id.
+
+    Ids are hashes of the content: only what ranks by score alone, ties included, is looked up and hashed.
+    """
+    near = scores.withColumn("at", F.rank().over(Window.partitionBy("qid").orderBy(F.desc(by)))).filter(F.col("at") <= limit).drop("at")
+    found = C.with_ids(near.join(chunks.select("source", "chunk_index", "content", "material_id"), ["source", "chunk_index"]))
+    return top(found.select("qid", "chunk_id", "source", "chunk_index", "content", by), limit, F.desc(by), "chunk_id")
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """qid, chunk_id, bm25, rank. Question terms meet the postings of these terms only; ties go to the smaller chunk_id."""
+    """qid, chunk_id, source, chunk_index, content, bm25, rank. Question terms meet the postings of these terms only.
+
+    Chunks of one source and chunk_index must hold one content: a conflict is an error, a repeated chunk counts once.
+    """
     wanted = questions.select("qid", F.explode(terms(F.col("question"))).alias("term"))
-    posted = postings(chunks)
-    n, avgdl = chunks.select(F.size(tokens(F.col("content"))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
-    used = posted.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    weighted = used.join(df, "term").select("chunk_id", "term", (idf * weight).alias("w"))
-    scores = weighted.join(wanted, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum("w"), 6).alias("bm25")).filter("bm25 > 0")
-    return top(scores, limit, F.desc("bm25"), "chunk_id")
+    posted = postings(chunks, wanted.select("term").distinct())
+    size = F.size(tokens(F.col("content")))
+    statistics = chunks.agg(F.count("*").alias("n"), F.coalesce(F.avg(size), F.lit(1.0)).alias("avgdl"))  # one row
+    df = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(statistics))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weighted = posted.join(df, "term").select("source", "chunk_index", "term", (idf * weight).alias("w"))
+    scores = weighted.join(wanted, "term").groupBy("qid", "source", "chunk_index").agg(F.round(F.sum("w"), 6).alias("bm25")).filter("bm25 > 0")
+    return best_chunks(scores, chunks, limit, "bm25")
+
+
+def unique_chunks(chunks: DataFrame) -> DataFrame:
+    """One row of each chunk_id; the same id with another content is an error."""
+    found = chunks.groupBy("chunk_id").agg(F.min("content").alias("content"), F.max("content").alias("other"))
+    clash = F.raise_error(F.concat(F.lit("conflicting contents of chunk "), "chunk_id")).cast("string")
+    return found.select("chunk_id", F.when(F.col("content") != F.col("other"), clash).otherwise(F.col("content")).alias("content"))
 
 
 def term_counts(chunks: DataFrame, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """qid, chunk_id, hits, rank: non-overlapping occurrences of the question's distinct terms.
+    """qid, chunk_id, source, chunk_index, content, hits, rank: non-overlapping occurrences of the question's distinct terms.
 
     A term has token characters only, so each occurrence lies within one token: distinct terms meet the distinct tokens,
     and only what they match meets the postings.
@@ -52,17 +85,17 @@ def term_counts(chunks: DataFrame, questions: DataFrame, limit: int = LIMIT) ->
     wanted = questions.select("qid", F.explode(terms(F.col("question"))).alias("wanted"))
     vocabulary, asked = posted.select("term").distinct(), wanted.select("wanted").distinct()
     # every token of the vocabulary is split into its substrings of the lengths that are asked for
-    lengths = [r[0] for r in asked.select(F.length("wanted")).distinct().collect()]
+    lengths = asked.agg(F.sort_array(F.collect_set(F.length("wanted"))).alias("lengths"))  # one row
 
-    def parts(n: int) -> Column:
+    def parts(n: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1)))
-        return F.when(F.length("term") >= n, F.transform(places, lambda i: F.substring(F.col("term"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.length("term") >= n, F.transform(places, lambda i: F.substring(F.col("term"), i, n))).otherwise(F.array().cast("array<string>"))
 
-    every = F.flatten(F.array(*map(parts, sorted(lengths)))) if lengths else F.array().cast("array<string>")
-    within = vocabulary.select("term", F.explode(F.array_distinct(every)).alias("wanted")).join(asked, "wanted")
+    every = F.flatten(F.transform("lengths", parts))
+    within = vocabulary.crossJoin(F.broadcast(lengths)).select("term", F.explode(F.array_distinct(every)).alias("wanted")).join(asked, "wanted")
     within = within.select("term", "wanted", occurrences(F.col("term"), F.col("wanted")).alias("m"))
-    hits = posted.join(within, "term").join(wanted, "wanted").groupBy("qid", "chunk_id").agg(F.sum(F.col("tf") * F.col("m")).alias("hits"))
-    return top(hits, limit, F.desc("hits"), "chunk_id")
+    hits = posted.join(within, "term").join(wanted, "wanted").groupBy("qid", "source", "chunk_index").agg(F.sum(F.col("tf") * F.col("m")).alias("hits"))
+    return best_chunks(hits, chunks, limit, "hits")
 
 
 def fused(first: DataFrame, second: DataFrame, limit: int, key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
@@ -141,12 +174,58 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("cosine needs vectors of one dimension, none of them zero")).cast("double")).otherwise(dot(a, b) / norm)
 
 
-def dense(spark: SparkSession, sf_dir: str, limit: int = CANDIDATES) -> DataFrame:
-    """qid (label), vec_id, label, score, rank; the few mean vectors are broadcast, one for each label."""
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Raises an error for vectors without length."""
+    norms = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
+    if not (norms[0].all() and norms[1].all()):
+        raise ValueError("cosine needs vectors that are not zero")
+    return x @ q.T / (norms[0][:, None] * norms[1])
+
+
+def differences(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Less the sums of absolute differences, so that more is nearer."""
+    return -np.stack([np.abs(x - one).sum(1) for one in q], axis=1)
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, measure=cosines, limit: int | None = CANDIDATES, least: float = -np.inf) -> DataFrame:
+    """qid, vec_id, label, score, rank of vectors (vec_id, label, v) for the questions asked (qid, q).
+
+    Matrix products of Arrow batches with QUESTIONS_AT_ONCE questions at a time; a batch gives on what reaches `least`, and no
+    more than `limit` of it a question. Vectors of another dimension than the questions' are an error.
+    """
+    rows = asked.orderBy("qid").toLocalIterator(prefetchPartitions=False)
+    kinds = f"qid {asked.schema['qid'].dataType.simpleString()}, vec_id long, label {vectors.schema['label'].dataType.simpleString()}, score double"
+    found = vectors.sparkSession.createDataFrame([], kinds)
+    while block := list(islice(rows, QUESTIONS_AT_ONCE)):
+        shared = vectors.sparkSession.sparkContext.broadcast(([r["qid"] for r in block], np.array([r["q"] for r in block], np.float64)))
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            qids, q = shared.value
+            for batch in batches:
+                x = np.array(batch["v"].to_list(), np.float64).reshape(len(batch), -1)
+                if len(batch) and x.shape[1] != q.shape[1]:
+                    raise ValueError("vectors and questions are of different dimensions")
+                scores = np.round(measure(x, q), 6) if len(batch) else np.zeros((0, len(q)))
+                ids, parts = batch["vec_id"].to_numpy(), []
+                for k in range(len(q)):
+                    kept = np.flatnonzero(scores[:, k] >= least)
+                    kept = kept[np.lexsort((ids[kept], -scores[kept, k]))][:limit]
+                    parts.append(pd.DataFrame({"qid": qids[k], "vec_id": ids[kept], "label": batch["label"].to_numpy()[kept], "score": scores[kept, k]}))
+                yield pd.concat(parts)
+
+        found = found.union(vectors.mapInPandas(score, kinds))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     asked = label_means(spark, sf_dir).select(F.col("label").alias("qid"), "q")
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    scored = vectors.join(F.broadcast(asked)).select("qid", "vec_id", "label", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
-    return top(scored, limit, F.desc("score"), "vec_id")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")), asked
+
+
+def dense(spark: SparkSession, sf_dir: str, limit: int | None = CANDIDATES, least: float = -np.inf) -> DataFrame:
+    """qid (label), vec_id, label, score, rank."""
+    return nearest(*_vectors(spark, sf_dir), cosines, limit, least)
 
 
 MEANS_SQL = """component as (select label, i, embedding[i]::double as x from embeddings, unnest(range(1, len(embedding) + 1)) u(i)),
@@ -170,12 +249,12 @@ bm25 as (select *, row_number() over (partition by qid order by bm25 desc, chunk
 
 
 def q_bm25_stats(spark, sf_dir):
-    posted = postings(C.chunks(spark, sf_dir))
+    posted = postings(pieces(spark, sf_dir))
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 def _bm25(spark, sf_dir):
-    return bm25(C.chunks(spark, sf_dir), questions(spark, sf_dir))
+    return bm25(pieces(spark, sf_dir), questions(spark, sf_dir))
 
 
 def q_bm25_topk(spark, sf_dir):
@@ -183,12 +262,11 @@ def q_bm25_topk(spark, sf_dir):
 
 
 def q_lexical_count(spark, sf_dir):
-    return term_counts(C.chunks(spark, sf_dir), questions(spark, sf_dir)).select("qid", "chunk_id", "hits", "rank")
+    return term_counts(pieces(spark, sf_dir), questions(spark, sf_dir)).select("qid", "chunk_id", "hits", "rank")
 
 
 def _seeds(spark, sf_dir):
-    where = C.chunks(spark, sf_dir).select("chunk_id", "source", "chunk_index", "content")
-    return _bm25(spark, sf_dir).filter(F.col("rank") <= LIMIT).join(where, "chunk_id")
+    return _bm25(spark, sf_dir).filter(F.col("rank") <= LIMIT)
 
 
 def q_keyword_coverage(spark, sf_dir):
@@ -196,7 +274,7 @@ def q_keyword_coverage(spark, sf_dir):
     found = _bm25(spark, sf_dir)
     best = F.max("bm25").over(Window.partitionBy("qid"))
     found = found.withColumn("relevance", F.round(F.col("bm25") / best, 6)).filter(F.col("relevance") >= THRESHOLD)
-    found = found.join(C.chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id").join(questions(spark, sf_dir), "qid")
+    found = found.join(questions(spark, sf_dir), "qid")
     found = found.withColumn("coverage", F.round(coverage(terms(F.col("question")), F.col("content")), 6))
     found = found.withColumn("combined", F.round((1 - KEYWORD_WEIGHT) * F.col("relevance") + KEYWORD_WEIGHT * F.col("coverage"), 6))
     found = found.withColumnRenamed("rank", "raw_rank")
@@ -204,11 +282,11 @@ def q_keyword_coverage(spark, sf_dir):
 
 
 def q_adjacent_context(spark, sf_dir):
-    return adjacent(_seeds(spark, sf_dir), C.chunks(spark, sf_dir)).withColumn("seed_rank", F.coalesce("seed_rank", F.lit(0)))
+    return adjacent(_seeds(spark, sf_dir), pieces(spark, sf_dir)).withColumn("seed_rank", F.coalesce("seed_rank", F.lit(0)))
 
 
 def _context(spark, sf_dir):
-    where = C.chunks(spark, sf_dir).select("source", "chunk_index", "content")
+    where = pieces(spark, sf_dir).select("source", "chunk_index", "content")
     found = q_adjacent_context(spark, sf_dir).join(where, ["source", "chunk_index"]).join(questions(spark, sf_dir), "qid")
     return found.withColumn("coverage", coverage(terms(F.col("question")), F.col("content")))
 
@@ -233,15 +311,12 @@ def q_dense_topk(spark, sf_dir):
 
 
 def q_dense_threshold(spark, sf_dir):
-    return dense(spark, sf_dir, 1 << 30).filter(F.col("score") >= THRESHOLD).select("qid", "vec_id", "score", "rank")
+    return dense(spark, sf_dir, None, THRESHOLD).select("qid", "vec_id", "score", "rank")
 
 
-def _labelled(spark, sf_dir):
+def _labelled(spark, sf_dir, limit: int | None = CANDIDATES):
     """A second ranking of the vectors: by the smallest sum of absolute differences."""
-    asked = label_means(spark, sf_dir).select(F.col("label").alias("qid"), "q")
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    gap = F.aggregate(F.zip_with("v", "q", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    return top(vectors.join(F.broadcast(asked)).select("qid", "vec_id", "label", F.round(gap, 6).alias("gap")), CANDIDATES, "gap", "vec_id")
+    return nearest(*_vectors(spark, sf_dir), differences, limit).withColumn("gap", -F.col("score")).drop("score")
 
 
 GAP_SQL = """gap_score as (select qid, vec_id, label, round(list_sum(list_transform(list_zip(embedding::double[], q), lambda p: abs(p[1] - p[2]))), 6) as gap from embeddings, ask),
@@ -257,24 +332,72 @@ def q_rrf_fusion(spark, sf_dir):
 
 def q_rrf_top3(spark, sf_dir):
     """BM25 and term counts, fused, of each question."""
-    counted = term_counts(C.chunks(spark, sf_dir), questions(spark, sf_dir), CANDIDATES)
+    counted = term_counts(pieces(spark, sf_dir), questions(spark, sf_dir), CANDIDATES)
     return fused(_bm25(spark, sf_dir), counted, LIMIT).select("qid", "chunk_id", "rrf", "rank")
 
 
+def reranked(candidates: DataFrame, scores: DataFrame, key: str = "vec_id") -> DataFrame:
+    """candidates (qid, key, rank) in the order of given scores (qid, key, score), with both ranks; ties keep their order.
+
+    Every candidate needs one finite score: a repeated candidate or score, a missing one, or one that is not finite is an error.
+    """
+    given = scores.groupBy("qid", key).agg(F.count("*").alias("n_scores"), F.first("score").alias("rerank_score"))
+    once = candidates.groupBy("qid", key).agg(F.count("*").alias("n_rows"), F.min("rank").alias("original_rank")).join(given, ["qid", key], "left")
+    ok = (F.col("n_rows") == 1) & (F.coalesce("n_scores", F.lit(0)) == 1) & F.coalesce(~F.isnan("rerank_score") & (F.abs("rerank_score") < float("inf")), F.lit(False))
+    wrong = F.raise_error(F.lit("a candidate needs one row and one finite score")).cast("double")
+    checked = once.withColumn("rerank_score", F.when(ok, F.col("rerank_score")).otherwise(wrong))
+    new = checked.withColumn("new_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "original_rank", key)))
+    return new.select("qid", key, "original_rank", "new_rank", (F.col("original_rank") - F.col("new_rank")).alias("rank_change"), "rerank_score")
+
+
 def q_rerank_contract(spark, sf_dir):
     """The dense candidates ordered anew by a given score (their smallest difference), with the change of rank."""
-    found = dense(spark, sf_dir).select("qid", "vec_id", F.col("rank").alias("original_rank"))
-    given = _labelled_all(spark, sf_dir)
-    scored = found.join(given, ["qid", "vec_id"]).withColumn("rerank_score", -F.col("gap"))
-    new = top(scored, CANDIDATES, F.desc("rerank_score"), "original_rank", "vec_id", rank="new_rank")
-    return new.select("qid", "vec_id", "original_rank", "new_rank", (F.col("original_rank") - F.col("new_rank")).alias("rank_change"))
+    candidates = dense(spark, sf_dir).select("qid", "vec_id", "rank")
+    given = _labelled(spark, sf_dir, None).join(candidates, ["qid", "vec_id"], "left_semi").select("qid", "vec_id", (-F.col("gap")).alias("score"))
+    return reranked(candidates, given).drop("rerank_score")
 
 
-def _labelled_all(spark, sf_dir):
-    asked = label_means(spark, sf_dir).select(F.col("label").alias("qid"), "q")
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    gap = F.aggregate(F.zip_with("v", "q", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    return vectors.join(F.broadcast(asked)).select("qid", "vec_id", F.round(gap, 6).alias("gap"))
+# --- hybrid retrieval: a label asks with the benchmark text of its number; a vector stands for the first chunk of its document ---
+
+
+def weighted_rerank(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """found (qid, question, content, score, raw_rank, ...) with a score of THRESHOLD at least, by 0.8 x score + 0.2 x coverage of the question's terms."""
+    kept = found.filter(F.col("score") >= THRESHOLD).withColumn("coverage", F.round(coverage(terms(F.col("question")), F.col("content")), 6))
+    kept = kept.withColumn("combined", F.round((1 - KEYWORD_WEIGHT) * F.col("score") + KEYWORD_WEIGHT * F.col("coverage"), 6))
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("combined"), F.desc("score"), "raw_rank")))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+
+
+def _asked_chunks(spark, sf_dir, limit: int = LIMIT) -> DataFrame:
+    """Dense candidates, max(limit, 10) a question, with the question's text and the chunk; blank questions find nothing."""
+    asked = questions(spark, sf_dir).filter(F.trim("question") != "").withColumnRenamed("qid", "item")
+    found = dense(spark, sf_dir, max(limit, CANDIDATES)).select("qid", "vec_id", "score", F.col("rank").alias("raw_rank"))
+    found = found.join(asked, F.col("qid") == F.col("item")).drop("item")
+    first = pieces(spark, sf_dir).filter("chunk_index = 1").select(F.col("doc_id").alias("vec_id"), "source", "chunk_index", "content")
+    return found.join(first, "vec_id")
+
+
+def q_hybrid_rerank(spark, sf_dir):
+    return weighted_rerank(_asked_chunks(spark, sf_dir)).select("qid", "source", "chunk_index", "raw_rank", "score", "coverage", "combined", "rank")
+
+
+def q_hybrid_top3(spark, sf_dir):
+    return weighted_rerank(_asked_chunks(spark, sf_dir), LIMIT).select("qid", "source", "chunk_index", "combined", "rank")
+
+
+def q_retrieve_full(spark, sf_dir):
+    """The whole retriever: dense candidates, threshold, weighted rerank, the first three, then the chunks beside them."""
+    found = adjacent(weighted_rerank(_asked_chunks(spark, sf_dir), LIMIT), pieces(spark, sf_dir))
+    return found.withColumn("seed_rank", F.coalesce("seed_rank", F.lit(0)))
+
+
+def q_hybrid_rrf(spark, sf_dir):
+    """The dense list above the threshold and the BM25 list of the same question, fused; the first three."""
+    name = F.concat("source", F.lit("#"), F.col("chunk_index").cast("string")).alias("chunk")
+    a = _asked_chunks(spark, sf_dir).filter(F.col("score") >= THRESHOLD)
+    a = a.select("qid", name, F.row_number().over(Window.partitionBy("qid").orderBy("raw_rank")).alias("rank"))
+    b = _bm25(spark, sf_dir).select("qid", name, "rank").join(a.select("qid").distinct(), "qid", "left_semi")
+    return fused(a, b, LIMIT, "chunk").select("qid", "chunk", F.coalesce("rank_a", F.lit(0)).alias("dense_rank"), F.coalesce("rank_b", F.lit(0)).alias("bm25_rank"), "rrf", "rank")
 
 
 _TERM_HITS_SQL = f"""vocabulary as (select distinct term from posting), asked as (select distinct term as wanted from want),
@@ -290,7 +413,35 @@ adj as (select *, row_number() over (partition by qid order by late, seed_rank,
 )
 _COVER_SQL = """list_distinct(want_terms) as ts, len(list_filter(list_distinct(want_terms), lambda t: contains(replace(lower(content), 'ß', 'ss'), t))) / len(list_distinct(want_terms)) as coverage"""
 
+_ASKED_SQL = (
+    BM25_SQL
+    + f""", {MEANS_SQL}, asked_chunk as (select d.qid, d.score, d.rank as raw_rank, b.text as question, c.source, c.chunk_index, c.content, {TOKENS_SQL.format("b.text")} as want_terms
+  from dense d join benchmark b on b.item_id = d.qid and trim(b.text) <> '' join chunk c on c.source = 'doc-' || d.vec_id and c.chunk_index = 1),
+covered as (select *, round({_COVER_SQL.split(" as ts, ")[1].rsplit(" as ", 1)[0]}, 6) as coverage from asked_chunk where score >= 0.25),
+combined as (select *, round((1 - 0.2::double) * score + 0.2::double * coverage, 6) as combined from covered),
+hybrid as (select *, row_number() over (partition by qid order by combined desc, score desc, raw_rank) as rank from combined)"""
+)
+_ADJACENT_SQL = """near as (select qid, s.source, c.chunk_index, seed_rank, c.chunk_index - s.chunk_index as o from seed s join chunk c on c.source = s.source and abs(c.chunk_index - s.chunk_index) between 1 and 2),
+every as (select qid, source, chunk_index, 0 as late, seed_rank, 0 as d, 0 as after_ from seed union all select qid, source, chunk_index, 1, seed_rank, abs(o), (o > 0)::int from near),
+first_ as (select *, row_number() over (partition by qid, source, chunk_index order by late, seed_rank, d, after_) as k from every qualify k = 1),
+adj as (select *, row_number() over (partition by qid order by late, seed_rank, d, after_) as position from first_ qualify position <= 8)"""
+
 QUERIES = {
+    "hybrid_rerank": (q_hybrid_rerank, f"with {_ASKED_SQL} select qid, source, chunk_index, raw_rank::int as raw_rank, score, coverage, combined, rank::int as rank from hybrid"),
+    "hybrid_top3": (q_hybrid_top3, f"with {_ASKED_SQL} select qid, source, chunk_index, combined, rank::int as rank from hybrid where rank <= 3"),
+    "retrieve_full": (
+        q_retrieve_full,
+        f"""with {_ASKED_SQL}, seed as (select qid, source, chunk_index, rank as seed_rank from hybrid where rank <= 3), {_ADJACENT_SQL}
+        select qid, source, chunk_index, case when late = 0 then 'seed' else 'adjacent' end as role, (case when late = 0 then seed_rank else 0 end)::int as seed_rank, position::int as position from adj""",
+    ),
+    "hybrid_rrf": (
+        q_hybrid_rrf,
+        f"""with {_ASKED_SQL}, a as (select qid, source || '#' || chunk_index as chunk, row_number() over (partition by qid order by raw_rank) as rank from covered),
+        b as (select qid, source || '#' || chunk_index as chunk, rank from bm25 join chunk using (chunk_id) where qid in (select qid from a)),
+        f as (select coalesce(a.qid, b.qid) as qid, coalesce(a.chunk, b.chunk) as chunk, a.rank as ra, b.rank as rb, round(coalesce(1 / (60.0::double + a.rank), 0) + coalesce(1 / (60.0::double + b.rank), 0), 9) as rrf
+          from a full join b on a.qid = b.qid and a.chunk = b.chunk)
+        select qid, chunk, coalesce(ra, 0)::int as dense_rank, coalesce(rb, 0)::int as bm25_rank, rrf, rank::int as rank from (select *, row_number() over (partition by qid order by rrf desc, chunk) as rank from f) where rank <= 3""",
+    ),
     "bm25_stats": (q_bm25_stats, f"with {BM25_SQL} select term, count(*) as df, sum(tf)::bigint as cf, max(tf) as max_tf from posting group by term"),
     "bm25_topk": (q_bm25_topk, f"with {BM25_SQL} select qid, chunk_id, bm25, rank::int as rank from bm25"),
     "lexical_count": (
