@@ -21,9 +21,10 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixed_chunks(units: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     """units with chunk_index (from 1) and content cut to size characters; empty content has no chunk."""
-    n = F.ceil(F.length("content") / size).cast("int")
-    pieces = units.filter(F.length("content") > 0).withColumn("chunk_index", F.explode(F.sequence(F.lit(1), n)))
-    return pieces.withColumn("content", F.substring(F.col("content"), (F.col("chunk_index") - 1) * size + 1, F.lit(size)))
+    # all pieces in one walk over the text: a substring for each would count characters from its start anew
+    pieces = F.regexp_extract_all("content", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    others = [c for c in units.columns if c not in ("content", "chunk_index")]
+    return units.select(*others, F.posexplode_outer(pieces).alias("at", "content")).filter("content is not null").select(*others, (F.col("at") + 1).alias("chunk_index"), "content")
 
 
 def chunk_id(material_id: Column, index: Column, content_hash: Column, page: Column | None = None, section: Column | None = None) -> Column:

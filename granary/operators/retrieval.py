@@ -16,7 +16,7 @@ from granary.operators import chunks as C
 K1, B, RRF_K = 1.5, 0.75, 60
 THRESHOLD, KEYWORD_WEIGHT, CANDIDATES, LIMIT = 0.25, 0.2, 10, 3
 ADJACENT, CONTEXT_LIMIT = 2, 8
-QUESTIONS_AT_ONCE = 1_024
+QUESTIONS_AT_ONCE, CHUNKS_AT_ONCE = 1_024, 4_000
 
 
 def top(df: DataFrame, n: int, *order, rank: str = "rank", by: str = "qid") -> DataFrame:
@@ -52,20 +52,57 @@ def best_chunks(scores: DataFrame, chunks: DataFrame, limit: int, by: str) -> Da
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """qid, chunk_id, source, chunk_index, content, bm25, rank. Question terms meet the postings of these terms only.
+    """qid, chunk_id, source, chunk_index, content, bm25, rank.
 
-    Chunks of one source and chunk_index must hold one content: a conflict is an error, a repeated chunk counts once.
+    The frequencies of the asked terms are counted first. Then each Arrow batch of chunks is scored for QUESTIONS_AT_ONCE
+    questions at a time, and gives on no more than the best of it (and their ties), so that no row is made of a chunk, a term
+    and a question. Chunks have a source and chunk_index of their own.
     """
     wanted = questions.select("qid", F.explode(terms(F.col("question"))).alias("term"))
-    posted = postings(chunks, wanted.select("term").distinct())
-    size = F.size(tokens(F.col("content")))
-    statistics = chunks.agg(F.count("*").alias("n"), F.coalesce(F.avg(size), F.lit(1.0)).alias("avgdl"))  # one row
-    df = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(statistics))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = posted.join(df, "term").select("source", "chunk_index", "term", (idf * weight).alias("w"))
-    scores = weighted.join(wanted, "term").groupBy("qid", "source", "chunk_index").agg(F.round(F.sum("w"), 6).alias("bm25")).filter("bm25 > 0")
-    return best_chunks(scores, chunks, limit, "bm25")
+    df = postings(chunks, wanted.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
+    n, avgdl = chunks.agg(F.count("*"), F.coalesce(F.avg(F.size(tokens(F.col("content")))), F.lit(1.0))).first()
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = wanted.join(df, "term").groupBy("qid").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("terms"))
+    kinds = f"qid {questions.schema['qid'].dataType.simpleString()}, source string, chunk_index int, bm25 double"
+    rows = asked.orderBy("qid").toLocalIterator()
+    spark, found = chunks.sparkSession, chunks.sparkSession.createDataFrame([], kinds)
+    tokenised = chunks.select("source", "chunk_index", tokens(F.col("content")).alias("tokens"))
+    while block := list(islice(rows, QUESTIONS_AT_ONCE)):
+        shared = spark.sparkContext.broadcast([(r["qid"], [(t["term"], t["idf"]) for t in r["terms"]]) for r in block])
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            number: dict[str, int] = {}
+            owners: list[list[int]] = []
+            weight: list[float] = []
+            for q, (_, asked_terms) in enumerate(shared.value):
+                for term, idf in asked_terms:
+                    if number.setdefault(term, len(number)) == len(owners):
+                        owners.append([])
+                        weight.append(idf)
+                    owners[number[term]].append(q)
+            weights = np.array(weight)
+            for whole in batches:
+                for a in range(0, len(whole), CHUNKS_AT_ONCE):
+                    batch = whole.iloc[a : a + CHUNKS_AT_ONCE]
+                    size = batch["tokens"].str.len().to_numpy()
+                    hits = [(i, number[t]) for i, ts in enumerate(batch["tokens"]) for t in ts if t in number]
+                    pairs, tf = np.unique([t * len(batch) + i for i, t in hits], return_counts=True) if hits else (np.zeros(0, np.int64), np.zeros(0))
+                    at, term = pairs % len(batch), pairs // len(batch)
+                    w = weights[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[at] / avgdl))
+                    scores = np.zeros((len(batch), len(shared.value)))
+                    cuts = np.flatnonzero(np.diff(term, prepend=-1)).tolist()
+                    for b, c in zip(cuts, [*cuts[1:], len(term)], strict=True):
+                        scores[np.ix_(at[b:c], owners[term[b]])] += w[b:c, None]
+                    scores, parts = np.round(scores, 6), []
+                    for q, (qid, _) in enumerate(shared.value):
+                        own = scores[:, q]
+                        least = np.partition(own, -limit)[-limit] if limit < len(own) else 0
+                        kept = np.flatnonzero((own > 0) & (own >= least))
+                        parts.append(pd.DataFrame({"qid": qid, "source": batch["source"].to_numpy()[kept], "chunk_index": batch["chunk_index"].to_numpy()[kept], "bm25": own[kept]}))
+                    yield pd.concat(parts)
+
+        found = found.union(tokenised.mapInPandas(score, kinds))
+    return best_chunks(found, chunks, limit, "bm25")
 
 
 def unique_chunks(chunks: DataFrame) -> DataFrame:
