@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,11 +22,13 @@ def fold(key: Column, n: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    set, once for the session.
+    Only where a local session names none (tests, a laptop) a temporary folder is
+    set, once for the session; on a cluster that is an error.
     """
     context = spark.sparkContext
     found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="granary-"))
         found = context.getCheckpointDir()
