@@ -18,9 +18,7 @@ nothing; ties go to the smaller language value; without a training row every tex
 
 from __future__ import annotations
 
-import functools
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,15 +36,15 @@ START, END = "\x02", "\x03"
 CHARS_AT_ONCE = 1 << 20
 
 
-@functools.cache
-def _word() -> re.Pattern:
-    """Runs of letters: what \\w holds but digits, the underscore and number signs that are no digits."""
-    signs = "".join(map(re.escape, filter(lambda c: c.isalnum() and not c.isalpha(), map(chr, range(sys.maxunicode + 1)))))
-    return re.compile(rf"[^\W\d_{signs}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _word().findall(text.lower()) if text else []
+    """Runs of letters in lower case; number signs that are no digits part them as digits do."""
+    words = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for word in words for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
