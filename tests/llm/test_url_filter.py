@@ -1,9 +1,13 @@
 import random
+from urllib.parse import urljoin
 
+import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm.components import components
-from granary.llm.url_filter import alias_edges, judge
+from granary.llm.url_filter import OP7_SQL, alias_edges, judge, resolved
 
 
 def brute_components(edges):
@@ -58,6 +62,48 @@ def test_rules_and_aliases(spark):
     assert (found[7].host, found[7].path, found[7].rule) == ("", "", None)
 
 
+def test_relative_targets_as_the_standard_library_resolves_them(spark):
+    bases = ["http://a.org/b/c/d?q=1#f", "https://a.org", "http://a.org?x", "http://a.org/b/"]
+    targets = ["/x", "//h.net/x", "x", "./x", "../x", "../../../x?y=/../z", "..", ".", "x/../y/./z/..", "?n=2", "http://k.org/a/../b", "/x?u=http://y/", "x#y/../z"]
+    rows = [(b, t, urljoin(b, t) if "://k.org" not in t else t) for b in bases for t in targets]
+    found = spark.createDataFrame(rows, "base string, target string, right string").select("base", "target", "right", resolved(F.col("base"), F.col("target")).alias("got"))
+    assert [r for r in found.collect() if r.got != r.right] == []
+
+
+def test_targets_that_lead_nowhere(spark):
+    rows = [("http://a.org/b", t) for t in ("", "#x", "mailto:a@b.org", "javascript:void(0)", None)] + [("no scheme", "/x"), (None, "/x")]
+    assert [r.got for r in spark.createDataFrame(rows, "base string, target string").select(resolved(F.col("base"), F.col("target")).alias("got")).collect()] == [None] * len(rows)
+
+
+def test_all_links_of_a_page_and_the_sql(spark):
+    many = '<link rel=canonical href="http://e.org/none"><link href=/es/2 rel="canonical"><link rel="stylesheet" href="/es/9">'
+    rows = [
+        (1, "http://a.net/es/1", None),
+        (2, "http://b.net/x", many),  # its second link is a path that is blocked
+        (3, "http://c.org/y/z", '<base href="//a.net/es/"><link rel="canonical" href="../es/1">'),
+        (4, "http://d.org/", '<meta content="0; url=http://b.net/x" http-equiv="refresh"><meta http-equiv=refresh content="1;url=//f.org/q?a=1&#38;b=2">'),
+        (5, "http://f.org/q?a=1&b=2", ""),
+        (6, "http://g.org/a", '<link rel="canonical" href="#top">'),
+        (7, None, many),
+        (8, "no scheme", '<link rel="canonical" href="/es/1">'),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = alias_edges(frame)
+    assert {(r.a, r.b) for r in edges.collect()} == {
+        ("http://b.net/x", "http://e.org/none"), ("http://b.net/x", "http://b.net/es/2"), ("http://c.org/y/z", "http://a.net/es/1"),
+        ("http://d.org/", "http://b.net/x"), ("http://d.org/", "http://f.org/q?a=1&b=2"),
+    }
+    found = {r.page_id: (r.rule, r.verdict) for r in judge(frame, edges).collect()}
+    assert {k: v for k, (_, v) in found.items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow"}
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])  # noqa: F841
+    assert {k: (rule, verdict) for k, rule, verdict in duckdb.sql(f"select page_id, rule, verdict from ({OP7_SQL})").fetchall()} == found
+
+
+def test_no_pages(spark):
+    frame = spark.createDataFrame([], "page_id long, url string, html string")
+    assert judge(frame, alias_edges(frame)).count() == 0
+
+
 def test_no_python_in_the_plan(spark):
     frame = spark.createDataFrame([(1, "http://a.net/es/1", "")], "page_id long, url string, html string")
     plan = judge(frame, alias_edges(frame))._jdf.queryExecution().toString()
