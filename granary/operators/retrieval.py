@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import casefold, coverage, occurrences, terms, tokens
+from granary.functions.text import HAN, TERM, casefold, coverage, terms, tokens
 from granary.operators import chunks as C
 
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -51,58 +52,87 @@ def best_chunks(scores: DataFrame, chunks: DataFrame, limit: int, by: str) -> Da
     return top(found.select("qid", "chunk_id", "source", "chunk_index", "content", by), limit, F.desc(by), "chunk_id")
 
 
+def best_of_batch(scores: np.ndarray, qids: list, batch: pd.DataFrame, limit: int, by: str) -> pd.DataFrame:
+    """qid, source, chunk_index, by of the `limit` best positive scores (chunks by questions) of each question, ties included."""
+    parts = []
+    for q, qid in enumerate(qids):
+        own = scores[:, q]
+        least = np.partition(own, -limit)[-limit] if limit < len(own) else 0
+        kept = np.flatnonzero((own > 0) & (own >= least))
+        parts.append(pd.DataFrame({"qid": qid, "source": batch["source"].to_numpy()[kept], "chunk_index": batch["chunk_index"].to_numpy()[kept], by: own[kept]}))
+    return pd.concat(parts)
+
+
+def in_blocks(texts: DataFrame, asked: DataFrame, scorer, by: str, limit: int) -> DataFrame:
+    """qid, source, chunk_index and `by` of what may be among the `limit` best of each question of asked (qid, terms).
+
+    For each QUESTIONS_AT_ONCE questions, scorer(rows) runs once a task and gives the scores (chunks by questions) of a batch
+    of texts (source, chunk_index, ...); a batch gives on the best of it alone, so no row is made of a chunk and a question.
+    """
+    kinds = f"qid {asked.schema['qid'].dataType.simpleString()}, source string, chunk_index int, {by} double"
+    rows = asked.orderBy("qid").toLocalIterator()
+    spark, found = texts.sparkSession, texts.sparkSession.createDataFrame([], kinds)
+    while block := list(islice(rows, QUESTIONS_AT_ONCE)):
+        shared = spark.sparkContext.broadcast([r.asDict(recursive=True) for r in block])
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            scores, qids = scorer(shared.value), [r["qid"] for r in shared.value]
+            for whole in batches:
+                for a in range(0, len(whole), CHUNKS_AT_ONCE):
+                    batch = whole.iloc[a : a + CHUNKS_AT_ONCE]
+                    yield best_of_batch(scores(batch), qids, batch, limit, by)
+
+        found = found.union(texts.mapInPandas(score, kinds))
+    return found
+
+
+def numbered(rows: list[dict], term) -> tuple[dict, list[list[int]]]:
+    """The number of each term that the questions ask for, and of each number the questions that do."""
+    number: dict = {}
+    owners: list[list[int]] = []
+    for q, row in enumerate(rows):
+        for x in row["terms"]:
+            if number.setdefault(term(x), len(number)) == len(owners):
+                owners.append([])
+            owners[number[term(x)]].append(q)
+    return number, owners
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """qid, chunk_id, source, chunk_index, content, bm25, rank.
 
-    The frequencies of the asked terms are counted first. Then each Arrow batch of chunks is scored for QUESTIONS_AT_ONCE
-    questions at a time, and gives on no more than the best of it (and their ties), so that no row is made of a chunk, a term
-    and a question. Chunks have a source and chunk_index of their own.
+    The frequencies of the asked terms are counted first, then batches of chunks are scored for blocks of questions. Chunks
+    have a source and chunk_index of their own.
     """
     wanted = questions.select("qid", F.explode(terms(F.col("question"))).alias("term"))
     df = postings(chunks, wanted.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = chunks.agg(F.count("*"), F.coalesce(F.avg(F.size(tokens(F.col("content")))), F.lit(1.0))).first()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = wanted.join(df, "term").groupBy("qid").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("terms"))
-    kinds = f"qid {questions.schema['qid'].dataType.simpleString()}, source string, chunk_index int, bm25 double"
-    rows = asked.orderBy("qid").toLocalIterator()
-    spark, found = chunks.sparkSession, chunks.sparkSession.createDataFrame([], kinds)
-    tokenised = chunks.select("source", "chunk_index", tokens(F.col("content")).alias("tokens"))
-    while block := list(islice(rows, QUESTIONS_AT_ONCE)):
-        shared = spark.sparkContext.broadcast([(r["qid"], [(t["term"], t["idf"]) for t in r["terms"]]) for r in block])
 
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            number: dict[str, int] = {}
-            owners: list[list[int]] = []
-            weight: list[float] = []
-            for q, (_, asked_terms) in enumerate(shared.value):
-                for term, idf in asked_terms:
-                    if number.setdefault(term, len(number)) == len(owners):
-                        owners.append([])
-                        weight.append(idf)
-                    owners[number[term]].append(q)
-            weights = np.array(weight)
-            for whole in batches:
-                for a in range(0, len(whole), CHUNKS_AT_ONCE):
-                    batch = whole.iloc[a : a + CHUNKS_AT_ONCE]
-                    size = batch["tokens"].str.len().to_numpy()
-                    hits = [(i, number[t]) for i, ts in enumerate(batch["tokens"]) for t in ts if t in number]
-                    pairs, tf = np.unique([t * len(batch) + i for i, t in hits], return_counts=True) if hits else (np.zeros(0, np.int64), np.zeros(0))
-                    at, term = pairs % len(batch), pairs // len(batch)
-                    w = weights[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[at] / avgdl))
-                    scores = np.zeros((len(batch), len(shared.value)))
-                    cuts = np.flatnonzero(np.diff(term, prepend=-1)).tolist()
-                    for b, c in zip(cuts, [*cuts[1:], len(term)], strict=True):
-                        scores[np.ix_(at[b:c], owners[term[b]])] += w[b:c, None]
-                    scores, parts = np.round(scores, 6), []
-                    for q, (qid, _) in enumerate(shared.value):
-                        own = scores[:, q]
-                        least = np.partition(own, -limit)[-limit] if limit < len(own) else 0
-                        kept = np.flatnonzero((own > 0) & (own >= least))
-                        parts.append(pd.DataFrame({"qid": qid, "source": batch["source"].to_numpy()[kept], "chunk_index": batch["chunk_index"].to_numpy()[kept], "bm25": own[kept]}))
-                    yield pd.concat(parts)
-
-        found = found.union(tokenised.mapInPandas(score, kinds))
-    return best_chunks(found, chunks, limit, "bm25")
+    def scorer(rows: list[dict]):
+        number, owners = numbered(rows, lambda x: x["term"])
+        weights = np.zeros(len(number))
+        for row in rows:
+            for x in row["terms"]:
+                weights[number[x["term"]]] = x["idf"]
+
+        def scores(batch: pd.DataFrame) -> np.ndarray:
+            size = batch["tokens"].str.len().to_numpy()
+            hits = [(i, number[t]) for i, ts in enumerate(batch["tokens"]) for t in ts if t in number]
+            pairs, tf = np.unique([t * len(batch) + i for i, t in hits], return_counts=True) if hits else (np.zeros(0, np.int64), np.zeros(0))
+            at, term = pairs % len(batch), pairs // len(batch)
+            w = weights[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[at] / avgdl))
+            out = np.zeros((len(batch), len(rows)))
+            cuts = np.flatnonzero(np.diff(term, prepend=-1)).tolist()
+            for b, c in zip(cuts, [*cuts[1:], len(term)], strict=True):
+                out[np.ix_(at[b:c], owners[term[b]])] += w[b:c, None]
+            return np.round(out, 6)
+
+        return scores
+
+    tokenised = chunks.select("source", "chunk_index", tokens(F.col("content")).alias("tokens"))
+    return best_chunks(in_blocks(tokenised, asked, scorer, "bm25", limit), chunks, limit, "bm25")
 
 
 def unique_chunks(chunks: DataFrame) -> DataFrame:
@@ -115,23 +145,37 @@ def unique_chunks(chunks: DataFrame) -> DataFrame:
 def term_counts(chunks: DataFrame, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
     """qid, chunk_id, source, chunk_index, content, hits, rank: non-overlapping occurrences of the question's distinct terms.
 
-    A term has token characters only, so each occurrence lies within one token: distinct terms meet the distinct tokens,
-    and only what they match meets the postings.
+    A term has the characters of one kind of run only (technical or Han), so each occurrence lies within one run. A run's
+    substrings of the asked lengths are looked up among the asked terms, once for all its places in a batch.
     """
-    posted = postings(chunks)
-    wanted = questions.select("qid", F.explode(terms(F.col("question"))).alias("wanted"))
-    vocabulary, asked = posted.select("term").distinct(), wanted.select("wanted").distinct()
-    # every token of the vocabulary is split into its substrings of the lengths that are asked for
-    lengths = asked.agg(F.sort_array(F.collect_set(F.length("wanted"))).alias("lengths"))  # one row
-
-    def parts(n: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1)))
-        return F.when(F.length("term") >= n, F.transform(places, lambda i: F.substring(F.col("term"), i, n))).otherwise(F.array().cast("array<string>"))
-
-    every = F.flatten(F.transform("lengths", parts))
-    within = vocabulary.crossJoin(F.broadcast(lengths)).select("term", F.explode(F.array_distinct(every)).alias("wanted")).join(asked, "wanted")
-    within = within.select("term", "wanted", occurrences(F.col("term"), F.col("wanted")).alias("m"))
-    hits = posted.join(within, "term").join(wanted, "wanted").groupBy("qid", "source", "chunk_index").agg(F.sum(F.col("tf") * F.col("m")).alias("hits"))
+    asked = questions.select("qid", terms(F.col("question")).alias("terms")).filter(F.size("terms") > 0)
+
+    def scorer(rows: list[dict]):
+        number, owners = numbered(rows, lambda x: x)
+        lengths, whole = sorted({len(t) for t in number}), re.compile(f"{TERM}|{HAN}")
+        who = np.zeros((len(number), len(rows)), np.float32)
+        for t, of in enumerate(owners):
+            who[t, of] = 1
+
+        def within(run: str) -> list[tuple[int, int]]:
+            found = {run[i : i + n] for n in lengths if n <= len(run) for i in range(len(run) - n + 1)}
+            return [(number[t], run.count(t)) for t in found if t in number]
+
+        def scores(batch: pd.DataFrame) -> np.ndarray:
+            known: dict[str, list[tuple[int, int]]] = {}
+            counts = np.zeros((len(batch), len(number)), np.float32)
+            for i, text in enumerate(batch["folded"]):
+                for run in whole.findall(text):
+                    if run not in known:
+                        known[run] = within(run)
+                    for term, m in known[run]:
+                        counts[i, term] += m
+            return (counts @ who).astype(float)  # whole numbers, exact below 2^24
+
+        return scores
+
+    folded = chunks.select("source", "chunk_index", casefold(F.col("content")).alias("folded"))
+    hits = in_blocks(folded, asked, scorer, "hits", limit).withColumn("hits", F.col("hits").cast("long"))
     return best_chunks(hits, chunks, limit, "hits")
 
 
