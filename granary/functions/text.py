@@ -20,6 +20,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITESPACE + "+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, rf"^{WHITESPACE}+|{WHITESPACE}+\z", "")
+
+
 def casefold(text: Column) -> Column:
     out = F.lower(text)
     for one, many in FOLDED:
@@ -61,6 +66,7 @@ def sentences(text: Column) -> Column:
 def stable_sha256(*parts: Column) -> Column:
     """SHA-256 of the parts as a compact JSON array of strings; control characters escaped in lower case."""
     json = F.to_json(F.array(*[p.cast("string") for p in parts]))
-    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
-        json = F.replace(json, F.lit(f"\\u00{code}"), F.lit(f"\\u00{code.lower()}"))
-    return F.sha2(json, 256)
+    codes = F.array(*[F.lit(f"\\u00{code}") for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")])
+    lowered = lambda x: F.aggregate(codes, x, lambda done, code: F.replace(done, code, F.concat(F.lit("\\u00"), F.lower(F.right(code, F.lit(2))))))
+    # a lambda's variable: the text is built once, and the generated code stays small where many hashes meet
+    return F.get(F.transform(F.array(json), lambda x: F.sha2(F.when(F.contains(x, F.lit("\\u00")), lowered(x)).otherwise(x), 256)), 0)
