@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.functions import markup
-from granary.operators import chunks, evaluation, evidence, operations, retrieval, structured
+from granary.operators import chunks, evaluation, evidence, operations, retrieval, structured, trace
 
 FLAGSHIP = "bm25_topk"
-_ALL = chunks.QUERIES | retrieval.QUERIES | evaluation.QUERIES | operations.QUERIES | structured.QUERIES | evidence.QUERIES | markup.QUERIES
+_ALL = chunks.QUERIES | retrieval.QUERIES | evaluation.QUERIES | operations.QUERIES | structured.QUERIES | evidence.QUERIES | trace.QUERIES | markup.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
