@@ -133,7 +133,45 @@ def q_index_delete_material(spark, sf_dir):
     return kept.groupBy("lang").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_id"))
 
 
+def _old_units(spark, sf_dir) -> DataFrame:
+    """The documents as they were before their lines after the third were added."""
+    old = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", collapse(F.substring_index(F.coalesce("text", F.lit("")), "\n", 3)).alias("content"))
+    return units(spark, sf_dir).drop("content").join(old, "doc_id")
+
+
+def q_index_set_equality(spark, sf_dir):
+    """Whether the stored index's ids are those expected, by language; how many are on one side only."""
+    side = lambda u, name: with_ids(fixed_chunks(u)).select("lang", "chunk_id").distinct().withColumn(name, F.lit(1))
+    both = side(_old_units(spark, sf_dir), "stored").join(side(units(spark, sf_dir), "expected"), ["lang", "chunk_id"], "full_outer")
+    only = lambda a, b: F.count(F.when(F.col(b).isNull(), F.col(a)))
+    return both.groupBy("lang").agg(only("stored", "expected").alias("n_only_stored"), only("expected", "stored").alias("n_only_expected"), (F.count("stored") == F.count("expected")).alias("same_count")).withColumn("equal", (F.col("n_only_stored") == 0) & (F.col("n_only_expected") == 0))
+
+
+def q_index_fingerprint(spark, sf_dir):
+    """The upper nodes of the index's hash tree over ids, texts and metadata: those of two digits, and the root."""
+    from granary.sources.index import fingerprint_tree
+
+    metadata = stable_sha256(F.col("source"), F.col("chunk_index"), F.coalesce("lang", F.lit("")))
+    return fingerprint_tree(chunks(spark, sf_dir), "chunk_id", "content", metadata).filter(F.length("prefix") <= 2)
+
+
 QUERIES = {
+    "index_set_equality": (
+        q_index_set_equality,
+        f"""with {CHUNKS_SQL}, old_unit as (select lang, sha256(to_json(['material-v1', 'text', 'doc-' || doc_id])::varchar) as material_id,
+          trim(regexp_replace(array_to_string(string_split(coalesce(text, ''), chr(10))[1:3], chr(10)), '\\s+', ' ', 'g')) as content from documents),
+        old_piece as (select lang, material_id, i as chunk_index, substr(content, (i - 1) * 180 + 1, 180) as content from old_unit, unnest(range(1, ceil(length(content) / 180.0)::bigint + 1)) u(i)),
+        old as (select distinct lang, sha256(to_json(['chunk-v1', material_id, '', '', chunk_index::varchar, sha256(to_json([content])::varchar)])::varchar) as chunk_id from old_piece),
+        new as (select distinct lang, chunk_id from chunk), both_ as (select coalesce(o.lang, n.lang) as lang, o.chunk_id as o, n.chunk_id as n from old o full join new n on o.chunk_id = n.chunk_id and o.lang = n.lang)
+        select lang, count(o) filter (n is null) as n_only_stored, count(n) filter (o is null) as n_only_expected, count(o) = count(n) as same_count, count(o) filter (n is null) = 0 and count(n) filter (o is null) = 0 as equal from both_ group by lang""",
+    ),
+    "index_fingerprint": (
+        q_index_fingerprint,
+        f"""with {CHUNKS_SQL}, leaf as (select left(sha256(chunk_id), 6) as p, sha256(to_json([chunk_id, sha256(content), sha256(sha256(to_json([source, chunk_index::varchar, coalesce(lang, '')])::varchar))])::varchar) as h from chunk),
+        six as (select p, sha256(string_agg(h, chr(10) order by h)) as h from leaf group by p), four as (select left(p, 4) as p, sha256(string_agg(h, chr(10) order by p)) as h from six group by 1),
+        two as (select left(p, 2) as p, sha256(string_agg(h, chr(10) order by p)) as h from four group by 1)
+        select p as prefix, h as hash from two union all select '', sha256(string_agg(h, chr(10) order by p)) from two""",
+    ),
     "fixed_chunks": (q_fixed_chunks, f"with {CHUNKS_SQL} select doc_id, chunk_index, content, content_hash, material_id, chunk_id from chunk"),
     "chunk_records": (
         q_chunk_records,

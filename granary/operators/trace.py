@@ -7,6 +7,7 @@ once, and metrics, failures, comparisons and replays come from it alone.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,8 @@ from granary.operators import chunks as C
 from granary.operators import evidence as E
 from granary.operators import evaluation as V
 from granary.operators import retrieval as R
-from granary.plans.shared import stored
+from granary.plans.shared import shared_dir, stored
+from granary.sources import journal
 
 
 @dataclass(frozen=True)
@@ -225,6 +227,23 @@ def q_context_replay(spark, sf_dir):
     return both.select("qid", *[f"{c}_before" for c in names], *names, "failure_before", failure.alias("failure"))
 
 
+def q_run_journal(spark, sf_dir):
+    """The wide arm's cases as a run of three parts: the second is tried twice, and an attempt of it was killed before its commit. The report of what is committed."""
+    (trace,), gold = _traces(spark, sf_dir, Config())
+    cases = stored(measured(trace, gold).withColumn("case_id", F.concat(F.lit("case-"), F.col("qid").cast("string"))), "cases")
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    journal.begin(spark, path, {"evaluation_type": "retrieval"})
+    for part in range(3):
+        rows = cases.filter(F.col("qid") % 3 == part)
+        if part == 1:
+            rows.write.parquet(f"{path}/parts/1-killed")
+        journal.append(path, part, rows)
+        if part == 1:
+            journal.append(path, part, rows)
+    journal.complete(spark, path, "same", "same")
+    return journal.report(spark, path, METRICS)
+
+
 _TRACE_SQL = f"""{R.BM25_SQL}, {E.GOLD_SQL}, gold_id as (select qid, chunk_id from gold join chunk using (source, chunk_index)), gold_n as (select qid, count(*) as n from gold_id group by qid),
 rel as (select *, round(bm25 / max(bm25) over (partition by qid), 6) as score from bm25),
 raw as (select rel.qid, chunk_id, rel.rank as raw_rank, score, c.source, c.chunk_index, content, {R.TOKENS_SQL.format("b.text")} as want_terms from rel join chunk c using (chunk_id) join benchmark b on b.item_id = rel.qid),
@@ -273,4 +292,10 @@ QUERIES = {
         f"with recursive {_TRACE_SQL} select arm, count(*) as n, count(*) filter (n_context = 0) as n_empty, round(count(*) filter (n_context = 0) / count(*), 6) as rate from measured where not answerable group by arm",
     ),
     "context_replay": (q_context_replay, None),
+    "run_journal": (
+        q_run_journal,
+        f"""with recursive {_TRACE_SQL}, w as (select * from measured where arm = 'wide'), m as (select {_MEANS_SQL} from w)
+        select 'metric' as kind, name, value from (unpivot m on {", ".join(METRICS)} into name name value value) union all select 'failure', failure, count(*)::double from w where failure is not null group by failure
+        union all select 'total', 'cases', count(*)::double from w""",
+    ),
 }
