@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.streaming import jobs
+
 # Limits of a conversation's history, in turns and characters.
 HISTORY_TURNS, HISTORY_CHARS, TURN_CHARS = 20, 12_000, 4_000
 # Words that tell a message's intent, the first list that matches winning.
@@ -187,6 +189,43 @@ def q_job_state(spark, sf_dir):
     return found.groupBy("user_id").agg(last.alias("l"), F.count("*").alias("n_events")).select("user_id", F.col("l.event_type").alias("status"), F.col("l.event_id").alias("event_id"), "n_events")
 
 
+# --- jobs: each user's events of three days are one job, submitted, claimed and ended by them ---
+
+
+def _job_events(spark, sf_dir) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    event = F.when(F.col("event_type") == "signup", "submit").when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "fail").otherwise("click")
+    job = F.col("user_id") * 10_000 + F.floor(at / (3 * 86_400)).cast("long")
+    return read(spark, sf_dir, "events").select(job.alias("key"), at.alias("at"), "event_id", event.alias("event"))
+
+
+def _jobs(spark, sf_dir) -> DataFrame:
+    events = _job_events(spark, sf_dir)
+    now = events.agg(F.coalesce(F.max("at"), F.lit(0.0))).first()[0]
+    return jobs.states(events, jobs.JOBS, now)
+
+
+def q_job_states(spark, sf_dir):
+    """Every job's state at the time of the last event; pending ones expire after a day, those in processing fail after half of one."""
+    progress = F.create_map(*[F.lit(x) for pair in jobs.PROGRESS.items() for x in pair])
+    found = _jobs(spark, sf_dir)
+    return found.select(F.col("key").alias("job_id"), "state", progress[F.col("state")].cast("int").alias("progress"), F.round("since", 3).alias("since"), F.round("created", 3).alias("created"), "n_taken", "n_ignored")
+
+
+def q_next_pending(spark, sf_dir):
+    """The job that each of ten queues takes next."""
+    return jobs.next_pending(_jobs(spark, sf_dir).withColumn("queue", F.floor(F.col("key") / 10_000) % 10), "queue").select("queue", F.col("key").alias("job_id"), "n_pending")
+
+
+def q_session_users(spark, sf_dir):
+    """Sessions of a week that have not ended at the last event, of customers in credit; their owners with them."""
+    events = read(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    now = events.agg(F.coalesce(F.max("at"), F.lit(0.0))).first()[0]
+    sessions = events.filter("event_type = 'signup'").select("event_id", "user_id", (F.col("at") + 7 * 86_400).alias("expires_at"))
+    users = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("email"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("secret"))
+    return jobs.valid_sessions(sessions, users, now).select("event_id", "user_id", "email", F.round("expires_at", 3).alias("expires_at"))
+
+
 def canonical_url(url: Column) -> Column:
     """The url without default port, its host in lower case and at least a slash as path; null if it isn't a safe public one."""
     scheme, rest = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(.*)$", 1)
@@ -286,7 +325,31 @@ _URL_SQL = r"""case when not regexp_matches({0}, '#.') and regexp_matches({0}, '
   || case when regexp_extract({0}, '^https?://[^/?]*([^?]*)', 1) = '' then '/' else regexp_extract({0}, '^https?://[^/?]*([^?]*)', 1) end || regexp_extract({0}, '(\?.+)$', 1), '#$', '') end"""
 _TYPES_SQL = " or ".join(f"(suffix = '{s}' and content_type = '{t}')" for s, t in CONTENT_TYPES)
 
+_JOBS_SQL = """event as (select user_id * 10000 + floor(epoch_us(ts) / 1e6 / 259200)::bigint as key, epoch_us(ts) / 1e6::double as t, event_id,
+  case event_type when 'signup' then 'submit' when 'view' then 'claim' when 'purchase' then 'complete' when 'error' then 'fail' else 'click' end as e from events where user_id is not null),
+placed as (select *, row_number() over (partition by key order by t, event_id) as k, max(t) over () as now from event),
+walk as (select key, 0::bigint as k, ''::varchar as s, null::double as since, null::double as created, 0::bigint as taken, 0::bigint as ignored from placed where k = 1
+  union all select key, k, coalesce(m, s2) as s, case when m is null then since2 else t end, case when m is null then created else coalesce(created, t) end, taken + (m is not null)::int, ignored + (m is null)::int
+  from (select *, case when s2 = '' and e = 'submit' then 'pending' when s2 = 'pending' and e = 'claim' then 'processing' when s2 = 'processing' and e = 'complete' then 'completed' when s2 = 'processing' and e = 'fail' then 'failed' end as m
+    from (select p.key, p.k, p.t, p.e, w.created, w.taken, w.ignored, case when w.s = 'pending' and w.since + 86400 <= p.t then 'expired' when w.s = 'processing' and w.since + 43200 <= p.t then 'failed' else w.s end as s2,
+      case when w.s = 'pending' and w.since + 86400 <= p.t then w.since + 86400 when w.s = 'processing' and w.since + 43200 <= p.t then w.since + 43200 else w.since end as since2
+      from walk w join placed p on p.key = w.key and p.k = w.k + 1) x) y),
+last as (select key, arg_max({'s': s, 'since': since, 'created': created, 'taken': taken, 'ignored': ignored}, k) as x from walk group by key),
+job as (select key, case when x.s = 'pending' and x.since + 86400 <= now then 'expired' when x.s = 'processing' and x.since + 43200 <= now then 'failed' else nullif(x.s, '') end as state,
+  case when x.s = 'pending' and x.since + 86400 <= now then x.since + 86400 when x.s = 'processing' and x.since + 43200 <= now then x.since + 43200 else x.since end as since, x.created as created, x.taken as n_taken, x.ignored as n_ignored from last, (select max(t) as now from event))"""
+
 QUERIES = {
+    "job_states": (
+        q_job_states,
+        f"""with recursive {_JOBS_SQL} select key as job_id, state, case state when 'pending' then 0 when 'expired' then 0 when 'completed' then 100 when 'processing' then 10 when 'failed' then 10 end::int as progress,
+          round(since, 3) as since, round(created, 3) as created, n_taken, n_ignored from job""",
+    ),
+    "next_pending": (q_next_pending, f"with recursive {_JOBS_SQL} select key // 10000 % 10 as queue, arg_min(key, (created, key)) as job_id, count(*) as n_pending from job where state = 'pending' group by 1"),
+    "session_users": (
+        q_session_users,
+        """with s as (select event_id, user_id, epoch_us(ts) / 1e6::double + 604800 as expires_at from events where event_type = 'signup'), n as (select max(epoch_us(ts) / 1e6::double) as now from events)
+        select event_id, user_id, c_name as email, round(expires_at, 3) as expires_at from s join customer on c_custkey = user_id, n where expires_at > now and c_acctbal > 0 and c_name is not null and c_mktsegment is not null""",
+    ),
     "latest_messages": (q_latest_messages, "select conv_id, turn, role, back::int as back from (select *, row_number() over (partition by conv_id order by turn desc) as back from conversations) where back <= 6"),
     "bounded_history": (
         q_bounded_history,
