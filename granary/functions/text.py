@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The 29 code points that count as white space.
 WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
-#: What else than lower() full case folding changes to ASCII or within German and ligatures.
-FOLDED = (("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+#: What full case folding changes beyond lower(): the code points whose folding is another text than their lower case.
+FOLDED = {c: c.casefold() for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if c.casefold() != c.lower()}
 # What a technical term and a run of Han characters are made of, and what ends a sentence.
 TERM = "[a-z0-9_+#.-]+"
 HAN = "[一-鿿]+"
@@ -25,11 +27,30 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WHITESPACE}+|{WHITESPACE}+\z", "")
 
 
+def _ranges(chars: list[str], gap: int = 40) -> str:
+    """A class of a few ranges that holds all of chars, and others between them."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and c - out[-1][1] <= gap and c > 0xFF:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out) + "]"
+
+
+_MAYBE_FOLDED = _ranges(list(FOLDED))
+
+
 def casefold(text: Column) -> Column:
-    out = F.lower(text)
-    for one, many in FOLDED:
-        out = F.replace(out, F.lit(one), F.lit(many))
-    return out
+    """Full case folding: the lower case, then what else a text has to fold, one kind of code point at a time."""
+    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
+
+    def folded(low: Column) -> Column:
+        there = F.array_distinct(F.regexp_extract_all(low, F.lit(_MAYBE_FOLDED), F.lit(0)))
+        return F.aggregate(there, low, lambda done, c: F.replace(done, c, F.coalesce(F.element_at(table, c), c)))
+
+    low = F.lower(text)
+    return F.when(low.rlike(_MAYBE_FOLDED), F.get(F.transform(F.array(low), folded), 0)).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
@@ -42,6 +63,16 @@ def tokens(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(folded, F.lit(TERM), F.lit(0)), F.flatten(pairs))
 
 
+_TERM, _HAN = re.compile(TERM), re.compile(HAN)
+
+
+def tokens_of(text: str) -> list[str]:
+    """The same of one text, for what runs in Arrow batches."""
+    folded = text.casefold()
+    runs = _HAN.findall(folded) if not folded.isascii() else ()
+    return _TERM.findall(folded) + [run[i : i + 2] for run in runs for i in range(len(run) - 1)]
+
+
 def terms(text: Column) -> Column:
     """Distinct tokens in order of first occurrence."""
     return F.array_distinct(tokens(text))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -11,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import HAN, TERM, casefold, coverage, terms, tokens
+from granary.functions.text import HAN, TERM, coverage, terms, tokens, tokens_of
 from granary.operators import chunks as C
+from granary.plans.shared import stored
 
 K1, B, RRF_K = 1.5, 0.75, 60
 THRESHOLD, KEYWORD_WEIGHT, CANDIDATES, LIMIT = 0.25, 0.2, 10, 3
@@ -98,6 +100,25 @@ def numbered(rows: list[dict], term) -> tuple[dict, list[list[int]]]:
     return number, owners
 
 
+def frequencies(chunks: DataFrame) -> DataFrame:
+    """term and df (chunks that have it) of every token, and a row without a term: df holds the number of chunks, size that of all tokens.
+
+    One pass over the chunks, summed by batch before it is shuffled, and stored.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            df, size = Counter(), 0
+            for text in batch["content"]:
+                found = tokens_of(text)
+                size += len(found)
+                df.update(set(found))
+            yield pd.DataFrame({"term": [None, *df], "df": [len(batch), *df.values()], "size": [size] + [0] * len(df)})
+
+    summed = chunks.select("content").mapInPandas(count, "term string, df long, size long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
+    return stored(summed, "frequencies")
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """qid, chunk_id, source, chunk_index, content, bm25, rank.
 
@@ -105,8 +126,9 @@ def bm25(chunks: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> Da
     have a source and chunk_index of their own.
     """
     wanted = questions.select("qid", F.explode(terms(F.col("question"))).alias("term"))
-    df = postings(chunks, wanted.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = chunks.agg(F.count("*"), F.coalesce(F.avg(F.size(tokens(F.col("content")))), F.lit(1.0))).first()
+    counts = frequencies(chunks)
+    n, total = counts.filter("term is null").select("df", "size").first() or (0, 0)
+    df, avgdl = counts.filter("term is not null").select("term", "df"), total / n if n else 1.0
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = wanted.join(df, "term").groupBy("qid").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("terms"))
 
@@ -118,8 +140,9 @@ def bm25(chunks: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> Da
                 weights[number[x["term"]]] = x["idf"]
 
         def scores(batch: pd.DataFrame) -> np.ndarray:
-            size = batch["tokens"].str.len().to_numpy()
-            hits = [(i, number[t]) for i, ts in enumerate(batch["tokens"]) for t in ts if t in number]
+            tokenised = [tokens_of(text) for text in batch["content"]]
+            size = np.fromiter(map(len, tokenised), np.int64, len(tokenised))
+            hits = [(i, number[t]) for i, ts in enumerate(tokenised) for t in ts if t in number]
             pairs, tf = np.unique([t * len(batch) + i for i, t in hits], return_counts=True) if hits else (np.zeros(0, np.int64), np.zeros(0))
             at, term = pairs % len(batch), pairs // len(batch)
             w = weights[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[at] / avgdl))
@@ -131,8 +154,7 @@ def bm25(chunks: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> Da
 
         return scores
 
-    tokenised = chunks.select("source", "chunk_index", tokens(F.col("content")).alias("tokens"))
-    return best_chunks(in_blocks(tokenised, asked, scorer, "bm25", limit), chunks, limit, "bm25")
+    return best_chunks(in_blocks(chunks.select("source", "chunk_index", "content"), asked, scorer, "bm25", limit), chunks, limit, "bm25")
 
 
 def unique_chunks(chunks: DataFrame) -> DataFrame:
@@ -164,8 +186,8 @@ def term_counts(chunks: DataFrame, questions: DataFrame, limit: int = LIMIT) ->
         def scores(batch: pd.DataFrame) -> np.ndarray:
             known: dict[str, list[tuple[int, int]]] = {}
             counts = np.zeros((len(batch), len(number)), np.float32)
-            for i, text in enumerate(batch["folded"]):
-                for run in whole.findall(text):
+            for i, text in enumerate(batch["content"]):
+                for run in whole.findall(text.casefold()):
                     if run not in known:
                         known[run] = within(run)
                     for term, m in known[run]:
@@ -174,8 +196,7 @@ def term_counts(chunks: DataFrame, questions: DataFrame, limit: int = LIMIT) ->
 
         return scores
 
-    folded = chunks.select("source", "chunk_index", casefold(F.col("content")).alias("folded"))
-    hits = in_blocks(folded, asked, scorer, "hits", limit).withColumn("hits", F.col("hits").cast("long"))
+    hits = in_blocks(chunks.select("source", "chunk_index", "content"), asked, scorer, "hits", limit).withColumn("hits", F.col("hits").cast("long"))
     return best_chunks(hits, chunks, limit, "hits")
 
 

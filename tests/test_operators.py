@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -22,8 +23,19 @@ def test_white_space_and_case(spark):
     assert one(spark, T.casefold(F.col("t")), t="Straße ẞ ſ ﬁ") == "strasse ss s fi"
 
 
+def test_case_folding_of_every_code_point(spark):
+    """All that the standard library's Unicode version assigns; Spark's is newer and knows more pairs."""
+    every = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) != "Cn"]
+    texts = ["".join(every[a : a + 997]) for a in range(0, len(every), 997)]
+    found = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.casefold(F.col("t"))).collect()
+    wrong = [(hex(ord(c)), c.casefold()) for k, x in found if x != texts[k].casefold() for c in texts[k]]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_terms(spark):
     assert one(spark, T.tokens(F.col("t")), t=" FastAPI 与威沙特分布 C++ 好 ") == ["fastapi", "c++", "与威", "威沙", "沙特", "特分", "分布"]
+    for text in (" FastAPI 与威沙特分布 C++ 好 ", "Straße ﬁ 中文a中b中文字", "", "K"):
+        assert one(spark, T.tokens(F.col("t")), t=text) == T.tokens_of(text)
     assert one(spark, T.terms(F.col("t")), t="a b a") == ["a", "b"]
     assert one(spark, T.occurrences(F.col("t"), F.lit("aa")), t="aaaa") == 2
     assert one(spark, T.coverage(T.terms(F.col("q")), F.col("t")), q="rag", t="") == 0.0
