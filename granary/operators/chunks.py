@@ -99,7 +99,7 @@ def q_embed_batches(spark, sf_dir):
 
 
 def q_ids_fingerprint(spark, sf_dir):
-    """An order-free fingerprint of all chunk ids by language, and of each document its ids in order, hashed."""
+    """Of each document the hash of its sorted chunk ids; index_fingerprint covers the whole index."""
     joined = F.array_join(F.sort_array(F.collect_list("chunk_id")), "\n")
     return chunks(spark, sf_dir).groupBy("doc_id").agg(F.sha2(joined, 256).alias("fingerprint"), F.count("*").alias("n_chunks"))
 

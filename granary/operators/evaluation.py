@@ -120,7 +120,7 @@ def q_ab_hybrid(spark, sf_dir):
 
 
 def q_report_diff(spark, sf_dir):
-    """Questions whose recall at 10 passes one half: newly failed, recovered, still failed, still passed, added or removed."""
+    """Questions that have gold in the first place: newly failed, recovered, still failed, still passed, added or removed."""
     a, b = (case_metrics(rows).select("qid", (F.col("recall_1") >= 1e-9).alias("ok")) for rows in _arms(spark, sf_dir))
     both = a.withColumnRenamed("ok", "was").join(b, "qid", "full_outer")
     change = (

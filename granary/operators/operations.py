@@ -380,7 +380,14 @@ QUERIES = {
         select event_type, count(*) as total, sum(f)::bigint as failed, round_even(sum(f) / count(*), 4) as failure_rate, round_even(sum(ms) / count(*), 2) as mean_ms, sum(ms)::bigint as sum_ms, count(distinct user_id) as n_users from e group by event_type""",
     ),
     "owner_scope": (q_owner_scope, "select c_mktsegment, count(*) as n, round(sum(o_totalprice), 2) as total, count(distinct o_custkey) as n_owners from orders join customer on o_custkey = c_custkey where c_acctbal > 0 group by c_mktsegment"),
-    "rolling_limiter": (q_rolling_limiter, None),
+    "rolling_limiter": (
+        q_rolling_limiter,
+        """with recursive call as (select user_id, event_id, epoch_us(ts) / 1e6::double as t, row_number() over (partition by user_id order by ts, event_id) as k from events),
+        walk as (select user_id, 0::bigint as k, null::bigint as event_id, null::double as a, null::double as b, false as accepted, 0::bigint as retry_after from call where k = 1
+          union all select user_id, k, event_id, case when full_ then a else b end, case when full_ then b else t end, not full_, case when full_ then greatest(1, ceil(a + 21600 - t))::bigint else 0 end
+          from (select c.*, w.a, w.b, coalesce(w.a > c.t - 21600 and w.b > c.t - 21600, false) as full_ from walk w join call c on c.user_id = w.user_id and c.k = w.k + 1) x)
+        select user_id, event_id, accepted, retry_after from walk where k > 0""",
+    ),
     "job_state": (q_job_state, "select user_id, arg_max(event_type, (ts, event_id)) as status, arg_max(event_id, (ts, event_id)) as event_id, count(*) as n_events from events group by user_id"),
     "url_canonical": (q_url_canonical, f"select page_id, {_URL_SQL.format('url')} as canonical from pages"),
     "web_filename": (

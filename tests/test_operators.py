@@ -6,6 +6,8 @@ import math
 import random
 import unicodedata
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -153,3 +155,22 @@ def test_history_keeps_the_end(spark):
     rows = [(1, t, "user", c * 10) for t, c in enumerate("abcd")]
     found = operations.bounded_history(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 3, 14, 8).orderBy("turn").collect()
     assert [(r.turn, r.content) for r in found] == [(2, "cccccc"), (3, "dddddddd")]
+
+
+def test_contracts_of_ranks_and_chunks(spark):
+    """Repeated, missing and non-finite scores, and one chunk id with two contents, are errors."""
+    candidates = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "qid long, vec_id long, rank int")
+    scores = lambda *rows: spark.createDataFrame(list(rows), "qid long, vec_id long, score double")
+    good = retrieval.reranked(candidates, scores((1, 10, 0.5), (1, 11, 0.5))).orderBy("new_rank").collect()
+    assert [(r.vec_id, r.rank_change) for r in good] == [(10, 0), (11, 0)]
+    for wrong in (scores((1, 10, 0.5)), scores((1, 10, 0.5), (1, 10, 0.6), (1, 11, 0.1)), scores((1, 10, float("nan")), (1, 11, 0.1)), scores((1, 10, float("inf")), (1, 11, 0.1))):
+        with pytest.raises(PySparkException, match="one row and one finite score"):
+            retrieval.reranked(candidates, wrong).collect()
+    chunks_of = lambda *rows: spark.createDataFrame(list(rows), "chunk_id string, content string")
+    assert retrieval.unique_chunks(chunks_of(("a", "x"), ("a", "x"), ("b", "y"))).count() == 2
+    with pytest.raises(PySparkException, match="conflicting contents"):
+        retrieval.unique_chunks(chunks_of(("a", "x"), ("a", "z"))).collect()
+    for broken in ([[0.0, 0.0]], [[1.0, 0.0, 0.0]]):
+        vectors = spark.createDataFrame([(1, 1, broken[0])], "vec_id long, label int, v array<double>")
+        with pytest.raises(PySparkException):
+            retrieval.nearest(vectors, spark.createDataFrame([(1, [1.0, 2.0])], "qid int, q array<double>")).collect()

@@ -39,6 +39,25 @@ def test_docx(spark, tmp_path):
     assert [r.text for r in docx.read_text(spark, str(tmp_path)).collect()] == ["# x\ny"]
 
 
+def test_docx_white_space_tables_and_styles():
+    run = "<w:p><w:r><w:t>one</w:t><w:tab/><w:t>two</w:t><w:br/><w:t>three</w:t></w:r></w:p>"
+    cell = lambda t, more="": f"<w:tc><w:tcPr>{more}</w:tcPr>{paragraph(t)}</w:tc>"
+    table = f"<w:tbl><w:tr>{cell('a', '<w:gridSpan w:val=%s2%s/>' % (chr(34), chr(34)))}{cell('b')}</w:tr><w:tr>{cell('')}{cell('')}{cell('')}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('c')}{cell('d')}</w:tr></w:tbl>"
+    body = paragraph("First", "a1") + run + table + paragraph("Kein", "Heading9")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("[Content_Types].xml", f'<Types><Override PartName="/word/document.xml" ContentType="{docx.MAIN_TYPE}"/></Types>')
+        z.writestr("word/styles.xml", f'<w:styles xmlns:w="{WORD}"><w:style w:styleId="a1"><w:name w:val="标题 1"/></w:style></w:styles>')
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{WORD}"><w:body>{body}</w:body></w:document>')
+    assert docx.problems(out.getvalue()) == []
+    assert list(docx.blocks(out.getvalue())) == [("paragraph", 1, "First", "First"), ("paragraph", 2, "First", "one two three"), ("table", 1, "First", "a | a | b\n | c | d"), ("paragraph", 3, "First", "Kein")]
+    macro = io.BytesIO()
+    with zipfile.ZipFile(macro, "w") as z:
+        z.writestr("[Content_Types].xml", '<Types><Override PartName="/word/document.xml" ContentType="application/vnd.ms-word.document.macroEnabled.main+xml"/></Types>')
+        z.writestr("word/document.xml", "<x/>")
+    assert docx.problems(macro.getvalue()) == ["type"]
+
+
 def test_structured_chunks():
     one = structured("# Guide\n## Retrieval\n\nA paragraph\nof two lines.\n\n- first\n- second\n\n```\ncode  here\n```\n")
     assert one == [("Guide > Retrieval", "# Guide\n## Retrieval\n\nA paragraph\nof two lines.\n\n- first\n- second\n\n```\ncode  here\n```")]
