@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.functions import markup
+from granary.functions import html_markdown, markup
 from granary.operators import chunks, contracts, evaluation, evidence, operations, retrieval, structured, trace
 
 FLAGSHIP = "bm25_topk"
-_ALL = chunks.QUERIES | retrieval.QUERIES | evaluation.QUERIES | operations.QUERIES | structured.QUERIES | evidence.QUERIES | trace.QUERIES | contracts.QUERIES | markup.QUERIES
+_ALL = chunks.QUERIES | retrieval.QUERIES | evaluation.QUERIES | operations.QUERIES | structured.QUERIES | evidence.QUERIES | trace.QUERIES | contracts.QUERIES | markup.QUERIES | html_markdown.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
