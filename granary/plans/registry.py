@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.functions import html_markdown, markup
-from granary.operators import chunks, contracts, evaluation, evidence, operations, reports, retrieval, staging, structured, trace
+from granary.operators import chunks, contracts, evaluation, evidence, history, operations, reports, retrieval, staging, structured, trace
 
 FLAGSHIP = "bm25_topk"
-_ALL = chunks.QUERIES | retrieval.QUERIES | evaluation.QUERIES | operations.QUERIES | structured.QUERIES | evidence.QUERIES | trace.QUERIES | contracts.QUERIES | reports.QUERIES | staging.QUERIES | markup.QUERIES | html_markdown.QUERIES
+_ALL = chunks.QUERIES | retrieval.QUERIES | evaluation.QUERIES | operations.QUERIES | structured.QUERIES | evidence.QUERIES | trace.QUERIES | contracts.QUERIES | reports.QUERIES | staging.QUERIES | history.QUERIES | markup.QUERIES | html_markdown.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
