@@ -73,6 +73,11 @@ def tokens_of(text: str) -> list[str]:
     return _TERM.findall(folded) + [run[i : i + 2] for run in runs for i in range(len(run) - 1)]
 
 
+def collapse_of(text: str) -> str:
+    """collapse() of one text: str.split() parts at the same 29 code points."""
+    return " ".join(text.split())
+
+
 def terms(text: Column) -> Column:
     """Distinct tokens in order of first occurrence."""
     return F.array_distinct(tokens(text))

@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.text import collapse, stable_sha256
+from granary.functions.text import collapse, collapse_of, stable_sha256
 
 CHUNK_SIZE = 180
 EMBED_BATCH = 10
 
 
-def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One material unit a document: doc_id, lang, source, material_id and collapsed content."""
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the text as it is given, null as empty."""
     source = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", source.alias("source"), "text")
-    material_id = stable_sha256(F.lit("material-v1"), F.lit("text"), F.col("source"))
-    return documents.select("doc_id", "lang", "source", material_id.alias("material_id"), collapse(F.coalesce("text", F.lit(""))).alias("content"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", source.alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def material_id(source: Column) -> Column:
+    return stable_sha256(F.lit("material-v1"), F.lit("text"), source)
+
+
+def units(spark: SparkSession, sf_dir: str, within: DataFrame | None = None) -> DataFrame:
+    """One material unit a document: doc_id, lang, source, material_id and collapsed content; of the sources of `within` only, if given."""
+    found = documents(spark, sf_dir)
+    if within is not None:  # before any text is collapsed or cut
+        found = found.join(within.select("source").distinct(), "source", "left_semi")
+    return found.select("doc_id", "lang", "source", material_id(F.col("source")).alias("material_id"), collapse(F.col("text")).alias("content"))
 
 
 def fixed_chunks(units: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
@@ -27,6 +37,12 @@ def fixed_chunks(units: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     return units.select(*others, F.posexplode_outer(pieces).alias("at", "content")).filter("content is not null").select(*others, (F.col("at") + 1).alias("chunk_index"), "content")
 
 
+def pieces_of(text: str, size: int = CHUNK_SIZE) -> list[str]:
+    """The contents of fixed_chunks of one text that is not collapsed yet, for what runs in Arrow batches."""
+    content = collapse_of(text)
+    return [content[a : a + size] for a in range(0, len(content), size)]
+
+
 def chunk_id(material_id: Column, index: Column, content_hash: Column, page: Column | None = None, section: Column | None = None) -> Column:
     blank = F.lit("")
     return stable_sha256(F.lit("chunk-v1"), material_id, page if page is not None else blank, section if section is not None else blank, index, content_hash)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from granary.plans.shared import stored
 K1, B, RRF_K = 1.5, 0.75, 60
 THRESHOLD, KEYWORD_WEIGHT, CANDIDATES, LIMIT = 0.25, 0.2, 10, 3
 ADJACENT, CONTEXT_LIMIT = 2, 8
-QUESTIONS_AT_ONCE, CHUNKS_AT_ONCE = 1_024, 4_000
+QUESTIONS_AT_ONCE, CHUNKS_AT_ONCE, TERMS_AT_ONCE, RUN_BYTES = 1_024, 4_000, 200_000, 1 << 27
 
 
 def top(df: DataFrame, n: int, *order, rank: str = "rank", by: str = "qid") -> DataFrame:
@@ -30,9 +31,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
-def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixed chunks without their ids, which only what is found needs: source and chunk_index name a chunk."""
-    return C.fixed_chunks(C.units(spark, sf_dir))
+def pieces(spark: SparkSession, sf_dir: str, within: DataFrame | None = None) -> DataFrame:
+    """The fixed chunks without their ids, which only what is found needs: source and chunk_index name a chunk. Of the sources of `within` only, if given."""
+    return C.fixed_chunks(C.units(spark, sf_dir, within))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source and text of every document, to be cut into the same chunks in Arrow batches."""
+    return C.documents(spark, sf_dir).select("source", "text")
 
 
 def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
@@ -44,47 +50,75 @@ def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return found.groupBy("source", "chunk_index", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def best_chunks(scores: DataFrame, chunks: DataFrame, limit: int, by: str) -> DataFrame:
-    """The `limit` best of scores (qid, source, chunk_index, by) of each question with chunk_id and content; ties go to the smaller chunk_id.
+def best_chunks(scores: DataFrame, limit: int, by: str) -> DataFrame:
+    """The `limit` best of scores (qid, source, chunk_index, content, by) of each question with chunk_id; ties go to the smaller chunk_id.
 
-    Ids are hashes of the content: only what ranks by score alone, ties included, is looked up and hashed.
+    Ids are hashes of the content: only what ranks by score alone, ties included, is hashed.
     """
     near = scores.withColumn("at", F.rank().over(Window.partitionBy("qid").orderBy(F.desc(by)))).filter(F.col("at") <= limit).drop("at")
-    found = C.with_ids(near.join(chunks.select("source", "chunk_index", "content", "material_id"), ["source", "chunk_index"]))
+    found = C.with_ids(near.withColumn("material_id", C.material_id(F.col("source"))))
     return top(found.select("qid", "chunk_id", "source", "chunk_index", "content", by), limit, F.desc(by), "chunk_id")
 
 
-def best_of_batch(scores: np.ndarray, qids: list, batch: pd.DataFrame, limit: int, by: str) -> pd.DataFrame:
-    """qid, source, chunk_index, by of the `limit` best positive scores (chunks by questions) of each question, ties included."""
-    parts = []
-    for q, qid in enumerate(qids):
-        own = scores[:, q]
-        least = np.partition(own, -limit)[-limit] if limit < len(own) else 0
-        kept = np.flatnonzero((own > 0) & (own >= least))
-        parts.append(pd.DataFrame({"qid": qid, "source": batch["source"].to_numpy()[kept], "chunk_index": batch["chunk_index"].to_numpy()[kept], by: own[kept]}))
-    return pd.concat(parts)
+def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[int], list[str]]]:
+    """source, chunk_index and content of the fixed chunks of texts (source, text), about CHUNKS_AT_ONCE at a time."""
+    sources: list[str] = []
+    indexes: list[int] = []
+    contents: list[str] = []
+    for batch in batches:
+        for source, text in zip(batch.column("source").to_pylist(), batch.column("text"), strict=True):
+            found = C.pieces_of(text.as_py())
+            contents += found
+            indexes += range(1, len(found) + 1)
+            sources += [source] * len(found)
+            if len(contents) >= CHUNKS_AT_ONCE:
+                yield sources, indexes, contents
+                sources, indexes, contents = [], [], []
+    if contents:
+        yield sources, indexes, contents
+
+
+class Best:
+    """The `limit` best scores of each question that a task has seen so far: what is below the last of them is not given on."""
+
+    def __init__(self, n: int, limit: int):
+        self.limit, self.best = limit, np.zeros((n, limit))
+
+    def places(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Question, chunk and score of positive scores (questions by chunks) that may be among the best, ties included; rounded to 6 places."""
+        least = self.best[:, -1]
+        asks, at = np.nonzero((scores >= least[:, None] - 1e-6) & (scores > 0))
+        found = np.round(scores[asks, at], 6)
+        cuts = np.searchsorted(asks, np.arange(len(scores) + 1))
+        for q in np.flatnonzero(np.diff(cuts)):
+            every = np.concatenate([self.best[q], found[cuts[q] : cuts[q + 1]]])
+            self.best[q] = -np.sort(-np.partition(every, -self.limit)[-self.limit :])
+        kept = (found >= self.best[asks, -1]) & (found > 0)
+        return asks[kept], at[kept], found[kept]
 
 
 def in_blocks(texts: DataFrame, asked: DataFrame, scorer, by: str, limit: int) -> DataFrame:
-    """qid, source, chunk_index and `by` of what may be among the `limit` best of each question of asked (qid, terms).
+    """qid, source, chunk_index, content and `by` of the chunks of texts (source, text) that may be among the `limit` best of each question of asked (qid, terms).
 
-    For each QUESTIONS_AT_ONCE questions, scorer(rows) runs once a task and gives the scores (chunks by questions) of a batch
-    of texts (source, chunk_index, ...); a batch gives on the best of it alone, so no row is made of a chunk and a question.
+    For each QUESTIONS_AT_ONCE questions, scorer(rows) runs once a task and gives the scores (questions by chunks) of a list
+    of contents. A task gives on what is not below the best that it has seen so far, with its content: no row is made of a
+    chunk and a question else, and nothing is looked up in the corpus again.
     """
-    kinds = f"qid {asked.schema['qid'].dataType.simpleString()}, source string, chunk_index int, {by} double"
+    kinds = f"qid {asked.schema['qid'].dataType.simpleString()}, source string, chunk_index int, content string, {by} double"
     rows = asked.orderBy("qid").toLocalIterator()
     spark, found = texts.sparkSession, texts.sparkSession.createDataFrame([], kinds)
     while block := list(islice(rows, QUESTIONS_AT_ONCE)):
         shared = spark.sparkContext.broadcast([r.asDict(recursive=True) for r in block])
 
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            scores, qids = scorer(shared.value), [r["qid"] for r in shared.value]
-            for whole in batches:
-                for a in range(0, len(whole), CHUNKS_AT_ONCE):
-                    batch = whole.iloc[a : a + CHUNKS_AT_ONCE]
-                    yield best_of_batch(scores(batch), qids, batch, limit, by)
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            scores, qids, best = scorer(shared.value), [r["qid"] for r in shared.value], Best(len(shared.value), limit)
+            for sources, indexes, contents in cut_batches(batches):
+                asks, at, values = best.places(scores(contents))
+                if len(at):
+                    columns = [[qids[q] for q in asks], [sources[i] for i in at], pa.array([indexes[i] for i in at], pa.int32()), [contents[i] for i in at], values]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qid", "source", "chunk_index", "content", by])
 
-        found = found.union(texts.mapInPandas(score, kinds))
+        found = found.union(texts.select("source", "text").mapInArrow(score, kinds))
     return found
 
 
@@ -100,33 +134,40 @@ def numbered(rows: list[dict], term) -> tuple[dict, list[list[int]]]:
     return number, owners
 
 
-def frequencies(chunks: DataFrame) -> DataFrame:
-    """term and df (chunks that have it) of every token, and a row without a term: df holds the number of chunks, size that of all tokens.
+def frequencies(texts: DataFrame) -> DataFrame:
+    """term and df (chunks that have it) of every token, and rows without a term: df holds the number of chunks, size that of all tokens.
 
-    One pass over the chunks, summed by batch before it is shuffled, and stored.
+    One pass over the texts (source, text), summed by task before it is shuffled, and stored.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            df, size = Counter(), 0
-            for text in batch["content"]:
-                found = tokens_of(text)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            columns = [pa.array([None, *df], pa.string()), pa.array([n, *df.values()], pa.int64()), pa.array([size] + [0] * len(df), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["term", "df", "size"])
+
+        df, n, size = Counter(), 0, 0
+        for _, _, contents in cut_batches(batches):
+            n += len(contents)
+            for content in contents:
+                found = tokens_of(content)
                 size += len(found)
                 df.update(set(found))
-            yield pd.DataFrame({"term": [None, *df], "df": [len(batch), *df.values()], "size": [size] + [0] * len(df)})
+            if len(df) >= TERMS_AT_ONCE:
+                yield told()
+                df, n, size = Counter(), 0, 0
+        yield told()
 
-    summed = chunks.select("content").mapInPandas(count, "term string, df long, size long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
-    return stored(summed, "frequencies")
+    counted = texts.select("source", "text").mapInArrow(count, "term string, df long, size long")
+    return stored(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size")), "frequencies")
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """qid, chunk_id, source, chunk_index, content, bm25, rank.
+def bm25(texts: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """qid, chunk_id, source, chunk_index, content, bm25, rank over the fixed chunks of texts (source, text), sources distinct; stored.
 
-    The frequencies of the asked terms are counted first, then batches of chunks are scored for blocks of questions. Chunks
-    have a source and chunk_index of their own.
+    The frequencies of all terms are counted first, then batches of chunks are scored for blocks of questions.
     """
     wanted = questions.select("qid", F.explode(terms(F.col("question"))).alias("term"))
-    counts = frequencies(chunks)
+    counts = frequencies(texts)
     n, total = counts.filter("term is null").select("df", "size").first() or (0, 0)
     df, avgdl = counts.filter("term is not null").select("term", "df"), total / n if n else 1.0
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -134,27 +175,29 @@ def bm25(chunks: DataFrame, questions: DataFrame, limit: int = CANDIDATES) -> Da
 
     def scorer(rows: list[dict]):
         number, owners = numbered(rows, lambda x: x["term"])
+        owners = [np.array(of) for of in owners]
         weights = np.zeros(len(number))
         for row in rows:
             for x in row["terms"]:
                 weights[number[x["term"]]] = x["idf"]
 
-        def scores(batch: pd.DataFrame) -> np.ndarray:
-            tokenised = [tokens_of(text) for text in batch["content"]]
+        def scores(contents: list[str]) -> np.ndarray:
+            tokenised = [tokens_of(content) for content in contents]
             size = np.fromiter(map(len, tokenised), np.int64, len(tokenised))
-            hits = [(i, number[t]) for i, ts in enumerate(tokenised) for t in ts if t in number]
-            pairs, tf = np.unique([t * len(batch) + i for i, t in hits], return_counts=True) if hits else (np.zeros(0, np.int64), np.zeros(0))
-            at, term = pairs % len(batch), pairs // len(batch)
+            term = np.fromiter(map(number.get, chain.from_iterable(tokenised), repeat(-1)), np.int64, int(size.sum()))
+            known = term >= 0
+            pairs, tf = np.unique(term[known] * len(contents) + np.repeat(np.arange(len(contents)), size)[known], return_counts=True)
+            at, term = pairs % len(contents), pairs // len(contents)
             w = weights[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[at] / avgdl))
-            out = np.zeros((len(batch), len(rows)))
+            out = np.zeros((len(rows), len(contents)))
             cuts = np.flatnonzero(np.diff(term, prepend=-1)).tolist()
             for b, c in zip(cuts, [*cuts[1:], len(term)], strict=True):
-                out[np.ix_(at[b:c], owners[term[b]])] += w[b:c, None]
-            return np.round(out, 6)
+                out[owners[term[b]][:, None], at[b:c]] += w[b:c]
+            return out
 
         return scores
 
-    return best_chunks(in_blocks(chunks.select("source", "chunk_index", "content"), asked, scorer, "bm25", limit), chunks, limit, "bm25")
+    return stored(best_chunks(in_blocks(texts, asked, scorer, "bm25", limit), limit, "bm25"), "bm25")
 
 
 def unique_chunks(chunks: DataFrame) -> DataFrame:
@@ -164,40 +207,108 @@ def unique_chunks(chunks: DataFrame) -> DataFrame:
     return found.select("chunk_id", F.when(F.col("content") != F.col("other"), clash).otherwise(F.col("content")).alias("content"))
 
 
-def term_counts(chunks: DataFrame, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """qid, chunk_id, source, chunk_index, content, hits, rank: non-overlapping occurrences of the question's distinct terms.
+class Substrings:
+    """Finds given terms in many short texts at once: rolling hashes of each length that a term has, then the characters themselves."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, terms: list[str]):
+        self.terms, self.codes, self.of_length = terms, [self._codes(t) for t in terms], {}
+        for n in {len(t) for t in terms}:
+            ids = np.array([k for k, t in enumerate(terms) if len(t) == n])
+            letters = np.array([self.codes[k] for k in ids])
+            hashes = np.zeros(len(ids), np.uint64)
+            for k in range(n):
+                hashes += letters[:, k] * np.uint64(pow(self.BASE, k + 1, 1 << 64))
+            order = np.argsort(hashes)
+            there = np.zeros(1 << 16, bool)
+            there[self._slot(hashes)] = True
+            self.of_length[n] = hashes[order], ids[order], letters[order], there
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(48)
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, term and how often that occurs in it without overlaps."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes, owner = self._codes("".join(texts)), np.repeat(np.arange(len(texts)), sizes)
+        room, hashes = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        found = [np.zeros(0, np.int64)]
+        for n in range(1, min(max(self.of_length, default=0), len(codes)) + 1):
+            hashes = hashes[: len(codes) - n + 1] + codes[n - 1 :] * np.uint64(pow(self.BASE, n, 1 << 64))
+            if n in self.of_length:
+                known, ids, letters, there = self.of_length[n]
+                at = np.flatnonzero(there[self._slot(hashes)] & (room[: len(hashes)] >= n))
+                first = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
+                while len(at):  # terms of one hash stand side by side
+                    same = known[first] == hashes[at]
+                    at, first = at[same], first[same]
+                    hit = (codes[at[:, None] + np.arange(n)] == letters[first]).all(1)
+                    found.append(owner[at[hit]] * len(self.terms) + ids[first[hit]])
+                    more = ~hit & (first + 1 < len(known))
+                    at, first = at[more], first[more] + 1
+        pairs, n = np.unique(np.concatenate(found), return_counts=True)
+        of, term = pairs // len(self.terms), pairs % len(self.terms)
+        for k in np.flatnonzero(n > 1):  # they may overlap
+            n[k] = texts[of[k]].count(self.terms[term[k]])
+        return of, term, n
+
+
+def term_counts(texts: DataFrame, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """qid, chunk_id, source, chunk_index, content, hits, rank: non-overlapping occurrences of the question's distinct terms in the fixed chunks of texts (source, text); stored.
 
     A term has the characters of one kind of run only (technical or Han), so each occurrence lies within one run. A run's
-    substrings of the asked lengths are looked up among the asked terms, once for all its places in a batch.
+    hits for all questions are counted once and kept, RUN_BYTES of them a task.
     """
     asked = questions.select("qid", terms(F.col("question")).alias("terms")).filter(F.size("terms") > 0)
 
     def scorer(rows: list[dict]):
         number, owners = numbered(rows, lambda x: x)
-        lengths, whole = sorted({len(t) for t in number}), re.compile(f"{TERM}|{HAN}")
-        who = np.zeros((len(number), len(rows)), np.float32)
-        for t, of in enumerate(owners):
-            who[t, of] = 1
-
-        def within(run: str) -> list[tuple[int, int]]:
-            found = {run[i : i + n] for n in lengths if n <= len(run) for i in range(len(run) - n + 1)}
-            return [(number[t], run.count(t)) for t in found if t in number]
-
-        def scores(batch: pd.DataFrame) -> np.ndarray:
-            known: dict[str, list[tuple[int, int]]] = {}
-            counts = np.zeros((len(batch), len(number)), np.float32)
-            for i, text in enumerate(batch["content"]):
-                for run in whole.findall(text.casefold()):
-                    if run not in known:
-                        known[run] = within(run)
-                    for term, m in known[run]:
-                        counts[i, term] += m
-            return (counts @ who).astype(float)  # whole numbers, exact below 2^24
+        whole, inside = re.compile(f"{TERM}|{HAN}"), Substrings(list(number))
+        n_owners, every = np.array([len(of) for of in owners]), np.array([q for of in owners for q in of])
+        starts = np.cumsum(n_owners) - n_owners
+        # a folded chunk has at most three times its characters, and each may begin one occurrence of each length
+        kind = np.uint16 if 3 * C.CHUNK_SIZE * len(inside.of_length) < 1 << 16 else np.int32
+        room = max(RUN_BYTES // (np.dtype(kind).itemsize * len(rows)), 1)
+        known: dict[str, int] = {}
+        table = np.zeros((min(room, 1_024), len(rows)), kind)
+
+        def add(runs: list[str]) -> None:
+            nonlocal table
+            if len(known) + len(runs) > len(table):
+                table = np.concatenate([table, np.zeros((max(len(table), len(known) + len(runs) - len(table)), len(rows)), kind)])
+            for a in range(0, len(runs), CHUNKS_AT_ONCE):
+                part = runs[a : a + CHUNKS_AT_ONCE]
+                of, term, n = inside.counts(part)
+                many = n_owners[term]
+                asks = every[np.repeat(starts[term] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                hits = np.bincount(np.repeat(of, many) * len(rows) + asks, np.repeat(n, many), len(part) * len(rows))
+                table[len(known) : len(known) + len(part)] = hits.reshape(len(part), len(rows))
+                known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
+
+        def scores(contents: list[str]) -> np.ndarray:
+            runs = [whole.findall(content.casefold()) for content in contents]
+            new = set(chain.from_iterable(runs)).difference(known)
+            if len(known) + len(new) > room:
+                known.clear()
+                new = set(chain.from_iterable(runs))
+            add(list(new))
+            size = np.fromiter(map(len, runs), np.int64, len(runs))
+            at, cuts = np.fromiter(map(known.__getitem__, chain.from_iterable(runs)), np.int64, int(size.sum())), [0, *np.cumsum(size).tolist()]
+            out = np.zeros((len(contents), len(rows)), kind)
+            for i in np.flatnonzero(size):
+                np.add.reduce(table.take(at[cuts[i] : cuts[i + 1]], axis=0), axis=0, out=out[i])
+            return out.T.astype(float)
 
         return scores
 
-    hits = in_blocks(chunks.select("source", "chunk_index", "content"), asked, scorer, "hits", limit).withColumn("hits", F.col("hits").cast("long"))
-    return best_chunks(hits, chunks, limit, "hits")
+    found = in_blocks(texts, asked, scorer, "hits", limit).withColumn("hits", F.col("hits").cast("long"))
+    return stored(best_chunks(found, limit, "hits"), "hits")
 
 
 def fused(first: DataFrame, second: DataFrame, limit: int, key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
@@ -356,7 +467,7 @@ def q_bm25_stats(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir):
-    return bm25(pieces(spark, sf_dir), questions(spark, sf_dir))
+    return bm25(texts(spark, sf_dir), questions(spark, sf_dir))
 
 
 def q_bm25_topk(spark, sf_dir):
@@ -364,7 +475,7 @@ def q_bm25_topk(spark, sf_dir):
 
 
 def q_lexical_count(spark, sf_dir):
-    return term_counts(pieces(spark, sf_dir), questions(spark, sf_dir)).select("qid", "chunk_id", "hits", "rank")
+    return term_counts(texts(spark, sf_dir), questions(spark, sf_dir)).select("qid", "chunk_id", "hits", "rank")
 
 
 def _seeds(spark, sf_dir):
@@ -384,12 +495,15 @@ def q_keyword_coverage(spark, sf_dir):
 
 
 def q_adjacent_context(spark, sf_dir):
-    return adjacent(_seeds(spark, sf_dir), pieces(spark, sf_dir)).withColumn("seed_rank", F.coalesce("seed_rank", F.lit(0)))
+    """Stored: what is read of it cuts the texts of its sources only."""
+    seeds = _seeds(spark, sf_dir)
+    return stored(adjacent(seeds, pieces(spark, sf_dir, seeds)).withColumn("seed_rank", F.coalesce("seed_rank", F.lit(0))), "context")
 
 
 def _context(spark, sf_dir):
-    where = pieces(spark, sf_dir).select("source", "chunk_index", "content")
-    found = q_adjacent_context(spark, sf_dir).join(where, ["source", "chunk_index"]).join(questions(spark, sf_dir), "qid")
+    context = q_adjacent_context(spark, sf_dir)
+    where = pieces(spark, sf_dir, context).select("source", "chunk_index", "content")
+    found = context.join(where, ["source", "chunk_index"]).join(questions(spark, sf_dir), "qid")
     return found.withColumn("coverage", coverage(terms(F.col("question")), F.col("content")))
 
 
@@ -434,7 +548,7 @@ def q_rrf_fusion(spark, sf_dir):
 
 def q_rrf_top3(spark, sf_dir):
     """BM25 and term counts, fused, of each question."""
-    counted = term_counts(pieces(spark, sf_dir), questions(spark, sf_dir), CANDIDATES)
+    counted = term_counts(texts(spark, sf_dir), questions(spark, sf_dir), CANDIDATES)
     return fused(_bm25(spark, sf_dir), counted, LIMIT).select("qid", "chunk_id", "rrf", "rank")
 
 
@@ -473,9 +587,9 @@ def weighted_rerank(found: DataFrame, limit: int | None = None) -> DataFrame:
 def _asked_chunks(spark, sf_dir, limit: int = LIMIT) -> DataFrame:
     """Dense candidates, max(limit, 10) a question, with the question's text and the chunk; blank questions find nothing."""
     asked = questions(spark, sf_dir).filter(F.trim("question") != "").withColumnRenamed("qid", "item")
-    found = dense(spark, sf_dir, max(limit, CANDIDATES)).select("qid", "vec_id", "score", F.col("rank").alias("raw_rank"))
+    found = stored(dense(spark, sf_dir, max(limit, CANDIDATES)).select("qid", "vec_id", "score", F.col("rank").alias("raw_rank")), "dense")
     found = found.join(asked, F.col("qid") == F.col("item")).drop("item")
-    first = pieces(spark, sf_dir).filter("chunk_index = 1").select(F.col("doc_id").alias("vec_id"), "source", "chunk_index", "content")
+    first = pieces(spark, sf_dir, found.select(F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("source"))).filter("chunk_index = 1").select(F.col("doc_id").alias("vec_id"), "source", "chunk_index", "content")
     return found.join(first, "vec_id")
 
 
@@ -489,7 +603,8 @@ def q_hybrid_top3(spark, sf_dir):
 
 def q_retrieve_full(spark, sf_dir):
     """The whole retriever: dense candidates, threshold, weighted rerank, the first three, then the chunks beside them."""
-    found = adjacent(weighted_rerank(_asked_chunks(spark, sf_dir), LIMIT), pieces(spark, sf_dir))
+    seeds = stored(weighted_rerank(_asked_chunks(spark, sf_dir), LIMIT), "seeds")
+    found = adjacent(seeds, pieces(spark, sf_dir, seeds))
     return found.withColumn("seed_rank", F.coalesce("seed_rank", F.lit(0)))
 
 
