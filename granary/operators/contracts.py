@@ -174,8 +174,8 @@ def missing_sources(cases: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def _gold(spark, sf_dir) -> DataFrame:
-    gold = E.gold_chunks(spark, sf_dir).withColumnRenamed("source", "doc")
-    return E.evidence(E.labelled(R.pieces(spark, sf_dir)).join(gold, ["doc", "chunk_index"]))
+    gold = E.gold_chunks(spark, sf_dir).drop("content")
+    return E.evidence(E.labelled(R.pieces(spark, sf_dir, gold)).join(gold.withColumnRenamed("source", "doc"), ["doc", "chunk_index"]))
 
 
 def _cases(spark, sf_dir) -> DataFrame:
@@ -223,7 +223,7 @@ def q_expected_sources_missing(spark, sf_dir):
     place = F.struct("source", "chunk_index")
     later = F.struct("source", (F.col("chunk_index") + 3).alias("chunk_index"))
     cases = gold.groupBy("qid").agg(F.array_union(F.collect_set(place), F.collect_set(later)).alias("expected_sources"))
-    return missing_sources(cases.withColumn("id", F.concat(F.lit("case-"), F.col("qid").cast("string"))), R.pieces(spark, sf_dir))
+    return missing_sources(cases.withColumn("id", F.concat(F.lit("case-"), F.col("qid").cast("string"))), R.pieces(spark, sf_dir, gold))
 
 
 QUERIES = {

@@ -162,18 +162,14 @@ def carried_over(answerable: Column, n_chunks: Column, recall: Column, before: C
 TIGHT = 170  # characters: no whole chunk fits, only the shorter last ones of documents
 
 
-def _gold(spark, sf_dir) -> DataFrame:
-    return stored(E.gold_chunks(spark, sf_dir), "gold")
-
-
 def _traces(spark, sf_dir, *configs: Config) -> tuple[list[DataFrame], DataFrame]:
     """A stored trace for each config, over one search, and the gold (qid, chunk_id)."""
-    pieces, gold = R.pieces(spark, sf_dir), _gold(spark, sf_dir)
-    found = R._bm25(spark, sf_dir)
+    gold, found = E.gold_chunks(spark, sf_dir), R._bm25(spark, sf_dir)
+    pieces = stored(R.pieces(spark, sf_dir, found), "pieces")  # contexts hold chunks of the sources found only
     raw = stored(found.withColumn("score", F.round(F.col("bm25") / F.max("bm25").over(Window.partitionBy("qid")), 6)).drop("bm25"), "raw")
     answerable = gold.select("qid").distinct().withColumn("answerable", F.lit(True))
     asked = R.questions(spark, sf_dir).join(answerable, "qid", "left").withColumn("answerable", F.coalesce("answerable", F.lit(False)))
-    ids = C.with_ids(gold.join(pieces.select("source", "chunk_index", "content", "material_id"), ["source", "chunk_index"])).select("qid", "chunk_id")
+    ids = C.with_ids(gold.withColumn("material_id", C.material_id(F.col("source")))).select("qid", "chunk_id")
     return [stored(traced(asked, raw, pieces, config), "trace") for config in configs], stored(ids, "gold")
 
 
@@ -213,7 +209,7 @@ def q_empty_context_rate(spark, sf_dir):
 def q_context_replay(spark, sf_dir):
     """The stored contexts replayed with the selector: seeds and each seed's best neighbour, their measures and failures before and after."""
     (trace,), gold = _traces(spark, sf_dir, Config())
-    chunks = C.with_ids(R.pieces(spark, sf_dir))
+    chunks = C.with_ids(R.pieces(spark, sf_dir, trace.select(F.inline("context")).select("source")))  # an id stands for its source, too
     rows = replayed(trace, chunks).join(R.questions(spark, sf_dir), "qid")
     rows = rows.withColumn("coverage", R.coverage(R.terms(F.col("question")), F.col("content")))
     ranks = F.when(F.col("role") == "seed", F.col("position"))
