@@ -3,9 +3,11 @@
 The text is cut where no merge can cross: before a run of spaces, and around line
 feeds. Each distinct segment is encoded by an agenda of adjacent symbol pairs in order
 of score (then position), and kept while it is used, within a task; characters without
-a piece fall back to their bytes. Every Arrow batch checks the ids and the decoded text
-of each segment that is new in it, and of its longest text as a whole, against the
-sentencepiece library; a difference raises an error instead of giving other results.
+a piece fall back to their bytes. An Arrow batch is coded and given on in parts of
+CHARS_AT_ONCE, so that a task holds the results of one part, not of a batch of long texts.
+Every part checks the ids and the decoded text of each segment that is new in it, and of
+its longest text as a whole, against the sentencepiece library; a difference raises an
+error instead of giving other results.
 
 Defined results: null or empty text has no ids and decodes to the empty string;
 repeated rows stay; extra columns are ignored; a text of any length, also without a
@@ -20,7 +22,7 @@ import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from granary.llm.common import table
 SPACE = "▁"
 LONGEST_KEPT = 48
 MOST_KEPT = 120_000
+CHARS_AT_ONCE = 1 << 21
+_KINDS = pa.int64(), pa.string(), pa.string()
 _NONE = float("inf")
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
@@ -177,22 +181,41 @@ def encode_text(known: Known, text: str) -> tuple[str, str]:
     return ",".join([x[0] for x in found]), "".join([x[1] for x in found])[1:]
 
 
-def coded(text: Column, model_file: str, digest: bool = False) -> Column:
-    """struct of n_tokens, ids and decoded of a text; with digest, both as lower-case hex SHA-256."""
-
-    @F.pandas_udf("n_tokens long, ids string, decoded string")
-    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = Known(_agenda(model_file))  # it ends with its task
-        hexed = (lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()) if digest else (lambda x: x)
-        for batch in batches:
+def parts(batch: pa.Array) -> Iterator[list[str]]:
+    """The texts of an Arrow batch in order, cut behind the text that fills CHARS_AT_ONCE."""
+    part, n = [], 0
+    for text in batch:
+        part.append(text.as_py())
+        n += len(part[-1])
+        if n >= CHARS_AT_ONCE:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def coded_parts(batches: Iterator[pa.Array], known: Known, digest: bool) -> Iterator[pa.Array]:
+    """n_tokens, ids and decoded of the batches' texts in order, a part at a time."""
+    hexed = (lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()) if digest else (lambda x: x)
+    for batch in batches:
+        for part in parts(batch):
             rows, longest = [], ("", "", "")
-            for text in batch:
+            for text in part:
                 ids, decoded = encode_text(known, text)
                 if len(longest[0]) <= len(text):
                     longest = text, ids, decoded
                 rows.append((ids.count(",") + 1 if ids else 0, hexed(ids), hexed(decoded)))
             known.check(*longest)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), _KINDS, strict=True)]
+            yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids", "decoded"])
+
+
+def coded(text: Column, model_file: str, digest: bool = False) -> Column:
+    """struct of n_tokens, ids and decoded of a text; with digest, both as lower-case hex SHA-256."""
+
+    @F.arrow_udf("n_tokens long, ids string, decoded string")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return coded_parts(batches, Known(_agenda(model_file)), digest)  # what is known ends with its task
 
     return code(F.coalesce(text, F.lit("")))
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,6 +62,32 @@ def test_what_is_kept_changes_nothing(monkeypatch):
     assert len(known) + len(known.older) < 30
 
 
+@pytest.mark.parametrize("digest", [False, True])
+def test_a_batch_is_coded_in_bounded_parts(monkeypatch, digest):
+    """However many texts an Arrow batch has, what waits for the check and what is given on at once are of one part."""
+    monkeypatch.setattr(sp, "CHARS_AT_ONCE", 400)
+    texts = [" ".join(f"w{k}x{j}" for j in range(10)) for k in range(60)] + ["", "y " * 900, ""]
+    waiting = []
+
+    class Watched(sp.Known):
+        def check(self, *longest):
+            waiting.append(len(self.new))
+            super().check(*longest)
+
+    found = list(sp.coded_parts(iter([pa.array(texts[:50]), pa.array([], pa.string()), pa.array(texts[50:])]), Watched(KNOWN.agenda), digest))
+    assert len(found) == len(waiting) > 9 and max(waiting) <= 100
+    hexed = (lambda x: hashlib.sha256(x.encode()).hexdigest()) if digest else str
+    expected = [(len(i := LIBRARY.encode(t)), hexed(",".join(map(str, i))), hexed(LIBRARY.decode(i))) for t in texts]
+    assert [tuple(r.values()) for part in found for r in part.to_pylist()] == expected
+
+
+def test_batches_of_several_parts(spark):
+    """Rows keep their own results where a batch is given on in parts."""
+    text = F.concat(F.repeat(F.lit("word and "), 20_000), F.col("id").cast("string"))
+    found = spark.range(0, 60, 1, 1).select("id", text.alias("text")).select("id", "text", sp.coded(F.col("text"), sp.model_path()).alias("c"))
+    assert found.filter("c.decoded = text").count() == 60
+
+
 def test_rows(spark):
     rows = [(1, "Hello  world\n"), (1, "Hello  world\n"), (2, None), (3, "")]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ids string")
