@@ -3,7 +3,8 @@
 The text is cut where no merge can cross: before a run of spaces, and around line
 feeds. Each distinct segment is encoded by an agenda of adjacent symbol pairs in order
 of score (then position), and kept while it is used, within a task; characters without
-a piece fall back to their bytes. An Arrow batch is coded and given on in parts of
+a piece fall back to their bytes. The agendas of a part's new segments move on together,
+a merge of each at a time. An Arrow batch is coded and given on in parts of
 CHARS_AT_ONCE, so that a task holds the results of one part, not of a batch of long texts.
 Every part checks the ids and the decoded text of each segment that is new in it, and of
 its longest text as a whole, against the sentencepiece library; a difference raises an
@@ -19,9 +20,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +37,17 @@ SPACE = "▁"
 LONGEST_KEPT = 48
 MOST_KEPT = 120_000
 CHARS_AT_ONCE = 1 << 21
+CHECKED_AT_ONCE = 256  # segments, as lines of one text
+SLOT_BITS = 20
 _KINDS = pa.int64(), pa.string(), pa.string()
 _NONE = float("inf")
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 class Agenda:
     """A merge-type vocabulary, read through the library and applied without it."""
 
@@ -55,11 +66,88 @@ class Agenda:
             else:
                 self.pieces[piece] = (-library.get_score(i), i)
         self.scores = {piece: score for piece, (score, _) in self.pieces.items()}
+        self._pair_up()
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.pieces) or len(self.byte_ids) != 256:
             raise ValueError("this vocabulary has pieces across words or lines, or no byte fallback")
         if library.encode(" a  b ", out_type=str) and library.decode(library.encode(" a  b ")) != " a  b ":
             raise ValueError("this vocabulary's normaliser changes white space")
 
+    def _pair_up(self) -> None:
+        """Symbols as numbers (a piece's id; other characters of pieces come behind) and the sorted pairs of these that make a piece, with its place in order of score."""
+        number = {piece: i for piece, (_, i) in self.pieces.items()}
+        for c in sorted(set("".join(self.pieces))):
+            number.setdefault(c, len(self.texts) + len(number))
+        self.symbol_of = np.full(0x110000, -1, np.int32)  # by code point
+        for c, i in number.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = i
+        place_of = {score: place for place, score in enumerate(sorted(set(self.scores.values())))}
+        self.symbol_at = np.full(len(place_of), -1, np.int32)  # a symbol without pairs where several pieces tie
+        pairs, several = {}, Counter(self.scores.values())
+        for piece, score in self.scores.items():
+            place = place_of[score]
+            if several[score] == 1:
+                self.symbol_at[place] = number[piece]
+            for k in range(1, len(piece)):
+                a, b = number.get(piece[:k]), number.get(piece[k:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = place
+        self.pair = np.array(sorted(pairs), np.int64)
+        slot = _slot(self.pair)
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)  # a pair's number by hash; -1 where pairs share a slot
+        self.slots[slot] = np.arange(len(slot))
+        self.slots[np.bincount(slot, minlength=1 << SLOT_BITS) > 1] = -1
+        self.place = np.array([*map(pairs.__getitem__, self.pair.tolist()), len(place_of)], np.int32)
+
+    def _places(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of symbols, the place of the piece that each makes; behind all places if it makes none."""
+        pair = a.astype(np.int64) << 32 | b
+        at = self.slots[_slot(pair)]
+        shared = np.flatnonzero(at < 0)
+        at.flat[shared] = np.minimum(np.searchsorted(self.pair, pair.flat[shared]), len(self.pair) - 1)
+        return np.where(self.pair[at] == pair, self.place[at], self.place[-1])
+
+    def encode_segments(self, segments: Iterable[str]) -> Iterator[tuple[list[str], np.ndarray | None]]:
+        """The short ones of the segments in blocks, in any order: each with the ids of its segments, one row each, or with None if they are to be encoded one by one."""
+        for size, group in groupby(sorted(segments, key=len), len):
+            if size > LONGEST_KEPT:
+                return
+            some = list(group)
+            codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size)
+            symbols = self.symbol_of[codes]
+            known = (symbols >= 0).all(1)
+            alone, places = np.flatnonzero(~known).tolist(), np.flatnonzero(known)
+            for rows, found in self._merged_together(symbols[known]):
+                plain = ((found >= 0) & (found < len(self.texts))).all(1)
+                alone += places[rows[~plain]].tolist()
+                if plain.any():
+                    yield [some[i] for i in places[rows[plain]].tolist()], found[plain]
+            if alone:
+                yield [some[i] for i in alone], None
+
+    def _merged_together(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers and symbols of the rows that have no pair left, after each round of one merge a row."""
+        rows, none = np.arange(len(symbols)), self.place[-1]
+        places = self._places(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            if not places.shape[1]:
+                yield rows, symbols
+                return
+            best = places.argmin(1)
+            piece = places[np.arange(len(rows)), best]
+            on = piece < none
+            if not on.all():
+                yield rows[~on], symbols[~on]
+                rows, symbols, places, best, piece = rows[on], symbols[on], places[on], best[on], piece[on]
+            n = np.arange(len(rows))
+            behind = np.arange(symbols.shape[1] - 1) > best[:, None]
+            symbols = np.where(behind, symbols[:, 1:], symbols[:, :-1])
+            symbols[n, best] = self.symbol_at[piece]
+            places = np.where(behind[:, :-1], places[:, 1:], places[:, :-1])
+            for some, left in ((best > 0, best - 1), (best < places.shape[1], best)):
+                r, k = n[some], left[some]
+                places[r, k] = self._places(symbols[r, k], symbols[r, k + 1])
+
     def merged_short(self, segment: str) -> list[str]:
         """The symbols of a short segment; the agenda is the list of its pairs' scores, in order of position."""
         symbols, score = list(segment), self.scores.get
@@ -137,6 +225,7 @@ class Known(dict):
         super().__init__()
         self.agenda, self.older = agenda, {}
         self.new: list[tuple[str, list[int], str]] = []
+        self.blocks: list[tuple[list[str], np.ndarray, list[str]]] = []
 
     def __missing__(self, segment: str) -> tuple[str, str]:
         found = self.older.pop(segment, None)
@@ -149,19 +238,37 @@ class Known(dict):
             self[segment] = found
         return found
 
+    def learn(self, segments: set[str]) -> None:
+        """Encodes together what is short and not known."""
+        new = segments.difference(self)
+        back = new.intersection(self.older)
+        self.update(zip(back, map(self.older.pop, back), strict=True))
+        new -= back
+        for some, found in self.agenda.encode_segments(new):
+            if found is None:
+                for segment in some:
+                    self[segment]
+                continue
+            # pieces without bytes: the texts of a segment's pieces are the segment
+            n, size = found.shape
+            ids = (("%d," * (size - 1) + "%d\n") * n % tuple(found.ravel().tolist())).split("\n")
+            decoded = [x.replace(SPACE, " ") for x in some]
+            self.update(zip(some, zip(ids, decoded, strict=False), strict=False))
+            self.blocks.append((some, found, decoded))
+
     def check(self, text: str, ids: str, decoded: str) -> None:
         """Compares what is new, and one whole text, with the library."""
         library = self.agenda.library
-        # the library puts a space mark before a text: a segment without one is checked behind a line feed
-        start = library.encode("\n")
-        new = [x for x in self.new if x[0] not in (SPACE, "\n")]
-        theirs = library.encode([x[1:].replace(SPACE, " ") if x[0] == SPACE else f"\n{x}" for x, _, _ in new], num_threads=1) if new else []
-        texts = library.decode(theirs, num_threads=1) if new else []
-        for (segment, own, back), ids_there, text_there in zip(new, theirs, texts, strict=True):
-            spaced = segment[0] == SPACE
-            if (own if spaced else start + own) != ids_there or text_there != (back[1:] if spaced else f"\n{back}"):
-                raise ValueError(f"ids or text differ from the library's for {segment!r}")
-        self.new = []
+        # no merge crosses a line feed: segments are checked as lines, the first one behind the library's own space mark
+        start, feed = library.encode("\n"), self.agenda.encode_segment("\n")
+        for segment, own, back in self.new:
+            self._check_lines([segment], start + own, [back])
+        for some, found, back in self.blocks:
+            lines = np.concatenate([np.tile(np.array(feed, np.int32), (len(found), 1)), found], axis=1)
+            for k in range(0, len(some), CHECKED_AT_ONCE):
+                own = start[: -len(feed)] + lines[k : k + CHECKED_AT_ONCE].ravel().tolist()
+                self._check_lines(some[k : k + CHECKED_AT_ONCE], own, back[k : k + CHECKED_AT_ONCE])
+        self.new, self.blocks = [], []
         found = library.encode(text)
         if ",".join(map(str, found)) != ids or library.decode(found) != decoded:
             raise ValueError("ids or text differ from the library's for a whole text")
@@ -169,6 +276,12 @@ class Known(dict):
             self.older = dict(self)
             self.clear()
 
+    def _check_lines(self, lines: list[str], own: list[int], back: list[str]) -> None:
+        library = self.agenda.library
+        theirs = library.encode("\n" + "\n".join(lines).replace(SPACE, " "))
+        if own != theirs or library.decode(theirs) != "\n" + "\n".join(back):
+            raise ValueError(f"ids or text differ from the library's for one of {lines!r}")
+
 
 @functools.lru_cache(maxsize=2)
 def _agenda(model_file: str) -> Agenda:
@@ -177,7 +290,14 @@ def _agenda(model_file: str) -> Agenda:
 
 def encode_text(known: Known, text: str) -> tuple[str, str]:
     """(ids joined by commas, text decoded from them)"""
-    found = list(map(known.__getitem__, segments(text)))
+    return joined(known, segments(text))
+
+
+def joined(known: Known, cut: list[str]) -> tuple[str, str]:
+    if len(cut) < 2:
+        found = [known[x] for x in cut]
+    else:
+        found = itemgetter(*cut)(known)
     return ",".join([x[0] for x in found]), "".join([x[1] for x in found])[1:]
 
 
@@ -200,8 +320,10 @@ def coded_parts(batches: Iterator[pa.Array], known: Known, digest: bool) -> Iter
     for batch in batches:
         for part in parts(batch):
             rows, longest = [], ("", "", "")
-            for text in part:
-                ids, decoded = encode_text(known, text)
+            cut = list(map(segments, part))
+            known.learn(set().union(*cut))
+            for text, own in zip(part, cut, strict=True):
+                ids, decoded = joined(known, own)
                 if len(longest[0]) <= len(text):
                     longest = text, ids, decoded
                 rows.append((ids.count(",") + 1 if ids else 0, hexed(ids), hexed(decoded)))

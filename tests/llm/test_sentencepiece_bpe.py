@@ -98,3 +98,55 @@ def test_rows(spark):
     for r in found:
         assert (r.n_tokens, r.ids, r.decoded) == ((len(ids), digest(",".join(map(str, ids))), digest("Hello  world\n")) if r.doc_id == 1 else (0, digest(""), digest("")))
     assert frame.limit(0).select(sp.coded(F.col("text"), sp.model_path()).alias("c")).count() == 0
+
+
+def test_new_segments_are_encoded_together(monkeypatch):
+    """A part's new words take no Python agenda each; only ties, bytes and unknown characters do, with the library's ids all the same."""
+    alone = []
+
+    class Watched(sp.Agenda):
+        def encode_segment(self, segment):
+            alone.append(segment)
+            return super().encode_segment(segment)
+
+    words = [f"w{k % 97}ord{'abcdefghij'[k % 10] * (k % 7)}{k}" for k in range(3_000)]
+    texts = [" ".join(words[k : k + 10]) for k in range(0, 3_000, 10)] + ["a    b\n\n  c", "x 中é😀ﷺ y\nThe the", "▁▁a  " + "z" * 300, "", "\n"]
+    found = list(sp.coded_parts(iter([pa.array(texts)]), sp.Known(Watched(sp.model_path())), False))
+    assert [(r["ids"], r["decoded"]) for part in found for r in part.to_pylist()] == [(",".join(map(str, i := LIBRARY.encode(t))), LIBRARY.decode(i)) for t in texts]
+    assert len(alone) < 30
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab th\n\t▁ eé中0x😀  ", max_size=70), max_size=8))
+def test_any_batch(texts):
+    found = list(sp.coded_parts(iter([pa.array(texts, pa.string())]), sp.Known(KNOWN.agenda), False))
+    assert [(r["ids"], r["decoded"]) for part in found for r in part.to_pylist()] == [(",".join(map(str, i := LIBRARY.encode(t))), LIBRARY.decode(i)) for t in texts]
+
+
+@pytest.mark.parametrize("wrong", ["ids", "decoded"])
+def test_a_difference_in_a_block_is_an_error(monkeypatch, wrong):
+    monkeypatch.setattr(sp, "CHECKED_AT_ONCE", 3)
+    known = sp.Known(KNOWN.agenda)
+    known.learn({"▁word", "▁work", "▁wand", "▁walk", "abcd", "▁more"})
+    some, ids, decoded = known.blocks[-1]
+    if wrong == "ids":
+        ids[-1, -1] += 1
+    else:
+        decoded[-1] += "x"
+    with pytest.raises(ValueError, match="library"):
+        known.check("", "", "")
+
+
+def test_blocks_wait_for_one_part_only(monkeypatch):
+    monkeypatch.setattr(sp, "CHARS_AT_ONCE", 400)
+    waiting = []
+
+    class Watched(sp.Known):
+        def check(self, *longest):
+            waiting.append(sum(len(b[0]) for b in self.blocks))
+            super().check(*longest)
+            assert not self.blocks
+
+    texts = [" ".join(f"w{k}x{j}" for j in range(10)) for k in range(60)]
+    list(sp.coded_parts(iter([pa.array(texts)]), Watched(KNOWN.agenda), False))
+    assert 0 < max(waiting) <= 100
