@@ -26,9 +26,10 @@ and a map of the mixed odds, linear between knots, both learned online along the
 after every BLOCK words. The sum of the decisions' logarithms is the score; bits per
 byte follow from it. A text's score depends on nothing but the text and the training texts.
 
-The pieces' odds go to the texts' batches by a join. Broadcast are the trees, the weights
-and the MOST_FREQUENT most frequent words' counts for the unigram base score; counts of
-rarer words, however many, are joined. The driver sees at most GATES * 16^5 sums for the
+The odds of the OFTEN most frequent pieces are broadcast; rarer pieces, however many, carry
+the list of the batches that ask for them, at most one entry a batch, and their odds go
+there. Broadcast are the trees, the weights and the MOST_FREQUENT most frequent words'
+counts for the unigram base score, too; counts of rarer words, however many, are joined. The driver sees at most GATES * 16^5 sums for the
 weights and 2^24 counts of three bytes for the trees.
 
 Defined results: null and empty texts are one end; repeated rows stay; without a
@@ -41,6 +42,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -56,6 +58,7 @@ SHORT = 3
 HEAD = 4
 GATES = 16
 MOST_FREQUENT = 100_000
+OFTEN = 400_000  # pieces
 BLOCK = 4  # words
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 4_000, 8 << 20
 WORDS_AT_ONCE = 30_000
@@ -440,8 +443,10 @@ def fitted_weights(cells: np.ndarray, n: np.ndarray, steps: int = 12) -> np.ndar
 
 
 def odds_of_pieces(pieces: DataFrame, codes: Codes) -> DataFrame:
-    """Of pieces (kind, top, word, n in the training texts): kind, top, word and odds of each, the bytes of its decisions; and rows of cell and m, the sums over all n that the weights are fitted on."""
+    """Of pieces (kind, top, word, n in the training texts): kind, top, word and odds of each, the bytes of its decisions; and rows of cell and m, the sums over all n that the weights are fitted on. Further columns of pieces stay with them."""
     spark = pieces.sparkSession
+    more = [c for c in pieces.columns if c not in ("kind", "top", "word", "n")]
+    their = "".join(f", {c} {pieces.schema[c].dataType.simpleString()}" for c in more)
     shared = spark.sparkContext.broadcast(codes)
 
     def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -491,17 +496,17 @@ def odds_of_pieces(pieces: DataFrame, codes: Codes) -> DataFrame:
             c[at, found.bit] = np.maximum(c[at, found.bit] - 1, 0)
         cell, m = _cells(_looked(counts, found.bit)[n > 0], n[n > 0])
         none, pad = [None] * len(cell), np.full(len(rows), np.nan)
-        names = {c: [*rows[c], *none] for c in ("kind", "top", "word")}
+        names = {c: [*rows[c], *none] for c in ("kind", "top", "word", *more)}
         out = pd.DataFrame({**names, "odds": [*every, *none], "cell": pd.array([*[None] * len(rows), *cell.tolist()], "Int64"), "m": np.concatenate([pad, m])})
         return out.astype({"kind": "Int32"})
 
     order = ["kind", "top", "word"]
     pieces = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
-    pieces = stored(pieces.mapInPandas(grouped, "kind int, top binary, word binary, n long, first binary, last binary, first_top binary, last_top binary, g long"), "vocabulary")
-    contexts = pieces.groupBy("g").applyInPandas(counted, "key long, n0 double, n1 double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    contexts, kinds = stored(contexts, "contexts"), "kind int, top binary, word binary, odds binary, cell long, m double"
+    pieces = stored(pieces.mapInPandas(grouped, "kind int, top binary, word binary, n long, first binary, last binary, first_top binary, last_top binary, g long" + their), "vocabulary", compression="zstd")
+    contexts = pieces.drop(*more).groupBy("g").applyInPandas(counted, "key long, n0 double, n1 double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    contexts, kinds = stored(contexts, "contexts"), "kind int, top binary, word binary, odds binary, cell long, m double" + their
     if contexts.count() > MOST_SHARED:
-        seen = pieces.groupBy("g").applyInPandas(wanted, "g long, key long").join(contexts, "key")
+        seen = pieces.drop(*more).groupBy("g").applyInPandas(wanted, "g long, key long").join(contexts, "key")
         joined = lambda rows, seen: odds(rows, Seen.of(seen))
         return pieces.groupBy("g").cogroup(seen.groupBy("g")).applyInPandas(joined, kinds)
     found = contexts.toArrow()
@@ -580,29 +585,53 @@ def train(counts: DataFrame) -> Codes:
     return huffman(triples["triple"].to_numpy(np.int64), triples["n"].to_numpy(np.float64))
 
 
+def _least(counts: DataFrame, most: int) -> int:
+    """The smallest n that no more than so many rows of counts reach."""
+    total = 0
+    for n, size in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        total += size
+        if total > most:
+            return n + 1
+    return 1
+
+
+def _name(kind: int, top: bytes, word: bytes) -> bytes:
+    """A piece as one string; short words hold no space."""
+    return b"1%b %b" % (top, word) if kind else b"0" + word
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """The numbers' lowest bytes, then the next ones and so on, of which the last are mostly zeros and take no space when compressed."""
+    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
     """The rows of documents without text, with n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     spark = documents.sparkSession
     words = counts.filter("kind = 0").select("word", "n")
     n_words, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least, total = 1, 0
-    for n, size in sorted(words.groupBy("n").count().collect(), reverse=True) if vocabulary > MOST_FREQUENT else []:
-        total += size
-        if total > MOST_FREQUENT:
-            least = n + 1
-            break
+    least = _least(words, MOST_FREQUENT) if vocabulary > MOST_FREQUENT else 1
     most = words.filter(F.col("n") >= least).toArrow()
     frequent = spark.sparkContext.broadcast(dict(zip(most["word"].to_pylist(), most["n"].to_pylist(), strict=True)))
+    learned = counts.filter((F.col("kind") == 1) | (F.length("word") >= HEAD))
+    least_often = _least(learned, OFTEN)
+    most = learned.filter(F.col("n") >= least_often).orderBy(F.desc("n"), "kind", "top", "word").select("kind", "top", "word").toArrow()
+    number_of = {name: k for k, name in enumerate(map(_name, *(most[c].to_pylist() for c in ("kind", "top", "word"))), 1)}
+    often = spark.sparkContext.broadcast(number_of)
     del most
     own = {"text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"}
     names = [c for c in documents.columns if c not in own]
     inner = [f"own_{k}" for k in range(len(names))]  # no name of documents can clash with those in between
     kinds = "".join(f"{i} {documents.schema[c].dataType.simpleString()}, " for i, c in zip(inner, names, strict=True))
-    known = "tokens long, bytes long, known long, base double, rare array<binary>"
-    codings = f"batch long, id int, kind int, top binary, word binary, {kinds}{known}, flat binary"
+    known = "row int, tokens long, bytes long, known long, base double"
+    codings = f"batch long, id int, kind int, top binary, word binary, {kinds}{known}, rare array<binary>, times array<int>, flat binary"
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of each batch of texts: its distinct pieces, and the texts (id null) as numbers of these."""
+        """Of each batch of texts: its distinct pieces but the frequent ones, and the texts (id null) as numbers of these, behind the frequent ones' numbers."""
         number_of_batch = 0
         for whole in batches:
             for batch in _cut(whole):
@@ -610,50 +639,69 @@ def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
                 number_of_batch += 1
                 coded = Coded.of(batch["text"])
                 number, kinds_of, tops, ws = coded.pieces()
-                for k in range(0, len(ws), WORDS_AT_ONCE):
-                    some = pd.DataFrame({"batch": at_batch, "kind": kinds_of[k : k + WORDS_AT_ONCE], "top": tops[k : k + WORDS_AT_ONCE], "word": ws[k : k + WORDS_AT_ONCE]})
-                    some["id"] = np.arange(k + 1, k + 1 + len(some), dtype=np.int32)
+                numbers = np.array([0, *map(often.value.get, map(_name, kinds_of, tops, ws), repeat(0))], np.int32)
+                own = np.flatnonzero(numbers[1:] == 0)
+                numbers[1 + own] = len(often.value) + 1 + np.arange(len(own))
+                for k in range(0, len(own), WORDS_AT_ONCE):
+                    at = own[k : k + WORDS_AT_ONCE].tolist()
+                    some = pd.DataFrame({"batch": at_batch, "kind": [kinds_of[i] for i in at], "top": [tops[i] for i in at], "word": [ws[i] for i in at], "id": numbers[1:][at]})
                     yield some.assign(**{c: None for c in columns if c not in some})[columns]
+                number = numbers[number]
                 del kinds_of, tops, ws
                 seen = np.array([frequent.value.get(w, -1) for w in coded.words], np.float64)
                 text = np.repeat(np.arange(len(batch)), coded.sizes)
                 logs = np.where(seen >= 0, np.log10(np.maximum(seen, 0) + 0.1), 0)[coded.flat]
                 out = batch[inner].reset_index(drop=True)
-                out["batch"] = at_batch
+                out["batch"], out["row"] = at_batch, np.arange(len(batch), dtype=np.int32)
                 out["tokens"], out["bytes"] = coded.sizes, np.bincount(text, np.array([len(symbols_of(w)) for w in coded.words])[coded.flat], len(batch)).astype(np.int64)
                 out["known"] = np.bincount(text, (seen >= 0)[coded.flat], len(batch)).astype(np.int64)
                 out["base"] = np.bincount(text, logs, len(batch))
                 at = np.flatnonzero((seen < 0)[coded.flat])
-                cuts = np.searchsorted(text[at], np.arange(len(batch) + 1))
-                names_of = [coded.words[i] for i in coded.flat[at].tolist()]
+                pair, times = np.unique(text[at] * len(coded.words) + coded.flat[at], return_counts=True)
+                cuts = np.searchsorted(pair // max(1, len(coded.words)), np.arange(len(batch) + 1))
+                names_of = [coded.words[i] for i in (pair % max(1, len(coded.words))).tolist()]
                 out["rare"] = [names_of[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                out["times"] = [times[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:], strict=False)]
                 ends = np.cumsum(2 * coded.sizes).tolist()
-                out["flat"] = [number[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+                out["flat"] = [_planes(number[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
                 yield out.assign(id=None, kind=None, top=None, word=None)[columns]
 
     columns = spark.createDataFrame([], codings).columns
     texts = documents.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, names, strict=True)), F.coalesce("text", F.lit("")).alias("text"))
-    coded = stored(texts.mapInPandas(code, codings), "coded")
-    pieces = coded.filter("id is not null").select("batch", "id", "kind", "top", "word")
-    learned = counts.filter((F.col("kind") == 1) | (F.length("word") >= HEAD))
-    wanted = pieces.select("kind", "top", "word").distinct().join(learned, ["kind", "top", "word"], "full_outer").select("kind", "top", "word", F.coalesce("n", F.lit(0)).alias("n"))
-    odds = stored(odds_of_pieces(stored(wanted, "wanted"), codes), "odds")
+    coded = stored(texts.mapInPandas(code, codings), "coded", compression="zstd")
+    pieces = coded.filter("id is not null").groupBy("kind", "top", "word").agg(F.collect_list(F.struct("batch", "id")).alias("at"))
+    wanted = pieces.join(learned, ["kind", "top", "word"], "full_outer")
+    wanted = wanted.select("kind", "top", "word", F.coalesce("n", F.lit(0)).alias("n"), F.col("at.batch").alias("batches"), F.col("at.id").alias("ids"), (F.coalesce("n", F.lit(0)) >= least_often).alias("often"))
+    odds = stored(odds_of_pieces(stored(wanted, "wanted", compression="zstd"), codes), "odds", compression="zstd")
     cells = odds.filter("cell is not null").groupBy("cell").agg(F.sum("m").alias("m")).toArrow()
     weights = fitted_weights(cells["cell"].to_numpy(), cells["m"].to_numpy())
 
-    def mix(texts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
-        found = scores([np.frombuffer(b, np.int32) for b in texts["flat"]], [b"", *pieces.sort_values("id")["odds"]], weights)
-        return texts.assign(score=found)[[*inner, "tokens", "bytes", "known", "base", "rare", "score"]]
+    most, of_often = odds.filter("cell is null and often").select("kind", "top", "word", "odds").toArrow(), [b""] * (len(number_of) + 1)
+    for k, t, w, found in zip(*(most[c].to_pylist() for c in ("kind", "top", "word", "odds")), strict=True):
+        of_often[number_of[_name(k, t, w)]] = found
+    shared = spark.sparkContext.broadcast(of_often)
+    del most, of_often
 
-    pieces = pieces.join(odds.filter("cell is null").select("kind", "top", "word", "odds"), ["kind", "top", "word"]).select(F.col("batch").alias("of"), "id", "odds")
-    scored = coded.filter("id is null").drop("id", "kind", "top", "word").groupBy("batch").cogroup(pieces.groupBy("of")).applyInPandas(mix, f"{kinds}{known}, score double")
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    def mix(texts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        flat = [_from_planes(b) for b in texts["flat"]]
+        used = np.zeros(len(shared.value) + len(pieces), bool)
+        for numbers in flat:
+            used[numbers] = True
+        number = np.cumsum(used, dtype=np.int32) - 1
+        here = list(compress(chain(shared.value, pieces.sort_values("id")["odds"]), used.tolist()))
+        return texts.assign(score=scores([number[f] for f in flat], here, weights))[["batch", *inner, *own_known, "score"]]
+
+    own_known = ["row", "tokens", "bytes", "known", "base"]
+    pieces = odds.filter("batches is not null").select(F.explode(F.arrays_zip("batches", "ids")).alias("at"), "odds").select(F.col("at.batches").alias("of"), F.col("at.ids").alias("id"), "odds")
+    texts = coded.filter("id is null")
+    scored = texts.select("batch", *inner, *own_known, "flat").groupBy("batch").cogroup(pieces.groupBy("of")).applyInPandas(mix, f"batch long, {kinds}{known}, score double")
+    scored = stored(scored, "scored")
     # the rarer words' counts are joined, each of a text's words once
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("m"))
+    rare = texts.select("batch", "row", F.explode(F.arrays_zip("rare", "times")).alias("at")).select("batch", "row", F.col("at.rare").alias("word"), F.col("at.times").alias("m"))
     rare = rare.join(words.filter(F.col("n") < least), "word", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("rare_known"))
+    rare = rare.groupBy("batch", "row").agg(F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("rare_known"))
     every = F.lit(float(np.log10(n_words + 0.1 * (vocabulary + 1))))
-    found = scored.drop("rare").join(rare, "row", "left")
+    found = scored.join(rare, ["batch", "row"], "left")
     return found.select(
         *(F.col(i).alias(c) for i, c in zip(inner, names, strict=True)), F.col("tokens").alias("n_tokens"), (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_words).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("tokens") * every).alias("base_score"), "score",

@@ -184,3 +184,29 @@ def test_nothing_to_learn_from(spark):
     found = cm.score(frame, cm.train(counts), counts).orderBy("doc_id").collect()
     assert [r.n_tokens for r in found] == [3, 1] and all(r.score < 0 and r.n_known == 0 and r.train_tokens == 0 for r in found)
     assert cm.score(none, cm.train(counts), counts).count() == 0
+
+
+def test_frequent_pieces_are_not_stored_by_batch(spark, monkeypatch):
+    """A piece that training texts hold often is broadcast; whatever is, the scores are the same."""
+    monkeypatch.setattr(cm, "TEXTS_AT_ONCE", 10)
+    _, frame = rows_of(spark)
+    counts = cm.word_counts(frame.filter("doc_id < 100"))
+    model, found, rows = cm.train(counts), [], []
+
+    def watched(df, name, stored=cm.stored, **options):
+        out = stored(df, name, **options)
+        if name == "coded":
+            rows.append(out.filter("id is not null").count())
+        return out
+
+    monkeypatch.setattr(cm, "stored", watched)
+    for often in (0, 20, 10**6):
+        monkeypatch.setattr(cm, "OFTEN", often)
+        found.append(sorted((r.doc_id, r.n_known, r.base_score, r.score) for r in cm.score(frame.repartition(3, "doc_id"), model, counts).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 125
+    assert rows[0] > rows[1] > rows[2] > 0  # words of the texts without a number in training stay in their batches
+
+
+def test_numbers_in_planes():
+    for numbers in ([], [0], [1, 300, 70_000, 2**31 - 1]):
+        assert cm._from_planes(cm._planes(np.array(numbers, np.int32))).tolist() == numbers
