@@ -29,7 +29,7 @@ byte follow from it. A text's score depends on nothing but the text and the trai
 The odds of the OFTEN most frequent pieces are broadcast; rarer pieces, however many, carry
 the list of the batches that ask for them, at most one entry a batch, and their odds go
 there. Broadcast are the trees, the weights and the MOST_FREQUENT most frequent words'
-counts for the unigram base score, too; counts of rarer words, however many, are joined. The driver sees at most GATES * 16^5 sums for the
+counts for the unigram base score, too; counts of rarer words, however many, come with their rests or, of words without a rest, by a join. The driver sees at most GATES * 16^5 sums for the
 weights and 2^24 counts of three bytes for the trees.
 
 Defined results: null and empty texts are one end; repeated rows stay; without a
@@ -656,7 +656,8 @@ def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
                 out["tokens"], out["bytes"] = coded.sizes, np.bincount(text, np.array([len(symbols_of(w)) for w in coded.words])[coded.flat], len(batch)).astype(np.int64)
                 out["known"] = np.bincount(text, (seen >= 0)[coded.flat], len(batch)).astype(np.int64)
                 out["base"] = np.bincount(text, logs, len(batch))
-                at = np.flatnonzero((seen < 0)[coded.flat])
+                brief = np.array([len(w) < HEAD for w in coded.words], bool)
+                at = np.flatnonzero(((seen < 0) & brief)[coded.flat])
                 pair, times = np.unique(text[at] * len(coded.words) + coded.flat[at], return_counts=True)
                 cuts = np.searchsorted(pair // max(1, len(coded.words)), np.arange(len(batch) + 1))
                 names_of = [coded.words[i] for i in (pair % max(1, len(coded.words))).tolist()]
@@ -671,34 +672,42 @@ def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
     coded = stored(texts.mapInPandas(code, codings), "coded", compression="zstd")
     pieces = coded.filter("id is not null").groupBy("kind", "top", "word").agg(F.collect_list(F.struct("batch", "id")).alias("at"))
     wanted = pieces.join(learned, ["kind", "top", "word"], "full_outer")
-    wanted = wanted.select("kind", "top", "word", F.coalesce("n", F.lit(0)).alias("n"), F.col("at.batch").alias("batches"), F.col("at.id").alias("ids"), (F.coalesce("n", F.lit(0)) >= least_often).alias("often"))
+    wanted = wanted.select("kind", "top", "word", F.coalesce("n", F.lit(0)).alias("n"), F.col("at.batch").alias("batches"), F.col("at.id").alias("ids"), F.coalesce("n", F.lit(0)).alias("seen"))
     odds = stored(odds_of_pieces(stored(wanted, "wanted", compression="zstd"), codes), "odds", compression="zstd")
     cells = odds.filter("cell is not null").groupBy("cell").agg(F.sum("m").alias("m")).toArrow()
     weights = fitted_weights(cells["cell"].to_numpy(), cells["m"].to_numpy())
 
-    most, of_often = odds.filter("cell is null and often").select("kind", "top", "word", "odds").toArrow(), [b""] * (len(number_of) + 1)
-    for k, t, w, found in zip(*(most[c].to_pylist() for c in ("kind", "top", "word", "odds")), strict=True):
-        of_often[number_of[_name(k, t, w)]] = found
-    shared = spark.sparkContext.broadcast(of_often)
-    del most, of_often
+    most = odds.filter(F.col("cell").isNull() & (F.col("seen") >= least_often)).select("kind", "top", "word", "odds", "seen").toArrow()
+    of_often, n_often = [b""] * (len(number_of) + 1), np.zeros(len(number_of) + 1, np.int64)
+    for k, t, w, found, n in zip(*(most[c].to_pylist() for c in ("kind", "top", "word", "odds", "seen")), strict=True):
+        at = number_of[_name(k, t, w)]
+        of_often[at], n_often[at] = found, n
+    shared = spark.sparkContext.broadcast((of_often, n_often))
+    del most, of_often, n_often
 
     def mix(texts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
-        flat = [_from_planes(b) for b in texts["flat"]]
-        used = np.zeros(len(shared.value) + len(pieces), bool)
-        for numbers in flat:
-            used[numbers] = True
+        flat, pieces = [_from_planes(b) for b in texts["flat"]], pieces.sort_values("id")
+        every, (of_often, n_often) = np.concatenate(flat), shared.value
+        used = np.zeros(len(of_often) + len(pieces), bool)
+        used[every] = True
         number = np.cumsum(used, dtype=np.int32) - 1
-        here = list(compress(chain(shared.value, pieces.sort_values("id")["odds"]), used.tolist()))
+        here = list(compress(chain(of_often, pieces["odds"]), used.tolist()))
+        # a rest is its whole word: the rarer words' counts come with the rests
+        rest, n = every[1::2], np.concatenate([n_often, pieces["seen"].to_numpy(np.int64)])
+        text, rarer = np.repeat(np.arange(len(flat)), [len(f) // 2 for f in flat]), (rest > 0) & (n[rest] < least)
+        text, n = text[rarer], n[rest[rarer]]
+        texts["base"] += np.bincount(text, np.log10(n + 0.1), len(flat))
+        texts["known"] += np.bincount(text[n > 0], minlength=len(flat))
         return texts.assign(score=scores([number[f] for f in flat], here, weights))[["batch", *inner, *own_known, "score"]]
 
     own_known = ["row", "tokens", "bytes", "known", "base"]
-    pieces = odds.filter("batches is not null").select(F.explode(F.arrays_zip("batches", "ids")).alias("at"), "odds").select(F.col("at.batches").alias("of"), F.col("at.ids").alias("id"), "odds")
+    pieces = odds.filter("batches is not null").select(F.explode(F.arrays_zip("batches", "ids")).alias("at"), "odds", "seen").select(F.col("at.batches").alias("of"), F.col("at.ids").alias("id"), "odds", "seen")
     texts = coded.filter("id is null")
     scored = texts.select("batch", *inner, *own_known, "flat").groupBy("batch").cogroup(pieces.groupBy("of")).applyInPandas(mix, f"batch long, {kinds}{known}, score double")
     scored = stored(scored, "scored")
-    # the rarer words' counts are joined, each of a text's words once
+    # the counts of rarer words without a rest are joined, each of a text's words once
     rare = texts.select("batch", "row", F.explode(F.arrays_zip("rare", "times")).alias("at")).select("batch", "row", F.col("at.rare").alias("word"), F.col("at.times").alias("m"))
-    rare = rare.join(words.filter(F.col("n") < least), "word", "left")
+    rare = rare.join(words.filter((F.col("n") < least) & (F.length("word") < HEAD)), "word", "left")
     rare = rare.groupBy("batch", "row").agg(F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("rare_known"))
     every = F.lit(float(np.log10(n_words + 0.1 * (vocabulary + 1))))
     found = scored.join(rare, ["batch", "row"], "left")
