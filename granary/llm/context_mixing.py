@@ -26,10 +26,10 @@ and a map of the mixed odds, linear between knots, both learned online along the
 after every BLOCK words. The sum of the decisions' logarithms is the score; bits per
 byte follow from it. A text's score depends on nothing but the text and the training texts.
 
-The odds of the OFTEN most frequent pieces are broadcast; rarer pieces, however many, carry
+The odds of the OFTEN most frequent pieces (but long ones) are broadcast; rarer pieces, however many, carry
 the list of the batches that ask for them, at most one entry a batch, and their odds go
 there. Broadcast are the trees, the weights and the MOST_FREQUENT most frequent words'
-counts for the unigram base score, too; counts of rarer words, however many, come with their rests or, of words without a rest, by a join. The driver sees at most GATES * 16^5 sums for the
+counts for the unigram base score, too; counts of rarer words, however many, come with their rests or, of words without a rest, by a join. The driver sees these, at most GATES * 16^5 sums for the
 weights and 2^24 counts of three bytes for the trees.
 
 Defined results: null and empty texts are one end; repeated rows stay; without a
@@ -58,7 +58,7 @@ SHORT = 3
 HEAD = 4
 GATES = 16
 MOST_FREQUENT = 100_000
-OFTEN = 400_000  # pieces
+OFTEN, LONGEST_OFTEN = 400_000, 64  # pieces, of so many bytes at most
 BLOCK = 4  # words
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 4_000, 8 << 20
 WORDS_AT_ONCE = 30_000
@@ -618,8 +618,9 @@ def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
     most = words.filter(F.col("n") >= least).toArrow()
     frequent = spark.sparkContext.broadcast(dict(zip(most["word"].to_pylist(), most["n"].to_pylist(), strict=True)))
     learned = counts.filter((F.col("kind") == 1) | (F.length("word") >= HEAD))
-    least_often = _least(learned, OFTEN)
-    most = learned.filter(F.col("n") >= least_often).orderBy(F.desc("n"), "kind", "top", "word").select("kind", "top", "word").toArrow()
+    brief = learned.filter(F.length("word") <= LONGEST_OFTEN)
+    least_often = _least(brief, OFTEN)
+    most = brief.filter(F.col("n") >= least_often).orderBy(F.desc("n"), "kind", "top", "word").select("kind", "top", "word").toArrow()
     number_of = {name: k for k, name in enumerate(map(_name, *(most[c].to_pylist() for c in ("kind", "top", "word"))), 1)}
     often = spark.sparkContext.broadcast(number_of)
     del most
@@ -677,7 +678,7 @@ def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
     cells = odds.filter("cell is not null").groupBy("cell").agg(F.sum("m").alias("m")).toArrow()
     weights = fitted_weights(cells["cell"].to_numpy(), cells["m"].to_numpy())
 
-    most = odds.filter(F.col("cell").isNull() & (F.col("seen") >= least_often)).select("kind", "top", "word", "odds", "seen").toArrow()
+    most = odds.filter(F.col("cell").isNull() & (F.col("seen") >= least_often) & (F.length("word") <= LONGEST_OFTEN)).select("kind", "top", "word", "odds", "seen").toArrow()
     of_often, n_often = [b""] * (len(number_of) + 1), np.zeros(len(number_of) + 1, np.int64)
     for k, t, w, found, n in zip(*(most[c].to_pylist() for c in ("kind", "top", "word", "odds", "seen")), strict=True):
         at = number_of[_name(k, t, w)]

@@ -203,7 +203,9 @@ def test_frequent_pieces_are_not_stored_by_batch(spark, monkeypatch):
     for often in (0, 20, 10**6):
         monkeypatch.setattr(cm, "OFTEN", often)
         found.append(sorted((r.doc_id, r.n_known, r.base_score, r.score) for r in cm.score(frame.repartition(3, "doc_id"), model, counts).collect()))
-    assert found[0] == found[1] == found[2] and len(found[0]) == 125
+    monkeypatch.setattr(cm, "LONGEST_OFTEN", 3)  # longer pieces stay in their batches however frequent
+    found.append(sorted((r.doc_id, r.n_known, r.base_score, r.score) for r in cm.score(frame.repartition(3, "doc_id"), model, counts).collect()))
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 125 and rows[3] > rows[2]
     assert rows[0] > rows[1] > rows[2] > 0  # words of the texts without a number in training stay in their batches
 
 
