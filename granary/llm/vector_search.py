@@ -5,9 +5,10 @@ the largest squared norm less the vector's own; zero for queries). Centroids com
 from a tree of balanced two-means splits of a bounded sample. Every vector joins the
 list of its nearest centroid, and further lists where it lies near their boundary: a
 centroid within (1 + NEAR) of the nearest distance that no chosen one stands closer
-to. Centroids are searched best-first over their neighbour graph; a query's lists
-are those within (1 + ratio) of its nearest centroid's distance, the ratio being
-the smallest that finds RECALL of the true neighbours within the sample.
+to. The distances of ROWS_AT_ONCE vectors to all centroids are one matrix product; a
+query's lists are those within (1 + ratio) of its nearest centroid's distance, the
+ratio being the smallest that finds RECALL of the true neighbours within the sample
+(of the k nearest in the table, the sample holds its share).
 
 Lists are dealt out in shards, salted by vector and by query where they are long, and
 scored as matrix products with exact double-precision scores for what is returned.
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import heappop, heappush
 from math import ceil
 
 import numpy as np
@@ -39,12 +39,12 @@ from granary.llm.common import stored, table
 SAMPLE = 16_384
 LIST_SIZE = 128
 MOST_LISTS = 8_192
-LISTS_A_SHARD = 16
+LEAST_IN_SHARD, MOST_IN_SHARD = 16, 64  # lists
 ROWS_A_GROUP = 16_384
 QUERIES_A_GROUP = 4_096
+ROWS_AT_ONCE = 512
 REPLICAS = 4
 NEAR = 0.1
-DEGREE = 24
 LEAST_LISTS = 8
 RECALL = 0.97
 
@@ -72,7 +72,6 @@ def split_balanced(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
 @dataclass
 class Index:
     centroids: np.ndarray
-    neighbours: np.ndarray  # of each centroid in the graph, nearest first
     top: float  # largest squared norm
     ratio: float = 0.0
 
@@ -80,75 +79,51 @@ class Index:
         last = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, self.top - (x * x).sum(1)))
         return np.column_stack([x, last])
 
-    def search(self, q: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the centroids within (1 + ratio) of the nearest one, at least so many, nearest first, best-first over the graph."""
-        seen = {0}
-        open_ = [(float(np.linalg.norm(self.centroids[0] - q)), 0)]
-        found: list[tuple[float, int]] = []
-        best, nearest = np.inf, []
-        while open_:
-            d, c = heappop(open_)
-            best = min(best, d)
-            # what lies beyond both the ratio and the nearest ones so far ends the walk
-            if len(found) >= 2 * least and d > (1 + ratio) * best and d > nearest[least - 1]:
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """Of all rows of q to all centroids, as one matrix product."""
+        squares = (q * q).sum(1)[:, None] + (self.centroids**2).sum(1)[None] - 2 * q @ self.centroids.T
+        return np.sqrt(np.maximum(0, squares))
+
+    def searched(self, q: np.ndarray, ratio: float, least: int) -> np.ndarray:
+        """By row of q, which lists are searched: those within (1 + ratio) of the nearest centroid's distance, and so many nearest ones at least."""
+        d = self.distances(q)
+        least = min(least, d.shape[1])
+        return d <= np.maximum((1 + ratio) * d.min(1), np.partition(d, least - 1, axis=1)[:, least - 1])[:, None]
+
+    def holding(self, x: np.ndarray) -> np.ndarray:
+        """By row of x, which lists hold it: its nearest centroid's, and boundary replicas."""
+        d = self.distances(x)
+        open_ = np.where(d <= (1 + NEAR) * d.min(1)[:, None], d, np.inf)
+        held, rows = np.zeros(d.shape, bool), np.arange(len(x))
+        for _ in range(REPLICAS):
+            nearest = open_[rows].argmin(1)
+            held[rows, nearest] = True
+            # what stands closer to the chosen centroid than to the vector gets no replica
+            open_[rows] = np.where(self.distances(self.centroids[nearest]) > d[rows], open_[rows], np.inf)
+            open_[rows, nearest] = np.inf
+            rows = rows[np.isfinite(open_[rows]).any(1)]
+            if not len(rows):
                 break
-            found.append((d, c))
-            nearest = sorted([*nearest, d])[: 2 * least]
-            new = [n for n in self.neighbours[c].tolist() if n not in seen]
-            if new:
-                seen.update(new)
-                gap = self.centroids[new] - q
-                for x, n in zip(np.sqrt((gap * gap).sum(1)).tolist(), new, strict=True):
-                    heappush(open_, (x, n))
-        found.sort()
-        kept = [x for i, x in enumerate(found) if i < least or x[0] <= (1 + ratio) * found[0][0]]
-        return np.array([c for _, c in kept]), np.array([d for d, _ in kept])
-
-    def lists_of(self, v: np.ndarray) -> list[int]:
-        """The lists that hold a vector: its nearest centroid's, and boundary replicas."""
-        ids, distances = self.search(v, NEAR, 1)
-        chosen: list[int] = []
-        for c, d in zip(ids.tolist(), distances.tolist(), strict=True):
-            if len(chosen) < REPLICAS and all(np.linalg.norm(self.centroids[c] - self.centroids[o]) > d for o in chosen):
-                chosen.append(c)
-        return chosen
-
-
-def graph_of(centroids: np.ndarray, degree: int = DEGREE) -> np.ndarray:
-    """Nearest neighbours of each centroid, and its neighbours in the order of the tree, so that the graph is connected."""
-    n = len(centroids)
-    norms = (centroids**2).sum(1)
-    out = np.zeros((n, min(degree, n - 1) + 2), np.int64)
-    for a in range(0, n, 512):
-        d = norms[None] - 2 * centroids[a : a + 512] @ centroids.T
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        out[a : a + 512, :-2] = np.argsort(d, axis=1)[:, : out.shape[1] - 2]
-    at = np.arange(n)
-    out[:, -2], out[:, -1] = (at + 1) % n, (at - 1) % n
-    return out
+        return held
 
 
 def build(sample: np.ndarray, top: float, total: int, k: int) -> Index:
     """An index for total vectors from a sample of them."""
-    index = Index(np.zeros((0, 0)), np.zeros((0, 0), np.int64), top)
+    index = Index(np.zeros((0, 0)), top)
     x = index.lifted(sample)
     lists = max(1, min(MOST_LISTS, ceil(total / LIST_SIZE), len(x)))
     index.centroids = split_balanced(x, lists)
-    index.neighbours = graph_of(index.centroids)
-    # the ratio: true neighbours of some sample rows within the sample, and how far their nearest lists are
-    rows = np.linspace(0, len(x) - 1, min(200, len(x))).astype(int)
+    # the ratio: true neighbours of some sample rows within the sample, as many as of k the sample holds, and how far their nearest lists are
+    some = max(1, min(ceil(k * len(x) / max(total, 1)), k, len(x) - 1))
+    rows = np.unique(np.linspace(0, len(x) - 1, min(200 * ceil(k / some), 2_000, len(x))).astype(int))
     needed = []
-    lists_of: dict[int, list[int]] = {}
-    for i in rows:
-        scores = sample @ sample[i]
-        scores[i] = -np.inf
-        q = index.lifted(sample[i : i + 1], query=True)[0]
-        d = np.linalg.norm(index.centroids - q, axis=1)
-        for j in np.argsort(-scores)[: min(k, len(x) - 1)].tolist():
-            if j not in lists_of:
-                lists_of[j] = index.lists_of(x[j])
-            needed.append(d[lists_of[j]].min() / max(d.min(), 1e-12) - 1)
-    index.ratio = float(np.quantile(needed, RECALL)) if needed else 0.0
+    for part in np.array_split(rows, ceil(len(rows) / ROWS_AT_ONCE)) if len(x) > 1 else ():
+        scores = sample[part] @ sample.T
+        scores[np.arange(len(part)), part] = -np.inf
+        d = index.distances(index.lifted(sample[part], query=True))
+        for near, own in zip(np.argpartition(-scores, some - 1, axis=1)[:, :some], d, strict=True):
+            needed.append(np.where(index.holding(x[near]), own, np.inf).min(1) / max(own.min(), 1e-12) - 1)
+    index.ratio = float(np.quantile(np.concatenate(needed), RECALL)) if needed else 0.0
     return index
 
 
@@ -181,38 +156,30 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec
     index = build(fitted, top, total, k)
     shared = spark.sparkContext.broadcast(index)
     n_queries = asking.count()
-    shards = ceil(len(index.centroids) / LISTS_A_SHARD)
+    # a query goes once to each shard that it searches: few and large ones, but enough for many tasks
+    in_shard = max(LEAST_IN_SHARD, min(MOST_IN_SHARD, len(index.centroids) // 16))
+    shards = ceil(len(index.centroids) / in_shard)
     salts = ceil(total * REPLICAS / shards / ROWS_A_GROUP)
     blocks = max(1, ceil(n_queries / QUERIES_A_GROUP))
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.stack(batch["v"].to_list())
-            out = []
-            for c, v, lifted in zip(batch["c"], x, shared.value.lifted(x), strict=True):
-                by_shard: dict[int, list[int]] = {}
-                for one in shared.value.lists_of(lifted):
-                    by_shard.setdefault(one // LISTS_A_SHARD, []).append(one)
-                out += [(shard, lists, c, v.tobytes()) for shard, lists in by_shard.items()]
-            yield pd.DataFrame(out, columns=["shard", "lists", "c", "v"])
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dealt(batches: Iterator[pd.DataFrame], query: bool) -> Iterator[pd.DataFrame]:
+        """A row for each vector and shard in which it has lists."""
+        index = shared.value
         for batch in batches:
-            x = np.stack(batch["v"].to_list())
-            out = []
-            for c, v, q in zip(batch["c"], x, shared.value.lifted(x, query=True), strict=True):
-                ids = shared.value.search(q, shared.value.ratio, LEAST_LISTS)[0]
-                by_shard = {}
-                for one in ids.tolist():
-                    by_shard.setdefault(one // LISTS_A_SHARD, []).append(one)
-                out += [(shard, lists, c, v.tobytes()) for shard, lists in by_shard.items()]
-            yield pd.DataFrame(out, columns=["shard", "lists", "c", "v"])
+            for a in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[a : a + ROWS_AT_ONCE]
+                x = np.stack(part["v"].to_list())
+                lifted = index.lifted(x, query)
+                row, one = np.nonzero(index.searched(lifted, index.ratio, LEAST_LISTS) if query else index.holding(lifted))
+                first = np.flatnonzero(np.diff(row * shards + one // in_shard, prepend=-1))
+                data = [v.tobytes() for v in x]
+                yield pd.DataFrame({"shard": one[first] // in_shard, "lists": np.split(one, first[1:]), "c": part["c"].to_numpy()[row[first]], "v": [data[i] for i in row[first]]})
 
     columns = "shard long, lists array<long>, c long, v binary"
     salted = lambda n: F.pmod(F.xxhash64("c"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    posted = classes.select("c", "v").mapInPandas(post, columns).withColumn("salt", salted(salts)).withColumn("block", every(blocks))
-    asked = classes.join(asking.select("key").distinct(), "key", "left_semi").select("c", "v").mapInPandas(ask, columns)
+    posted = classes.select("c", "v").mapInPandas(lambda batches: dealt(batches, False), columns).withColumn("salt", salted(salts)).withColumn("block", every(blocks))
+    asked = classes.join(asking.select("key").distinct(), "key", "left_semi").select("c", "v").mapInPandas(lambda batches: dealt(batches, True), columns)
     asked = asked.withColumn("salt", every(salts)).withColumn("block", salted(blocks))
 
     def score(posted: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -220,8 +187,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec
         if len(posted) and len(asked):
             x, q = (np.frombuffer(b"".join(part["v"]), np.float64).reshape(len(part), -1) for part in (posted, asked))
             ids = posted["c"].to_numpy()
-            first = int(posted["shard"].iloc[0]) * LISTS_A_SHARD
-            held, wanted = (np.zeros((len(part), LISTS_A_SHARD), np.float32) for part in (posted, asked))
+            first = int(posted["shard"].iloc[0]) * in_shard
+            held, wanted = (np.zeros((len(part), in_shard), np.float32) for part in (posted, asked))
             for mask, part in ((held, posted), (wanted, asked)):
                 at = np.repeat(np.arange(len(part)), [len(one) for one in part["lists"]])
                 mask[at, np.concatenate(part["lists"].to_list()) - first] = 1

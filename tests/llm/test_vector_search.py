@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm.vector_search import nearest
+from granary.llm.vector_search import LEAST_LISTS, NEAR, REPLICAS, build, nearest
 
 
 def brute(rows, asks, k):
@@ -44,3 +44,31 @@ def test_few_and_none(spark):
     assert [(r.vec_id, r.score) for r in nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 0.5), (2, 0.0)]
     assert nearest(few.limit(0), F.lit(True)).count() == 0
     assert nearest(few.filter("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def test_lists_of_a_batch_are_those_of_each_vector():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3_000, 6)) * rng.uniform(0.5, 2, size=(3_000, 1))
+    index = build(x, (x * x).sum(1).max(), len(x), 20)
+    lifted, asked = index.lifted(x[:300]), index.lifted(x[:300], query=True)
+    held, searched = index.holding(lifted), index.searched(asked, index.ratio, LEAST_LISTS)
+    for i in range(300):
+        d = np.linalg.norm(index.centroids - lifted[i], axis=1)
+        chosen = []
+        for c in np.argsort(d):
+            if d[c] <= (1 + NEAR) * d.min() and len(chosen) < REPLICAS and all(np.linalg.norm(index.centroids[c] - index.centroids[o]) > d[c] for o in chosen):
+                chosen.append(c)
+        assert set(np.flatnonzero(held[i])) == set(chosen)
+        d = np.linalg.norm(index.centroids - asked[i], axis=1)
+        assert set(np.flatnonzero(searched[i])) == set(np.flatnonzero((d <= (1 + index.ratio) * d.min()) | (d <= np.sort(d)[LEAST_LISTS - 1])))
+    assert held.sum(1).max() > 1
+
+
+def test_a_thin_sample_does_not_widen_the_search():
+    # the sample's 20th neighbour is far beyond the table's 20th: the ratio must follow the table's
+    x = np.random.default_rng(6).normal(size=(4_000, 8))
+    top, asked = (x * x).sum(1).max(), slice(0, 200)
+    whole = build(x[:1_000], top, 1_000, 20)
+    thin = build(x[:1_000], top, 20_000, 20)
+    shares = [one.searched(one.lifted(x[asked], query=True), one.ratio, LEAST_LISTS).mean() for one in (whole, thin)]
+    assert shares[1] < 0.7 * shares[0]
