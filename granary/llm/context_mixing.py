@@ -46,6 +46,7 @@ from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ BLOCK = 4  # words
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 4_000, 8 << 20
 WORDS_AT_ONCE = 30_000
 MOST_SHARED = 3_000_000
-DECISIONS_AT_ONCE = 1 << 19
+DECISIONS_AT_ONCE, NUMBERS_AT_ONCE = 1 << 19, 1 << 20
 RATE, BEND = 0.015, 0.002
 KNOTS = (np.float32(1.5), np.float32(4.0))
 SCALE = 12
@@ -609,6 +610,45 @@ def _from_planes(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of pieces with the batches that ask for them: for each of these one row of ids, counts, sizes and odds, the odds column by column, packed."""
+    for part in batches:
+        asked = part["batches"].str.len().to_numpy(np.int64)
+        if not len(asked):
+            continue
+        of, ids = np.concatenate(part["batches"].to_list()), np.concatenate(part["ids"].to_list())
+        order = np.argsort(of, kind="stable")
+        piece, seen, every = np.repeat(np.arange(len(part)), asked)[order], part["seen"].to_numpy(np.int64), part["odds"].to_list()
+        names, first = np.unique(of[order], return_index=True)
+        for name, some, own in zip(names.tolist(), np.split(piece, first[1:]), np.split(ids[order], first[1:]), strict=True):
+            odds = [every[i] for i in some.tolist()]
+            data = np.frombuffer(b"".join(odds), np.uint8).reshape(-1, N + 1).T.tobytes()
+            numbers = np.stack([own.astype(np.int64), seen[some], np.fromiter(map(len, odds), np.int64, len(odds))])
+            yield pd.DataFrame({"of": [name], "n": [len(odds)], "pieces": [_packed(numbers.astype("<i8").tobytes() + data)]})
+
+
+def _received(rows: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
+    """What _sent sent to one batch, in the order of the ids: the counts and the odds."""
+    ids, counts, odds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for n, packed in zip(rows["n"], rows["pieces"], strict=True):
+        data = _unpacked(packed)
+        own, seen, sizes = np.frombuffer(data, "<i8", 3 * n).reshape(3, n)
+        flat, ends = np.frombuffer(data, np.uint8, offset=24 * n).reshape(N + 1, -1).T.tobytes(), np.cumsum(sizes).tolist()
+        odds += [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        ids.append(own)
+        counts.append(seen)
+    order = np.argsort(np.concatenate(ids), kind="stable")
+    return np.concatenate(counts)[order], [odds[i] for i in order.tolist()]
+
+
 def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
     """The rows of documents without text, with n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     spark = documents.sparkSession
@@ -632,7 +672,7 @@ def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
     codings = f"batch long, id int, kind int, top binary, word binary, {kinds}{known}, rare array<binary>, times array<int>, flat binary"
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of each batch of texts: its distinct pieces but the frequent ones, and the texts (id null) as numbers of these, behind the frequent ones' numbers."""
+        """Of each batch of texts: its distinct pieces but the frequent ones; the texts (id and flat null); and all texts one after the other as numbers of pieces, behind the frequent ones' numbers, packed (flat)."""
         number_of_batch = 0
         for whole in batches:
             for batch in _cut(whole):
@@ -664,9 +704,11 @@ def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
                 names_of = [coded.words[i] for i in (pair % max(1, len(coded.words))).tolist()]
                 out["rare"] = [names_of[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
                 out["times"] = [times[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:], strict=False)]
-                ends = np.cumsum(2 * coded.sizes).tolist()
-                out["flat"] = [_planes(number[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-                yield out.assign(id=None, kind=None, top=None, word=None)[columns]
+                yield out.assign(id=None, kind=None, top=None, word=None, flat=None)[columns]
+                cuts = range(0, len(number), NUMBERS_AT_ONCE)
+                # the first text's own columns, so that these hold no nulls that are not there
+                flat = out.iloc[[0] * len(cuts)].assign(row=np.arange(len(cuts), dtype=np.int32), rare=None, times=None, flat=[_packed(_planes(number[a : a + NUMBERS_AT_ONCE])) for a in cuts])
+                yield flat.assign(id=None, kind=None, top=None, word=None)[columns]
 
     columns = spark.createDataFrame([], codings).columns
     texts = documents.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, names, strict=True)), F.coalesce("text", F.lit("")).alias("text"))
@@ -687,14 +729,16 @@ def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
     del most, of_often, n_often
 
     def mix(texts: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
-        flat, pieces = [_from_planes(b) for b in texts["flat"]], pieces.sort_values("id")
-        every, (of_often, n_often) = np.concatenate(flat), shared.value
-        used = np.zeros(len(of_often) + len(pieces), bool)
+        packed = texts["flat"].notna()
+        every, texts = np.concatenate([_from_planes(_unpacked(b)) for b in texts[packed].sort_values("row")["flat"]]), texts[~packed].sort_values("row")
+        flat = np.split(every, np.cumsum(2 * texts["tokens"].to_numpy())[:-1])
+        (seen, odds_here), (of_often, n_often) = _received(pieces), shared.value
+        used = np.zeros(len(of_often) + len(seen), bool)
         used[every] = True
         number = np.cumsum(used, dtype=np.int32) - 1
-        here = list(compress(chain(of_often, pieces["odds"]), used.tolist()))
+        here = list(compress(chain(of_often, odds_here), used.tolist()))
         # a rest is its whole word: the rarer words' counts come with the rests
-        rest, n = every[1::2], np.concatenate([n_often, pieces["seen"].to_numpy(np.int64)])
+        rest, n = every[1::2], np.concatenate([n_often, seen])
         text, rarer = np.repeat(np.arange(len(flat)), [len(f) // 2 for f in flat]), (rest > 0) & (n[rest] < least)
         text, n = text[rarer], n[rest[rarer]]
         texts["base"] += np.bincount(text, np.log10(n + 0.1), len(flat))
@@ -702,9 +746,9 @@ def score(documents: DataFrame, codes: Codes, counts: DataFrame) -> DataFrame:
         return texts.assign(score=scores([number[f] for f in flat], here, weights))[["batch", *inner, *own_known, "score"]]
 
     own_known = ["row", "tokens", "bytes", "known", "base"]
-    pieces = odds.filter("batches is not null").select(F.explode(F.arrays_zip("batches", "ids")).alias("at"), "odds", "seen").select(F.col("at.batches").alias("of"), F.col("at.ids").alias("id"), "odds", "seen")
-    texts = coded.filter("id is null")
-    scored = texts.select("batch", *inner, *own_known, "flat").groupBy("batch").cogroup(pieces.groupBy("of")).applyInPandas(mix, f"batch long, {kinds}{known}, score double")
+    pieces = odds.filter("batches is not null").select("batches", "ids", "odds", "seen").mapInPandas(_sent, "of long, n int, pieces binary")
+    texts = coded.filter("id is null and flat is null")
+    scored = coded.filter("id is null").select("batch", *inner, *own_known, "flat").groupBy("batch").cogroup(pieces.groupBy("of")).applyInPandas(mix, f"batch long, {kinds}{known}, score double")
     scored = stored(scored, "scored")
     # the counts of rarer words without a rest are joined, each of a text's words once
     rare = texts.select("batch", "row", F.explode(F.arrays_zip("rare", "times")).alias("at")).select("batch", "row", F.col("at.rare").alias("word"), F.col("at.times").alias("m"))

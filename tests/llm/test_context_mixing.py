@@ -1,12 +1,18 @@
 import math
+import os
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import granary.llm.context_mixing as cm
+from granary.llm.common import CLEANUP
 
 WORDS = [f"{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in ("", "n", "rst")]
 
@@ -212,3 +218,54 @@ def test_frequent_pieces_are_not_stored_by_batch(spark, monkeypatch):
 def test_numbers_in_planes():
     for numbers in ([], [0], [1, 300, 70_000, 2**31 - 1]):
         assert cm._from_planes(cm._planes(np.array(numbers, np.int32))).tolist() == numbers
+
+
+def test_pieces_come_to_each_batch_that_asks():
+    rng = np.random.default_rng(8)
+    odds = [rng.integers(-9, 9, (n, cm.N + 1)).astype(np.int8).tobytes() for n in rng.integers(0, 9, 300)]
+    asked = [rng.choice(7, rng.integers(1, 5), replace=False).astype(np.int64) << 32 for _ in odds]
+    ids = [rng.integers(0, 2**31 - 1, len(a)) for a in asked]
+    rows = pd.DataFrame({"batches": asked, "ids": ids, "odds": odds, "seen": rng.integers(0, 2**40, len(odds))})
+    sent = pd.concat(cm._sent(iter([rows.iloc[:120], rows.iloc[120:120], rows.iloc[120:]])))
+    assert len(sent) == 14  # one row a batch and part, not one a piece
+    for of, some in sent.groupby("of"):
+        expected = sorted((int(i), int(rows["seen"][k]), odds[k]) for k in range(300) for b, i in zip(asked[k], ids[k], strict=True) if b == of)
+        seen, found = cm._received(some)
+        assert seen.tolist() == [n for _, n, _ in expected] and found == [o for _, _, o in expected]
+    seen, found = cm._received(sent.iloc[:0])
+    assert len(seen) == len(found) == 0
+
+
+def test_texts_are_stored_by_batch(spark, monkeypatch):
+    """Packed as they are, the numbers of a batch's texts give the same scores, however they are cut."""
+    _, frame = rows_of(spark)
+    counts = cm.word_counts(frame)
+    model, found, rows = cm.train(counts), [], []
+
+    def watched(df, name, stored=cm.stored, **options):
+        out = stored(df, name, **options)
+        if name == "coded":
+            rows.append(out.filter("flat is not null").count())
+        return out
+
+    monkeypatch.setattr(cm, "stored", watched)
+    for at_once in (10**6, 37):
+        monkeypatch.setattr(cm, "NUMBERS_AT_ONCE", at_once)
+        found.append(sorted((r.doc_id, r["odd.name"], r.n_tokens, r.score) for r in cm.score(frame.coalesce(1), model, counts).collect()))
+    assert found[0] == found[1] and len(found[0]) == 125 and rows[0] == 1 < 100 < rows[1]
+
+
+def test_shuffle_files_go_with_the_write(spark, tmp_path):
+    """What a stored table was shuffled through takes no disk any more, without the driver collecting garbage."""
+    top = Path(os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", "/tmp"))
+    files = lambda: {p for p in top.glob("blockmgr-*/*/shuffle_*.data")}
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    spark.range(1000).groupBy((F.col("id") % 97).alias("k")).count().write.parquet(str(tmp_path / "plain"))
+    assert files() - before  # a plain write leaves them
+    before = files()
+    found = cm.stored(spark.range(1000).groupBy((F.col("id") % 97).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and found.count() == 97
+    assert spark.conf.get(CLEANUP, None) == setting
